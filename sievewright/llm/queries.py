@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_report
+from .near_dedup import near_dedup
 from .mixing import mix_sources
 from .url_filter import filter_urls
 
@@ -53,6 +54,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir), min_docs=10, min_chars=1, batches=4, fanout=4)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir)).drop("th")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -136,6 +141,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
     "op3_line_dedup": op3_line_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
