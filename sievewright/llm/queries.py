@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import detect_language
 from .line_dedup import line_report
-from .near_dedup import near_dedup
+from .lm_score import lm_scores
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .url_filter import filter_urls
 
 #: The dated list of the URL query: key, action, date.
@@ -58,6 +60,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).drop("th")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), modulus=7, remainder=2)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_language(documents(spark, sf_dir), modulus=3, remainder=1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -142,6 +152,8 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_line_dedup": op3_line_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_lm_score": op6_lm_score,
+    "op7_language_id": op7_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
