@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language_id import detect_language
 from .line_dedup import line_report
@@ -56,6 +57,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir), min_docs=10, min_chars=1, batches=4, fanout=4)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir), benchmark).select("doc_id", "contaminated", "n_items", F.array_join("items", ",").alias("items"), "best")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).drop("th")
 
@@ -132,6 +138,25 @@ select doc_id, count(*)::bigint as n_lines, count(common)::bigint as n_dropped,
 from k left join c using (key) group by rid, doc_id
 """
 
+# Brute force over all alignments, without seeds.
+_OP4 = r"""
+with d as (
+  select row_number() over () as rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+),
+b as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark),
+dt as (select rid, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as pos from d),
+bt as (select item_id, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as pos from b where len(ws) >= 13),
+m as (
+  select rid, item_id, dt.pos - bt.pos as diagonal, bt.pos as ipos
+  from dt join bt using (w)
+  where least(dt.n - greatest(dt.pos - bt.pos, 0), bt.n - greatest(bt.pos - dt.pos, 0)) >= 13
+),
+c as (select rid, item_id, count(*) over (partition by rid, item_id, diagonal order by ipos range between current row and 12 following) as equal from m),
+f as (select rid, item_id, max(equal) as best from c group by all having max(equal) >= 10),
+g as (select rid, count(*)::bigint as n_items, string_agg(item_id::varchar, ',' order by item_id) as items, max(best)::bigint as best from f group by rid)
+select doc_id, g.rid is not null as contaminated, coalesce(n_items, 0) as n_items, items, coalesce(best, 0) as best from d left join g using (rid)
+"""
+
 _OP10 = r"""
 with d as (select row_number() over () as rid, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select *, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm)::bigint as group_size,
@@ -151,6 +176,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
@@ -161,5 +187,6 @@ ORACLES = {
     "op1_url_filter": _op1_sql(),
     "op2_source_mix": _OP2,
     "op3_line_dedup": _OP3,
+    "op4_decontaminate": _OP4,
     "op10_exact_dedup": _OP10,
 }
