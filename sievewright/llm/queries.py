@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language_id import detect_language
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .url_filter import filter_urls
+from .warc import archive_round_trip
 
 #: The dated list of the URL query: key, action, date.
 URL_LIST = (
@@ -74,6 +76,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(documents(spark, sf_dir), modulus=3, remainder=1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(pages(spark, sf_dir), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(pages(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -157,6 +167,18 @@ g as (select rid, count(*)::bigint as n_items, string_agg(item_id::varchar, ','
 select doc_id, g.rid is not null as contaminated, coalesce(n_items, 0) as n_items, items, coalesce(best, 0) as best from d left join g using (rid)
 """
 
+# Base32 of the 160-bit digest: four groups of 40 bits, eight digits each.
+_OP8 = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+h as (select page_id, payload, sha1(payload) as hex, max(page_id) over (partition by payload) as top from p)
+select page_id, octet_length(payload)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, ((i // 8) * 10 + 1)::int, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id = top then null else top end as refers_to
+from h
+"""
+
 _OP10 = r"""
 with d as (select row_number() over () as rid, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
 g as (select *, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm)::bigint as group_size,
@@ -180,6 +202,8 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
+    "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -188,5 +212,6 @@ ORACLES = {
     "op2_source_mix": _OP2,
     "op3_line_dedup": _OP3,
     "op4_decontaminate": _OP4,
+    "op8_warc": _OP8,
     "op10_exact_dedup": _OP10,
 }
