@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, new_path, quoted, stash, text_or_empty
+from .common import SPACE_CHARS, new_path, quoted, stash, text_or_empty
 
 RUN_SCHEMA = "h1 long, h2 long, n long"
 
@@ -38,18 +38,39 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
+def folded(line: Column) -> Column:
+    """(ascii, rest): equal for two stripped lines if and only if they are equal with A-Z in lower case.
+
+    lower() also folds letters beyond A-Z, and translate() takes 100 ns a
+    character.  So code points beyond ASCII are set apart: a line without any
+    takes lower()'s ASCII path; else each becomes U+0001 in the first part
+    (a real U+0001 is doubled) and all stand in the second.
+    """
+    plain = F.octet_length(line) == F.length(line)
+    marked = F.regexp_replace(F.replace(line, F.lit("\x01"), F.lit("\x01\x02")), r"[^\x00-\x7F]", "\x01\x03")
+    return F.struct(F.lower(F.when(plain, line).otherwise(marked)).alias("ascii"), F.when(~plain, F.regexp_replace(line, r"[\x00-\x7F]+", "")).alias("rest"))
 
 
-def key_hash(key: Column) -> Column:
+def key_hash(fold: Column) -> Column:
     """128 bits of a line key, in two columns."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(71), key, F.length(key)).alias("h2"))
+    return F.struct(F.xxhash64(fold["ascii"], fold["rest"]).alias("h1"), F.xxhash64(F.lit(71), fold["rest"], fold["ascii"]).alias("h2"))
 
 
-def hashes_of(text: Column, min_chars: int) -> Column:
+def hashes_of(lines: Column, min_chars: int) -> Column:
     """Array with a hash for each line, null for keys that are too short."""
-    return F.transform(lines_of(text), lambda x: F.when(F.length(line_key(x)) >= min_chars, key_hash(line_key(x))))
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
+    folds = F.transform(stripped, lambda x: F.when(F.length(x) >= min_chars, folded(x)))
+    return F.transform(folds, lambda x: F.when(x.isNotNull(), key_hash(x)))
+
+
+def distinct_keys(docs: DataFrame, lines: Column, min_chars: int, *more: Column) -> DataFrame:
+    """Columns ``more`` and h1, h2: a row for each distinct key of a row.
+
+    explode_outer, as plain explode makes the optimizer evaluate its array
+    once more in a filter on the array's size.
+    """
+    k = docs.select(*more, F.explode_outer(F.array_distinct(hashes_of(lines, min_chars))).alias("k")).where("k is not null")
+    return k.select(*[c for c in k.columns if c != "k"], "k.h1", "k.h2")
 
 
 class LineRuns:
@@ -82,8 +103,7 @@ class LineRuns:
         return self.spark.read.schema(RUN_SCHEMA).parquet(*names)
 
     def counts_of(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        keys = docs.select(F.explode(F.array_distinct(hashes_of(text_or_empty(text_col), self.min_chars))).alias("k")).where("k is not null")
-        return keys.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+        return distinct_keys(docs, lines_of(text_or_empty(text_col)), self.min_chars).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
         """The batch's own run, at level 0."""
@@ -92,8 +112,8 @@ class LineRuns:
     def add_all(self, docs: DataFrame, batches: int, text_col: str = "text") -> None:
         """A corpus as ``batches`` runs (dealt by text hash), in one pass over it."""
         text = text_or_empty(text_col)
-        keys = docs.select(F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(hashes_of(text, self.min_chars))).alias("k")).where("k is not null")
-        counts = keys.groupBy("batch", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+        keys = distinct_keys(docs, lines_of(text), self.min_chars, F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"))
+        counts = keys.groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
         name = self._name()
         counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(name)
         found = [r["batch"] for r in self.spark.read.parquet(name).select("batch").distinct().collect()] if batches > 1 else [0]
@@ -127,18 +147,15 @@ def _drop(docs: DataFrame, found: DataFrame, text_col: str, min_chars: int) -> D
     A text is known by its hash here, equal texts lose equal lines.
     """
     text = text_or_empty(text_col)
-    th = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(5), text, F.length(text)).alias("b"))
-    keyed = docs.withColumn("__t", th)
-    each = docs.select(th.alias("t"), F.explode(F.array_distinct(hashes_of(text, min_chars))).alias("k")).where("k is not null")
-    each = each.select(F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-    hit = each.join(found, ["h1", "h2"], "left_semi").groupBy("a", "b").agg(F.collect_set("h1").alias("__gone"))
-    both = keyed.join(hit, (keyed["__t.a"] == hit["a"]) & (keyed["__t.b"] == hit["b"]), "left").drop("a", "b", "__t")
-    return both.withColumn("__lines", lines_of(text)).withColumn(
-        "__kept",
-        F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(
-            F.filter("__lines", lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains("__gone", F.xxhash64(line_key(x)))))
-        ),
-    )
+    a, b = F.xxhash64(text), F.xxhash64(F.lit(5), text, F.length(text))
+    each = distinct_keys(docs, lines_of(text), min_chars, a.alias("__a"), b.alias("__b"))
+    hit = each.join(found, ["h1", "h2"], "left_semi").groupBy("__a", "__b").agg(F.collect_set("h1").alias("__gone"))
+    keyed = docs.select("*", a.alias("__ta"), b.alias("__tb"))
+    both = keyed.join(hit, (F.col("__ta") == F.col("__a")) & (F.col("__tb") == F.col("__b")), "left").drop("__a", "__b", "__ta", "__tb")
+    lines = lines_of(text)
+    pairs = F.filter(F.arrays_zip(lines.alias("line"), F.transform(hashes_of(lines, min_chars), lambda x: x["h1"]).alias("h1")), lambda x: x["h1"].isNull() | ~F.array_contains("__gone", x["h1"]))
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(pairs, lambda x: x["line"]))
+    return both.withColumn("__lines", lines).withColumn("__kept", kept)
 
 
 def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 1, fanout: int = 4, id_col: str = "doc_id") -> DataFrame:
