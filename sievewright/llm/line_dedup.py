@@ -67,9 +67,11 @@ def distinct_keys(docs: DataFrame, lines: Column, min_chars: int, *more: Column)
     """Columns ``more`` and h1, h2: a row for each distinct key of a row.
 
     explode_outer, as plain explode makes the optimizer evaluate its array
-    once more in a filter on the array's size.
+    once more in a filter on the array's size; and ``more`` is computed below
+    the explode, once a row and not once a line.
     """
-    k = docs.select(*more, F.explode_outer(F.array_distinct(hashes_of(lines, min_chars))).alias("k")).where("k is not null")
+    inner = docs.select(*more, F.array_distinct(hashes_of(lines, min_chars)).alias("k"))
+    k = inner.withColumn("k", F.explode_outer("k")).where("k is not null")
     return k.select(*[c for c in k.columns if c != "k"], "k.h1", "k.h2")
 
 
