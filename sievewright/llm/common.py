@@ -92,10 +92,15 @@ def single_spaced(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def both_keys(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """The key of a row: its id and the hash of its text (null: empty)."""
-    return [quoted(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__th")]
-
-
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["__id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__th"])
+#: Row keys up to this number (16 bytes each) are broadcast to meet the rows
+#: where they are; above, rows are shuffled to meet the keys.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (id, text hash), all columns kept."""
+    g = stash(gone.toDF("__gone_id", "__gone_th").distinct(), "gone")
+    g = F.broadcast(g) if g.count() <= BROADCAST_KEYS else g
+    rows = docs.select("*", quoted(id_col).alias("__row_id"), F.xxhash64(text_or_empty(text_col)).alias("__row_th"))
+    left = rows.join(g, F.col("__row_id").eqNullSafe(F.col("__gone_id")) & (F.col("__row_th") == F.col("__gone_th")), "left_anti")
+    return left.select(*[quoted(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, quoted, stash, text_or_empty
+from .common import SPACE, SPACE_CHARS, quoted, stash, text_or_empty, without
 
 #: Fixed masks.  Every choice of at most 3 places of 13 leaves one of them whole.
 MASKS = ("11010011", "110001011", "1001111")
@@ -106,6 +106,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` without an overlap, with all their columns."""
-    bad = stash(benchmark_overlaps(docs, benchmark, id_col, text_col, **kw).select("__id", "__th").distinct(), "contaminated")
-    rows = docs.select("*", quoted(id_col).alias("__i"), F.xxhash64(text_or_empty(text_col)).alias("__t"))
-    return rows.join(bad, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_anti").select(*[quoted(c) for c in docs.columns])
+    bad = benchmark_overlaps(docs, benchmark, id_col, text_col, **kw).select("__id", "__th")
+    return without(docs, bad, id_col, text_col)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import quoted, text_or_empty
+from .common import quoted, text_or_empty, without
 from .lm_score import in_split
 
 U = np.uint64
@@ -313,9 +313,7 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5, languages: list[str] | None = None, **kw) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``min_score``
     (and is one of ``languages``), with all their columns."""
-    got = detect_language(docs, id_col, text_col, **kw).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
     if languages is not None:
-        got = got.where(F.col("lang_pred").isin(languages))
-    got = got.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    rows = docs.select("*", quoted(id_col).alias("__i"), F.xxhash64(text_or_empty(text_col)).alias("__t"))
-    return rows.join(got, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi").select(*[quoted(c) for c in docs.columns])
+        told = told & F.col("lang_pred").isin(languages)
+    return without(docs, detect_language(docs, id_col, text_col, **kw).where(~told).select("doc_id", "th"), id_col, text_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words, quoted, stash, text_or_empty
+from .common import BROADCAST_KEYS, n_words, quoted, stash, text_or_empty
 
 #: Ranges of a source's key space.  A source of 10 billion rows has 2.4
 #: million rows a range.
@@ -92,6 +92,8 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     got = mix_sources(docs, **kw).where("taken > 0")
     got = got.groupBy("doc_id", "source", "size").agg(F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken"))
     got = got.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), "mix_target", "mix_taken")
+    got = stash(got, "mix-taken")
+    got = F.broadcast(got) if got.count() <= BROADCAST_KEYS else got
     rows = docs.withColumn("__n", n_words(text_or_empty(text_col)))
-    both = rows.join(got, quoted(id_col).eqNullSafe(got["__i"]) & quoted(source_col).eqNullSafe(got["__s"]) & (F.col("__n") == F.col("mix_size")))
-    return both.select(*[rows[c] for c in docs.columns], "mix_size", "mix_target", "mix_taken")
+    both = rows.join(got, quoted(id_col).eqNullSafe(F.col("__i")) & quoted(source_col).eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("mix_size")))
+    return both.select(*[quoted(c) for c in docs.columns], "mix_size", "mix_target", "mix_taken")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import quoted, stash, text_or_empty
+from .common import quoted, stash, text_or_empty, without
 from .components import components
 
 U = np.uint64
@@ -269,7 +269,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns."""
-    kept = near_dedup(docs, id_col, text_col, **kw).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    rows = docs.select("*", quoted(id_col).alias("__i"), F.xxhash64(text_or_empty(text_col)).alias("__t"))
-    return rows.join(kept, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi").select(*[quoted(c) for c in docs.columns])
+    """One document of each group, with all its columns: the one with the
+    smallest id.  Of rows equal in id and text, the first by their columns'
+    JSON text; rows without words all stay."""
+    rows = stash(near_dedup(docs, id_col, text_col, **kw), "near-rows")
+    left = without(docs, rows.where("not kept").select("doc_id", "th"), id_col, text_col)
+    # rows that share the id of their group: one text of it, and one row of that
+    same = rows.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).where("n > 1")
+    if same.isEmpty():
+        return left
+    same = stash(same.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t")), "near-same")
+    every = rows.where("kept and n_shingles > 0").select("doc_id", "th").join(same, F.col("doc_id").eqNullSafe(F.col("__i"))).select("doc_id", "th")
+    rest = without(left, every, id_col, text_col)
+    one = left.join(same, quoted(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__t")))
+    cols = F.struct(*[quoted(c) for c in docs.columns])
+    one = one.groupBy("__i", "__t").agg(F.min_by(cols, F.to_json(cols)).alias("__row")).select("__row.*")
+    return rest.unionByName(one)
