@@ -41,11 +41,15 @@ def dfa_graph(spark: SparkSession, patterns: PatternSet) -> tuple[DataFrame, Dat
         ends = [*(x - 1 for x in d.starts[1:]), MAX_CODE]
         nodes += [(src, s, bool(a), False) for s, a in enumerate(d.accept)]
         for s, row in enumerate(d.trans.tolist()):
-            by: dict[int, list[str]] = {}
+            by: dict[int, list[list[int]]] = {}
             for c, t in enumerate(row):
                 if t != -1:
-                    by.setdefault(t, []).append(_name(d.starts[c], ends[c]))
-            edges += [(src, s, t, ",".join(x)) for t, x in by.items()]
+                    spans = by.setdefault(t, [])
+                    if spans and spans[-1][1] + 1 == d.starts[c]:
+                        spans[-1][1] = ends[c]
+                    else:
+                        spans.append([d.starts[c], ends[c]])
+            edges += [(src, s, t, ",".join(_name(*x) for x in spans)) for t, spans in by.items()]
     return spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
 
 
