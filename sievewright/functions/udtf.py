@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sievewright.operators.dfa_kernel import scan
 from sievewright.patterns import PatternSet
+from sievewright.shipping import ship
 
 MATCH = T.StructType([T.StructField("pattern_id", T.IntegerType()), T.StructField("pattern", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
@@ -25,6 +26,7 @@ def _rows(tables, sources, text: str | None) -> list[tuple[int, str, int, int]]:
 
 def register_udtf(spark: SparkSession, patterns: PatternSet, name: str = "multi_match") -> None:
     """``SELECT * FROM docs, LATERAL multi_match(docs.text)``"""
+    ship(spark)
     tables, sources = patterns.tables(), patterns.sources
 
     class MultiMatch:
@@ -36,6 +38,7 @@ def register_udtf(spark: SparkSession, patterns: PatternSet, name: str = "multi_
 
 def register_array(spark: SparkSession, patterns: PatternSet, name: str = "multi_match_array") -> None:
     """``SELECT multi_match_array(text)``: array of (pattern_id, pattern, start_pos, end_pos)."""
+    ship(spark)
     tables, sources = patterns.tables(), patterns.sources
 
     @F.pandas_udf(T.ArrayType(MATCH))

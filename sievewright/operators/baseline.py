@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.shipping import ship
+
 
 def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
     compiled = [(i, re.compile(p, re.S)) for i, p in patterns]
@@ -35,6 +37,7 @@ def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -
 def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """(keys..., pattern_id, pattern, start_pos, end_pos) of non-empty matches."""
     keys = keys or [c for c in df.columns if c != text_col]
+    ship(df.sparkSession)
     rows = df.select(*keys, F.col(text_col).alias("__text"))
     fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start_pos", "end_pos")]
     out = rows.mapInArrow(partial(_found, patterns=list(enumerate(patterns))), T.StructType(fields))

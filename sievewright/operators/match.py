@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sievewright.patterns import PatternSet
 from sievewright.plans.router import ARROW, JOIN, route
+from sievewright.shipping import ship
 
 from .dfa_kernel import match_batches
 from .literal_join import literal_matches
@@ -23,6 +24,7 @@ from .prefilter import row_filter
 
 
 def _kernel(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, keys: list[str], prefilter: bool) -> DataFrame:
+    ship(df.sparkSession)
     rows = df.select(*keys, F.col(text_col).alias("__text"))
     if prefilter:
         part = PatternSet(tuple(patterns.sources[i] for i in ids), tuple(patterns.actions[i] for i in ids))

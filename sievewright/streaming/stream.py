@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sievewright.operators.match import match_all
 from sievewright.patterns import PatternSet
 from sievewright.patterns.automaton import DEAD, FAIL, Table
+from sievewright.shipping import ship
 
 STATE = "next_pos long, next_seq long, tab array<int>, pat array<int>, start array<long>, state array<int>, held_seq array<long>, held_text array<string>, held_last array<boolean>"
 
@@ -60,6 +61,7 @@ def match_chunks(chunks: DataFrame, patterns: PatternSet, key: str = "doc_id", s
 
     Chunks that come before their turn wait in the state.
     """
+    ship(chunks.sparkSession)
     tables = patterns.tables()
     kind = dict(chunks.dtypes)[key]
 
