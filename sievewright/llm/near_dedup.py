@@ -39,10 +39,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.shipping import ship
+
 from . import tokens as tk
 from .common import quoted, stash, text_or_empty, without
 from .components import components
@@ -52,8 +55,11 @@ EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Nodes up to this number are broadcast (8 bytes each) to pick their texts
 #: from the corpus; above, the texts are shuffled to meet them.
 BROADCAST_NODES = 2_000_000
-#: Counters of the shingle order, by the top bits of the shingle.
-ORDER_BITS = 16
+#: The shingle order comes from two rows of 2^ORDER_BITS counters (the smaller
+#: count holds): 4 MB whatever the input.  Any order gives the same links; a
+#: closer count of what is common only makes fewer candidates.
+ORDER_BITS = 19
+ORDER_PART = 1 << 16
 
 
 def sketch(s: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -152,14 +158,38 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, threshold: int) -> Iter
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep))
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << ORDER_BITS, np.int64)
+def _places(s: np.ndarray) -> list[np.ndarray]:
+    return [(tk.mix(s, 50 + r) >> U(64 - ORDER_BITS)).astype(np.int64) for r in range(2)]
+
+
+def _counters(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Counters of a partition's shingles, in parts of ORDER_PART."""
+    total = np.zeros((2, 1 << ORDER_BITS), np.uint32)
     for b in batches:
         for _, _, raw, off in tk.blocks(b.column(0)):
             s, _ = tk.shingles(*tk.words(raw, off), k)
-            total += np.bincount((s >> U(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
-    on = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["bucket", "n"])
+            for r, at in enumerate(_places(s)):
+                total[r] += np.bincount(at, minlength=total.shape[1]).astype(np.uint32)
+    parts = total.reshape(-1, ORDER_PART)
+    n = len(parts)
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId() % 32] * n, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "salt", "n"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in table["n"].to_pylist())
+    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+    return pa.table({"part": table["part"].slice(0, 1), "salt": table["salt"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def shingle_order(texts: DataFrame, k: int) -> np.ndarray:
+    """Counters (2 x 2^ORDER_BITS) of the shingles of column ``text``."""
+    kind = "part int, salt int, n binary"
+    parts = texts.select("text").mapInArrow(partial(_counters, k=k), kind)
+    parts = parts.groupBy("part", "salt").applyInArrow(_added, kind).groupBy("part").applyInArrow(_added, kind)
+    out = np.zeros((2, 1 << ORDER_BITS), np.uint32)
+    for r in parts.collect():  # as many rows as parts, 4 MB
+        out.reshape(-1, ORDER_PART)[r["part"]] = np.frombuffer(r["n"], np.uint32)
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,7 +204,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: int, order:
             s, first = tk.shingles(*tk.words(raw, off), k)
             n = np.diff(first)
             row = np.repeat(np.arange(len(n)), n)
-            o = np.lexsort((s, order[(s >> U(64 - ORDER_BITS)).astype(np.int64)], row))
+            a, c = _places(s)
+            o = np.lexsort((s, np.minimum(order[0][a], order[1][c]), row))
             s = s[o]
             pos = np.arange(len(s)) - np.repeat(first[:-1], n)
             probe = n - -(-threshold * n // 100) + 1
@@ -206,6 +237,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, screen: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(rows, roots).  rows: doc_id, th, n_shingles, node for each row of
     ``docs``; roots: node, root for nodes linked with another."""
+    ship(docs.sparkSession)
     t = bands * rows
     one = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     kind = one.schema["doc_id"].dataType
@@ -237,10 +269,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = comp.join(mixed, "key", "left_semi").select("node", "comp").distinct()
     rest = stash(texts.join(rest, "node").select("node", "comp", "text"), "near-rest")
-    counted = rest.select("text").mapInArrow(partial(_bucket_counts, k=k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    order = np.zeros(1 << ORDER_BITS, np.int64)  # 65536 counters, whatever the input
-    for r in counted:
-        order[r["bucket"]] = r["n"]
+    order = shingle_order(rest, k)
     pre = rest.mapInArrow(partial(_prefixes, k=k, threshold=threshold, order=order), "shingle long, node long, comp long, n int, pos int, indexed boolean")
     pre = stash(pre, "near-prefixes")
     a, b = pre.where("indexed").alias("a"), pre.alias("b")
