@@ -48,6 +48,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.shipping import ship
+
 from . import tokens as tk
 from .common import partitions, quoted, stash, text_or_empty
 
@@ -229,6 +231,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     train_tokens, base_score, score.  Rows whose crc32(id) mod ``modulus`` is
     ``remainder`` are held out of training."""
     spark = docs.sparkSession
+    ship(spark)
     shards = shards or 4 * partitions(spark)
     rows = docs.select(quoted(id_col).alias("doc_id"), in_split(quoted(id_col), modulus, remainder).alias("held_out"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType

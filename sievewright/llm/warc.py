@@ -38,6 +38,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.shipping import ship
+
 from .common import new_path, quoted, stash, text_or_empty
 
 #: A file is closed, and another begun, when it has this size.
@@ -86,14 +88,14 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return kind, _headers(fields, len(block)) + block + b"\r\n\r\n"
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html, sha1, keep) rows to records in files; gives their index rows."""
     store, path = pafs.FileSystem.from_uri(folder)
     name, out, at = None, None, 0
     for b in batches:
         rows = {c: [] for c in ("page_id", "url", "file", "offset", "length", "record_type", "payload_digest")}
         for page_id, url, html, sha, keep in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if out is None or at >= FILE_BYTES:
+            if out is None or at >= file_bytes:
                 if out is not None:
                     out.close()
                 store.create_dir(path, recursive=True)
@@ -114,8 +116,9 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: i
         out.close()
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives and gives their index."""
+    ship(pages.sparkSession)
     folder = (folder or new_path(pages.sparkSession, "warc")).rstrip("/")
     html = text_or_empty(html_col)
     rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
@@ -123,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     both = rows.join(again, (F.col("sha") == F.col("a_sha")) & (F.col("size") >= min_bytes), "left")
     keep = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     dealt = both.select("page_id", "url", "html", "sha", keep.alias("keep"))
-    return stash(dealt.mapInArrow(partial(_written, folder=folder, date=date, level=level), INDEX), "warc-index")
+    return stash(dealt.mapInArrow(partial(_written, folder=folder, date=date, level=level, file_bytes=file_bytes), INDEX), "warc-index")
 
 
 def parse_record(data: bytes) -> dict:
@@ -190,6 +193,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of index rows: page_id, url, record_type, payload_bytes,
     payload_digest, refers_to, payload (null for revisits, or without ``with_payload``)."""
+    ship(index.sparkSession)
     places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(partial(_read, with_payload=with_payload), RECORD)
 
