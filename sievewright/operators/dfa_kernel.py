@@ -1,10 +1,11 @@
 """Arrow kernel that steps the scans of all patterns over a batch of texts.
 
 The texts of a batch are laid end to end as character classes with an end mark
-between them.  A *slot* is a scan: its place in the batch and its state.  All
-slots step together, one NumPy gather a step; slots that meet in the same place
-and state have the same future, so they are merged from time to time and a
-pattern like ``x.*`` costs no more than its states per character.
+between them.  A *slot* is a scan of all patterns from one start: its place in
+the batch and its state.  All slots step together, one NumPy gather a step.
+Slots that meet in the same place and state have the same future, so they are
+merged from time to time and a pattern like ``.*x`` costs no more than its
+states per character.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from sievewright.patterns.automaton import DEAD, FAIL, Table
+from sievewright.patterns.automaton import Table
 
 #: Characters stepped over at once, and steps between merges.
 BATCH_CHARS = 200_000
@@ -32,59 +33,88 @@ def scan(table: Table, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
     codes, begin = code_points(texts)
     n = len(codes)
     none = tuple(np.zeros(0, np.int64) for _ in range(4))
-    if not n or not len(table.first_pattern):
+    if not n or not len(table.first_state):
         return none
+    k = len(table.class_starts)
     row = np.repeat(np.arange(len(texts)), np.diff(begin))
     ascii_ = np.searchsorted(table.class_starts, np.arange(128), side="right") - 1
-    cls = np.empty(n, np.int32)
+    cls = np.empty(n + 1, np.int32)
     low = codes < 128
-    cls[low] = ascii_[codes[low]]
-    cls[~low] = np.searchsorted(table.class_starts, codes[~low], side="right") - 1
-    last = begin[1:][row] - 1  # last place of the text that a place is in
-    # every (place, pattern) whose first character fits
-    count = np.diff(table.first_at)[cls]
-    at = np.repeat(np.arange(n), count)
-    pick = np.arange(len(at)) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls], count)
-    pattern, state = table.first_pattern[pick], table.first_state[pick]
-    start = at
-    total = len(at)
-    into = np.arange(total)  # slot that a slot was merged into
-    end = np.full(total, -1, np.int64)
-    slot, place = np.arange(total), at.copy()
-    trans, accept, eternal = table.trans, table.accept, table.eternal
+    cls[:n][low] = ascii_[codes[low]]
+    cls[:n][~low] = np.searchsorted(table.class_starts, codes[~low], side="right") - 1
+    cls[n] = 0
+    is_last = np.zeros(n, bool)
+    is_last[begin[1:][np.diff(begin) > 0] - 1] = True
+    # every place whose character begins something
+    count = np.diff(table.first_at)[cls[:n]]
+    start = np.repeat(np.arange(n), count)
+    total = len(start)
+    pick = np.arange(total) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls[:n]], count)
+    slot, place, state = np.arange(total), start.copy(), table.first_state[pick]
+    parents, known = [np.full(total, -1, np.int64)], total  # what a slot was merged into
+    won: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (slot, place, list)
+    trans, emit, eternal = table.trans, table.emit, table.eternal
+
+    def report(s, p, e):
+        on = e > 0
+        if on.any():
+            won.append((s[on], p[on], e[on]))
+
     step = 0
     while len(slot):
-        stop = place == last[place]
         stay = eternal[state]
-        out = stop | stay
-        if out.any():
-            won = out & accept[state]
-            end[slot[won]] = last[place[won]]
-            slot, place, state = slot[~out], place[~out], state[~out]
-        if not len(slot):
-            break
-        new = trans[state, cls[place + 1]]
-        died = new == DEAD
-        won = died & accept[state]
-        end[slot[won]] = place[won]
-        alive = new > FAIL
-        slot, place, state = slot[alive], place[alive] + 1, new[alive]
+        stop = is_last[place] | stay
+        if stop.any():
+            where = place[stop]
+            ends = np.where(stay[stop], begin[1:][row[where]] - 1, where)
+            report(slot[stop], ends, emit[state[stop], k])
+            go = ~stop
+            slot, place, state = slot[go], place[go], state[go]
+        nxt = cls[place + 1]
+        report(slot, place, emit[state, nxt])
+        state = trans[state, nxt]
+        go = state > 0
+        slot, place, state = slot[go], place[go] + 1, state[go]
         step += 1
         if step % MERGE_EVERY == 0 and len(slot) > 64:
-            key = place * np.int64(len(trans)) + state
-            _, first, inv = np.unique(key, return_index=True, return_inverse=True)
+            _, first, inv, many = np.unique(place * np.int64(len(trans)) + state, return_index=True, return_inverse=True, return_counts=True)
             if len(first) < len(slot):
-                into[slot] = slot[first][inv]
-                slot, place, state = slot[first], place[first], state[first]
-    while True:  # follow merges to the last slot
-        nxt = into[into]
-        if (nxt == into).all():
-            break
-        into = nxt
-    end = end[into]
-    ok = end >= 0
-    r = row[start[ok]]
-    return r, pattern[ok], start[ok] - begin[r], end[ok] - begin[r]
+                shared = many > 1
+                new = slot[first]  # a slot alone goes on as it is
+                new[shared] = known + np.arange(shared.sum())
+                parents.append(np.full(int(shared.sum()), -1, np.int64))
+                known += int(shared.sum())
+                up = np.concatenate(parents)
+                up[slot[shared[inv]]] = new[inv[shared[inv]]]
+                parents = [up]
+                slot, place, state = new, place[first], state[first]
+    if not won:
+        return none
+    slots, ends, lists = (np.concatenate(x) for x in zip(*won, strict=True))
+    order = np.argsort(slots, kind="stable")
+    slots, ends, lists = slots[order], ends[order], lists[order]
+    up = np.concatenate(parents)
+    rows, pats, begins, stops = [], [], [], []
+    origin, at = np.arange(total), np.arange(total)
+    while len(at):  # a start has the reports of all slots that it was merged into
+        lo, hi = np.searchsorted(slots, at), np.searchsorted(slots, at, side="right")
+        n_hit = hi - lo
+        on = n_hit > 0
+        if on.any():
+            src = np.repeat(origin[on], n_hit[on])
+            hit = np.arange(len(src)) - np.repeat(np.append(0, np.cumsum(n_hit[on]))[:-1], n_hit[on]) + np.repeat(lo[on], n_hit[on])
+            size = table.list_at[lists[hit] + 1] - table.list_at[lists[hit]]
+            src, end = np.repeat(start[src], size), np.repeat(ends[hit], size)
+            inner = np.arange(len(src)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + np.repeat(table.list_at[lists[hit]], size)
+            r = row[src]
+            rows.append(r)
+            pats.append(table.list_of[inner])
+            begins.append(src - begin[r])
+            stops.append(end - begin[r])
+        at = up[at]
+        go = at >= 0
+        origin, at = origin[go], at[go]
+    return tuple(np.concatenate(x) for x in (rows, pats, begins, stops))
 
 
 def split_batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:

@@ -1,9 +1,8 @@
 """Matching a pattern set against a text column.
 
 ``match_all`` is the main operator: one row per pattern and start.  How it runs
-is decided per pattern before the plan exists (see ``plans.router``): fixed
-texts become a join, everything else goes through the automaton kernel, and
-the parts are united.
+is decided before the plan exists (see ``plans.router``): in the automaton
+kernel, or, for fixed texts and on request, as a join.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ driver by subset construction.  Its rules:
   the scan without a report - except on the first character, where the
   exclusion has no effect at all.
 
-The automata of many patterns are laid into one table over shared character
-classes, shifted by state numbers, so that scans of all patterns step together.
+The automata of many patterns are joined: what is alive after the same
+characters is one state, so that patterns with common beginnings share their
+steps and a scan of thousands of patterns takes one place per start.
 """
 
 from __future__ import annotations
@@ -24,12 +25,8 @@ import numpy as np
 
 from .ast import AnyChar, CharSet, Lit, MAX_CODE, Pattern, PatternTooComplex
 
-#: Table entries that are not states.
-DEAD, FAIL = 0, 1
 STATE_LIMIT = 20_000
 
-ACCEPT, EXCLUDED = -1, -2  # positions of the paths that are not edges
-
 
 class Nfa:
     """Edges (intervals or None for any, target set) and what follows each place.
@@ -164,50 +161,135 @@ def compile_dfa(pattern: Pattern, limit: int = STATE_LIMIT) -> Dfa:
     return Dfa(starts, np.array(rows), accept, sets)
 
 
+class _TooMany(Exception):
+    pass
+
+
+@dataclass
+class Group:
+    """Automaton of several patterns that scan from the same start together.
+
+    A state is the set of (pattern, state of its own automaton) still alive.
+    ``emit[s, c]`` names the list of patterns that end with an accept when c
+    follows; its last column is the end of the text.
+    """
+
+    trans: np.ndarray  # states x classes; -1: nothing is alive
+    emit: np.ndarray  # states x (classes + 1); 0: nothing
+    lists: list[tuple[int, ...]]
+
+
+def group_automaton(dfas: list[tuple[int, Dfa]], cuts: np.ndarray, limit: int) -> Group:
+    """Product of the automata, as far as one start can reach it."""
+    k = len(cuts)
+    base, rows, accept, owner = [], [], [], []
+    n = 0
+    for pid, d in dfas:
+        col = np.searchsorted(np.array(d.starts), cuts, side="right") - 1
+        t = d.trans[:, col].astype(np.int64)
+        rows.append(np.where(t >= 0, t + n, t))
+        accept.append(d.accept)
+        owner.append(np.full(len(t), pid))
+        base.append(n)
+        n += len(t)
+    big = np.concatenate(rows)
+    accepts, owners = np.concatenate(accept), np.concatenate(owner)
+    number: dict[bytes, int] = {}
+    sets: list[np.ndarray] = []
+    lists: dict[tuple[int, ...], int] = {(): 0}
+
+    def state(members: np.ndarray) -> int:
+        key = members.tobytes()
+        if key not in number:
+            if len(sets) >= limit:
+                raise _TooMany
+            number[key] = len(sets)
+            sets.append(members)
+        return number[key]
+
+    state(np.array(base))
+    trans, emit = [], []
+    at = 0
+    while at < len(sets):
+        s = sets[at]
+        sub = big[s]  # members x classes
+        t, e = np.full(k, -1, np.int32), np.zeros(k + 1, np.int32)
+        live = np.flatnonzero((sub != -1).any(0))
+        ends = accepts[s] if at else np.zeros(len(s), bool)  # nothing ends before its first character
+        if len(live):
+            cols, inv = np.unique(sub[:, live].T, axis=0, return_inverse=True)
+            inv = inv.reshape(-1)
+            for i, c in enumerate(cols):
+                on = live[inv == i]
+                if (c >= 0).any():
+                    t[on] = state(c[c >= 0])
+                won = owners[s[(c == -1) & ends]]
+                if len(won):
+                    e[on] = lists.setdefault(tuple(won.tolist()), len(lists))
+        if ends.any():
+            every = lists.setdefault(tuple(owners[s[ends]].tolist()), len(lists))
+            dead = np.ones(k, bool)
+            dead[live] = False
+            e[:k][dead] = every
+            e[k] = every
+        trans.append(t)
+        emit.append(e)
+        at += 1
+    return Group(np.array(trans), np.array(emit), list(lists))
+
+
 @dataclass
 class Table:
-    """Automata of several patterns in one table.
+    """Groups of patterns in one table: what executors step through.
 
-    Rows 0 and 1 stand for DEAD and FAIL; the last class is the end of a text.
-    ``first[c]`` lists (as a slice of first_pattern, first_state) what starts
-    with class c.
+    Row 0 stands for "nothing alive"; the last class of ``emit`` is the end of a
+    text.  ``first_state[first_at[c] : first_at[c + 1]]`` are the states after a
+    first character of class c.  ``list_at``/``list_of`` are the pattern lists.
     """
 
     class_starts: np.ndarray
     trans: np.ndarray  # states x classes, int32
-    accept: np.ndarray
+    emit: np.ndarray  # states x (classes + 1), int32
     first_at: np.ndarray
-    first_pattern: np.ndarray
     first_state: np.ndarray
-    eternal: np.ndarray  # states that no character can end, which accept for ever
-
-    @property
-    def n_classes(self) -> int:
-        return len(self.class_starts)
+    list_at: np.ndarray
+    list_of: np.ndarray
+    eternal: np.ndarray  # states that no character can change or end
 
     @property
     def nbytes(self) -> int:
-        return self.trans.nbytes + self.accept.nbytes + self.first_pattern.nbytes + self.first_state.nbytes
+        return sum(x.nbytes for x in (self.class_starts, self.trans, self.emit, self.first_at, self.first_state, self.list_at, self.list_of, self.eternal))
 
 
-def build_table(dfas: list[tuple[int, Dfa]]) -> Table:
-    """(pattern id, automaton) pairs to a table."""
+def build_table(dfas: list[tuple[int, Dfa]], limit: int = 200_000) -> Table:
+    """(pattern id, automaton) pairs to a table.  Patterns whose product grows
+    over ``limit`` states are split until each part stays below."""
     cuts = np.array(sorted({x for _, d in dfas for x in d.starts} or {0}), np.int64)
     k = len(cuts)
-    blocks, accepts, base = [np.zeros((2, k), np.int32)], [np.zeros(2, bool)], 2
-    firsts: list[list[np.ndarray]] = []
-    for pid, d in dfas:
-        col = np.searchsorted(np.array(d.starts), cuts, side="right") - 1
-        t = d.trans[:, col]
-        t = np.where(t >= 0, t + base, np.where(t == -1, DEAD, FAIL)).astype(np.int32)
-        go = np.flatnonzero(t[0] > FAIL)
-        firsts.append([go, np.full(len(go), pid), t[0][go]])
-        blocks.append(t)
-        accepts.append(d.accept)
+    todo, groups = [dfas] if dfas else [], []
+    while todo:
+        part = todo.pop()
+        try:
+            # many patterns should share states; what multiplies is split early
+            groups.append(group_automaton(part, cuts, limit if len(part) == 1 else min(limit, 64 + 2 * sum(len(d.trans) for _, d in part))))
+        except _TooMany:
+            todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+    trans, emit, lists = [np.zeros((1, k), np.int32)], [np.zeros((1, k + 1), np.int32)], [()]
+    classes, states, base = [], [], 1
+    for g in groups:
+        t = np.where(g.trans >= 0, g.trans + base, 0).astype(np.int32)
+        go = np.flatnonzero(t[0])
+        classes.append(go)
+        states.append(t[0][go])
+        trans.append(t)
+        emit.append(np.where(g.emit > 0, g.emit + len(lists) - 1, 0).astype(np.int32))
+        lists += g.lists[1:]
         base += len(t)
-    trans, accept = np.concatenate(blocks), np.concatenate(accepts)
-    c, p, s = (np.concatenate([f[i] for f in firsts]) if firsts else np.zeros(0, np.int64) for i in range(3))
+    trans, emit = np.concatenate(trans), np.concatenate(emit)
+    c = np.concatenate([*classes, np.zeros(0, np.int64)]).astype(np.int64)
+    st = np.concatenate([*states, np.zeros(0, np.int32)])
     order = np.argsort(c, kind="stable")
-    first_at = np.searchsorted(c[order], np.arange(k + 1))
-    own = trans == np.arange(len(trans))[:, None]
-    return Table(cuts, trans, accept, first_at, p[order].astype(np.int64), s[order].astype(np.int32), own.all(1) & (np.arange(len(trans)) > 1))
+    own = (trans == np.arange(len(trans))[:, None]).all(1) & (emit[:, :k] == 0).all(1)
+    own[0] = False
+    at = np.append(0, np.cumsum([len(x) for x in lists]))
+    return Table(cuts, trans, emit, np.searchsorted(c[order], np.arange(k + 1)), st[order], at, np.array([p for x in lists for p in x], np.int64), own)

@@ -96,6 +96,11 @@ def literal_matches(spark, sf_dir):
     return match_all(documents(spark, sf_dir), PatternSet.of(WORDS), keys=["doc_id"])
 
 
+@query(f"with {literal_sql(WORDS)} select {ALL} from m")
+def literal_join(spark, sf_dir):
+    return match_all(documents(spark, sf_dir), PatternSet.of(WORDS), keys=["doc_id"], strategy="join")
+
+
 @query(f"with {literal_sql(WORDS)} select pattern, count(m.pattern_id)::bigint as n from p left join m using (pattern) group by pattern")
 def literal_match_counts(spark, sf_dir):
     return match_counts(documents(spark, sf_dir), PatternSet.of(WORDS))

@@ -8,21 +8,23 @@ JOIN, ARROW = "join", "dfa"
 
 
 def route(patterns: PatternSet, ids: list[int], strategy: str = "auto") -> dict[str, list[int]]:
-    """Pattern ids by way.  Only patterns whose alternatives are all fixed
-    texts, none a proper prefix of another, can be a join: for others a match
-    depends on what follows it."""
-    out: dict[str, list[int]] = {JOIN: [], ARROW: []}
+    """Pattern ids by way.
+
+    ``auto`` takes the kernel for all: its automaton shares the beginnings of
+    all patterns and takes one step per character, nine times as fast as the
+    join on six fixed texts (README).  ``join`` runs without Python on the
+    executors; only patterns whose alternatives are all fixed texts, none a
+    proper prefix of another, can be a join - for others a match depends on
+    what follows it.
+    """
     if strategy not in ("auto", JOIN, ARROW):
         raise ValueError(f"strategy {strategy!r} is not one of auto, join, dfa")
-    for i in ids:
-        fixed = patterns.parsed[i].literals() is not None
-        if strategy == JOIN and not fixed:
-            raise ValueError(f"{patterns.sources[i]!r} is no fixed text, so it can't run as a join")
-        out[JOIN if fixed and strategy != ARROW else ARROW].append(i)
-    if strategy == "auto" and out[JOIN] and out[ARROW]:
-        # rows go to the kernel anyway: one pass there beats a second one
-        out = {JOIN: [], ARROW: sorted(out[JOIN] + out[ARROW])}
-    return out
+    if strategy == JOIN:
+        for i in ids:
+            if patterns.parsed[i].literals() is None:
+                raise ValueError(f"{patterns.sources[i]!r} is no fixed text, so it can't run as a join")
+        return {JOIN: list(ids), ARROW: []}
+    return {JOIN: [], ARROW: list(ids)}
 
 
 def explain_route(patterns: PatternSet, strategy: str = "auto") -> list[tuple[str, str]]:

@@ -18,10 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievewright.operators.match import match_all
 from sievewright.patterns import PatternSet
-from sievewright.patterns.automaton import DEAD, FAIL, Table
+from sievewright.patterns.automaton import Table
 from sievewright.shipping import ship
 
-STATE = "next_pos long, next_seq long, tab array<int>, pat array<int>, start array<long>, state array<int>, held_seq array<long>, held_text array<string>, held_last array<boolean>"
+STATE = "next_pos long, next_seq long, tab array<int>, start array<long>, state array<int>, held_seq array<long>, held_text array<string>, held_last array<boolean>"
 
 
 def match_stream(stream: DataFrame, patterns: PatternSet, text_col: str = "text", keys: list[str] | None = None, **kw) -> DataFrame:
@@ -29,30 +29,33 @@ def match_stream(stream: DataFrame, patterns: PatternSet, text_col: str = "text"
     return match_all(stream, patterns, text_col, keys, **kw)
 
 
-def _feed(tables: list[Table], open_: list[tuple[int, int, int, int]], text: str, at: int, last: bool):
-    """Open scans (table, pattern, start, state) over a chunk that begins at ``at``:
+def _feed(tables: list[Table], open_: list[tuple[int, int, int]], text: str, at: int, last: bool):
+    """Open scans (table, start, state) over a chunk that begins at ``at``:
     (scans still open, matches (pattern, start, end))."""
-    found = []
-    left = []
+    found, left = [], []
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def report(t: Table, lists, starts, end: int) -> None:
+        for e, s in zip(lists.tolist(), starts.tolist(), strict=True):
+            found.extend((int(p), int(s), end) for p in t.list_of[t.list_at[e] : t.list_at[e + 1]])
+
     for k, t in enumerate(tables):
         cls = np.searchsorted(t.class_starts, codes, side="right") - 1
         mine = [x for x in open_ if x[0] == k]
-        pat, start, state = (np.array([x[i] for x in mine], np.int64) for i in (1, 2, 3))
+        start, state = (np.array([x[i] for x in mine], np.int64) for i in (1, 2))
         for i, c in enumerate(cls):
-            new = t.trans[state, c].astype(np.int64) if len(state) else state
-            won = (new == DEAD) & t.accept[state] if len(state) else np.zeros(0, bool)
-            found += [(int(p), int(s), at + i - 1) for p, s in zip(pat[won], start[won], strict=True)]
-            on = new > FAIL
+            e = t.emit[state, c]
+            report(t, e[e > 0], start[e > 0], at + i - 1)
+            new = t.trans[state, c].astype(np.int64)
+            on = new > 0
             lo, hi = t.first_at[c], t.first_at[c + 1]
-            pat = np.concatenate([pat[on], t.first_pattern[lo:hi]])
             start = np.concatenate([start[on], np.full(hi - lo, at + i)])
             state = np.concatenate([new[on], t.first_state[lo:hi]])
         if last:
-            won = t.accept[state] if len(state) else np.zeros(0, bool)
-            found += [(int(p), int(s), at + len(codes) - 1) for p, s in zip(pat[won], start[won], strict=True)]
+            e = t.emit[state, -1]
+            report(t, e[e > 0], start[e > 0], at + len(codes) - 1)
         else:
-            left += [(k, int(p), int(s), int(x)) for p, s, x in zip(pat, start, state, strict=True)]
+            left += [(k, int(s), int(x)) for s, x in zip(start, state, strict=True)]
     return left, found
 
 
@@ -70,8 +73,8 @@ def match_chunks(chunks: DataFrame, patterns: PatternSet, key: str = "doc_id", s
         if group.exists:
             s = group.get
             at, want = s[0], s[1]
-            open_ = list(zip(*s[2:6], strict=True))
-            held = {a: (b, c) for a, b, c in zip(*s[6:9], strict=True)}
+            open_ = list(zip(*s[2:5], strict=True))
+            held = {a: (b, c) for a, b, c in zip(*s[5:8], strict=True)}
         for f in frames:
             for a, b, c in zip(f["seq"], f["text"], f["is_last"], strict=True):
                 held[int(a)] = (b or "", bool(c))
@@ -86,7 +89,7 @@ def match_chunks(chunks: DataFrame, patterns: PatternSet, key: str = "doc_id", s
         if over:
             group.remove()
         else:
-            cols = [list(x) for x in zip(*open_, strict=True)] if open_ else [[], [], [], []]
+            cols = [list(x) for x in zip(*open_, strict=True)] if open_ else [[], [], []]
             order = sorted(held)
             group.update((at, want, *cols, order, [held[i][0] for i in order], [held[i][1] for i in order]))
         yield pd.DataFrame({"key": [k[0]] * len(rows), "pattern_id": [r[0] for r in rows], "start_pos": [r[1] for r in rows], "end_pos": [r[2] for r in rows]})
