@@ -7,6 +7,7 @@ kernel, or, for fixed texts and on request, as a join.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -59,9 +60,12 @@ def match_all(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys:
     return with_pattern(out, patterns, keys)
 
 
-def _shard(source: str, shards: int) -> int:
-    import zlib
+def default_shards(cpus: int) -> int:
+    """Parts of a pattern set for that many CPUs: half as many more, or one for up to two."""
+    return cpus * 3 // 2 if cpus > 2 else 1
+
 
+def _shard(source: str, shards: int) -> int:
     return zlib.crc32(source.encode()) % shards
 
 

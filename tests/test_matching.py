@@ -5,7 +5,7 @@ import pytest
 from sievewright.functions.udtf import register_array, register_udtf
 from sievewright.operators.baseline import find_standard
 from sievewright.operators.lines import from_position, split_lines
-from sievewright.operators.match import count_rollup, match_all, match_any, match_counts, with_actions, with_text
+from sievewright.operators.match import count_rollup, default_shards, match_all, match_any, match_counts, with_actions, with_text
 from sievewright.patterns import PatternSet
 from sievewright.plans.graph import dfa_graph, graphviz, nfa_graph
 from sievewright.plans.router import explain_route
@@ -75,6 +75,7 @@ def test_counts_and_friends(spark):
     acts = with_actions(m, ps.add("b", "other"))
     assert sum(r["pattern"] == "b" for r in acts.collect()) == 6
     assert match_all(df, PatternSet(), keys=["doc_id"]).count() == 0
+    assert [default_shards(c) for c in (1, 2, 3, 8)] == [1, 1, 4, 12]
     assert explain_route(PatternSet.of(["ab", "a+"]), "auto") == [("ab", "dfa"), ("a+", "dfa")]
 
 
