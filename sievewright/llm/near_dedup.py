@@ -11,8 +11,9 @@
 3. *Banding.*  ``bands`` groups of ``rows`` coordinates are hashed to keys.
    With the default 32 x 4, two sets at 0.75 share no key with probability
    5e-6.
-4. *Stars.*  Each node is compared with the smallest node of each of its
-   buckets only: at most ``bands`` pairs a node, whatever a bucket's size.
+4. *Stars.*  Each node is compared only with the leader of each of its buckets,
+   the one with the smallest document id: at most ``bands`` pairs a node,
+   whatever a bucket's size.
 5. *The rest, exactly.*  A bucket whose nodes are not one component by now may
    hide links its star has not seen.  The nodes of such buckets are joined by
    a prefix filter (shingles in one global order, rare first; two sets that
@@ -54,7 +55,7 @@ U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Nodes up to this number are broadcast (8 bytes each) to pick their texts
 #: from the corpus; above, the texts are shuffled to meet them.
-BROADCAST_NODES = 2_000_000
+BROADCAST_NODES = 500_000
 #: The shingle order comes from two rows of 2^ORDER_BITS counters (the smaller
 #: count holds): 4 MB whatever the input.  Any order gives the same links; a
 #: closer count of what is common only makes fewer candidates.
@@ -244,10 +245,10 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sk = stash(one.mapInArrow(partial(_sketches, k=k, bands=bands, rows=rows), T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])), "near-sketches")
     members = sk.select("doc_id", "th", "n_shingles", "node")
     # One row a class; a class with several texts keeps any one of them (their sets are equal).
-    classes = sk.where("node is not null").dropDuplicates(["node"]).select("node", "th", "bands", "sig")
-    band = classes.select("node", F.explode("bands").alias("key"))
-    held = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1").select("key", "leader")
-    buckets = stash(band.join(held, "key"), "near-buckets")
+    classes = sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("th", "bands", "sig")])
+    band = classes.select("node", "low", F.explode("bands").alias("key"))
+    held = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("low", "node")).alias("leader")).where("c > 1").select("key", F.col("leader.node").alias("leader"))
+    buckets = stash(band.drop("low").join(held, "key"), "near-buckets")
     sigs = stash(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "th", "sig"), "near-sigs")
 
     def confirmed(pairs: DataFrame, source: DataFrame, name: str) -> DataFrame:
