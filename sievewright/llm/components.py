@@ -29,6 +29,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every node either points at one root or is a root that points nowhere."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)")
+    return bad.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of any integer kind to (node, root): nodes with edges, root the smallest node.
 
@@ -36,14 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = stash(e, "cc")
-    before = None
-    while True:
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        if not state[0]:
-            break
+    while not _is_stars(e):
         e = stash(_small(_large(e)), "cc")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
