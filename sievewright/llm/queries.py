@@ -191,7 +191,7 @@ def _op1_sql() -> str:
     from datetime import UTC, datetime
 
     stamp = lambda d: int(datetime.fromisoformat(d).replace(tzinfo=UTC).timestamp())
-    return _OP1.format(rows=", ".join(f"('{k}', '{a}', {stamp(d)})" for k, a, d in URL_LIST), epoch=EPOCH_2024)
+    return _OP1.format(rows=", ".join(f"('{k}', '{a}', {stamp(d)}::bigint)" for k, a, d in URL_LIST), epoch=EPOCH_2024)
 
 
 QUERIES = {
