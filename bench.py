@@ -60,8 +60,7 @@ def main() -> None:
         "novel_42_words": lambda: sink(match_all(novel, PatternSet.of(words[:42]), keys=["doc_id"])),
         "novel_100_tails": lambda: sink(match_all(novel, PatternSet.of([w + ".*" for w in words[200:300]]), keys=["doc_id"])),
         "all_10000_literals": lambda: sink(match_all(docs, literals, keys=["doc_id"])),
-        "all_6_literals_join": lambda: sink(match_all(docs, few, keys=["doc_id"], strategy="join")),
-        "all_6_literals_kernel": lambda: sink(match_all(docs, few, keys=["doc_id"], strategy="dfa")),
+        "all_6_literals": lambda: sink(match_all(docs, few, keys=["doc_id"])),
         "all_6_literal_counts": lambda: sink(match_counts(docs, few)),
         "all_47_mixed": lambda: sink(match_all(docs, mixed, keys=["doc_id"])),
         "all_standard_engine_47": lambda: sink(find_standard(docs, list(mixed.sources), keys=["doc_id"])),

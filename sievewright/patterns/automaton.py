@@ -139,7 +139,13 @@ def compile_dfa(pattern: Pattern, limit: int = STATE_LIMIT) -> Dfa:
         edges = sorted(set().union(*(nfa.follow[p] for p in s)))
         row = np.full(len(starts), -1, np.int32)
         seen: dict[tuple[int, ...], int] = {}
-        for c in range(len(starts)):
+        if len(edges) == 1 and not nfa.failing[nfa.edges[edges[0]][1]]:  # inside a literal
+            t = frozenset([nfa.edges[edges[0]][1]])
+            if t not in number:
+                number[t] = len(sets)
+                sets.append(t)
+            row[hits[edges[0]]] = number[t]
+        for c in range(len(starts)) if len(edges) > 1 or (row < 0).all() else ():
             key = tuple(e for e in edges if hits[e][c])
             if not key:
                 continue
@@ -212,8 +218,19 @@ def group_automaton(dfas: list[tuple[int, Dfa]], cuts: np.ndarray, limit: int) -
     at = 0
     while at < len(sets):
         s = sets[at]
-        sub = big[s]  # members x classes
         t, e = np.full(k, -1, np.int32), np.zeros(k + 1, np.int32)
+        if len(s) == 1:  # one pattern alone
+            r = big[s[0]]
+            for v in set(r.tolist()):
+                if v >= 0:
+                    t[r == v] = state(np.array([v]))
+            if at and accepts[s[0]]:
+                e[np.append(r == -1, True)] = lists.setdefault((int(owners[s[0]]),), len(lists))
+            trans.append(t)
+            emit.append(e)
+            at += 1
+            continue
+        sub = big[s]  # members x classes
         live = np.flatnonzero((sub != -1).any(0))
         ends = accepts[s] if at else np.zeros(len(s), bool)  # nothing ends before its first character
         if len(live):

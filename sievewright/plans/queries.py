@@ -173,6 +173,22 @@ def many_literals(spark, sf_dir):
     return match_all(documents(spark, sf_dir), ps, keys=["doc_id"]).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PIECES = r"select distinct unnest(regexp_split_to_array(text, '[|\\.^$?*+\[]')) as pattern from benchmark"
+
+
+@query(
+    f"""with pats as (select pattern from ({_PIECES}) where length(pattern) >= 20),
+{_places('documents', 'doc_id', 'text', 400)}
+select doc_id, count(distinct pattern)::bigint as n from o join pats on starts_with(rest, pattern) group by doc_id"""
+)
+def benchmark_contamination(spark, sf_dir):
+    """How many of the benchmark's long fixed pieces each document holds."""
+    b = table(spark, sf_dir, "benchmark")
+    pieces = b.select(F.explode(F.split("text", r"[|\\.^$?*+\[]")).alias("pattern")).where(F.length("pattern") >= 20)
+    m = match_all(documents(spark, sf_dir), PatternSet.from_df(pieces), keys=["doc_id"])
+    return m.groupBy("doc_id").agg(F.countDistinct("pattern").alias("n"))
+
+
 # ---- the language ----------------------------------------------------------------
 
 for _name, _args in {
