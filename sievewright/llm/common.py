@@ -92,9 +92,10 @@ def single_spaced(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-#: Row keys up to this number (16 bytes each) are broadcast to meet the rows
+#: Rows of keys or small decisions up to this number (200 bytes each at most,
+#: so 20 MB) are broadcast to meet the rows
 #: where they are; above, rows are shuffled to meet the keys.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 100_000
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:

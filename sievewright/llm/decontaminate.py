@@ -33,8 +33,8 @@ from .common import SPACE, SPACE_CHARS, quoted, stash, text_or_empty, without
 MASKS = ("11010011", "110001011", "1001111")
 WINDOW = 13
 MIN_EQUAL = 10
-#: 24 bytes each; 100 MB at most.
-BROADCAST_SEEDS = 4_000_000
+#: About 60 bytes each in a hash table; 60 MB at most.
+BROADCAST_SEEDS = 1_000_000
 
 
 def token_hashes(text: Column) -> Column:

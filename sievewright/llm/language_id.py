@@ -46,8 +46,8 @@ from .lm_score import in_split
 
 U = np.uint64
 SEGMENT = 32
-#: Entries of the weight table, features times labels: 16 MB, whatever the input.
-TABLE = 1 << 22
+#: Entries of the weight table, features times labels: 8 MB, whatever the input.
+TABLE = 1 << 21
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
 
@@ -194,6 +194,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
     y_doc = np.array([labels.index(y) for _, y in rows])
     hashes = tk.span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, U)
     feats, ff = word_features(raw, starts, ends, hashes, bits)
+    feats = feats.astype(np.int32)
+    del raw, starts, ends, hashes
     fn = np.diff(np.append(ff, len(feats)))
     y = np.repeat(y_doc, np.diff(first))
     rng = np.random.default_rng(seed)
@@ -297,7 +299,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf | None, spans: bool)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(names_of[np.where(ok, pred, -1)].tolist(), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(runs if spans else [None] * n, pa.list_(span_type))], names)
 
 
-def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, remainder: int = 1, per_label: int = 400, sample_chars: int = 4000, spans: bool = False, model: Crf | None = None) -> DataFrame:
+def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, remainder: int = 1, per_label: int = 250, sample_chars: int = 3000, spans: bool = False, model: Crf | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, spans, th.
 
     spans (with ``spans``): runs of words with one most likely label.
