@@ -23,8 +23,6 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as plain characters, for trim().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
 
 _local_scratch: dict[str, str] = {}
 
@@ -75,11 +73,6 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z alone, unlike lower()."""
-    return F.translate(c, UPPER, LOWER)
-
-
 def n_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
