@@ -12,8 +12,8 @@
    With the default 32 x 4, two sets at 0.75 share no key with probability
    5e-6.
 4. *Stars.*  Each node is compared only with the leader of each of its buckets,
-   the one with the smallest document id: at most ``bands`` pairs a node,
-   whatever a bucket's size.
+   the node that meets most others over all its own buckets and so stands in the
+   middle of its group: at most ``bands`` pairs a node, whatever a bucket's size.
 5. *The rest, exactly.*  A bucket whose nodes are not one component by now may
    hide links its star has not seen.  The nodes of such buckets are joined by
    a prefix filter (shingles in one global order, rare first; two sets that
@@ -245,10 +245,15 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sk = stash(one.mapInArrow(partial(_sketches, k=k, bands=bands, rows=rows), T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])), "near-sketches")
     members = sk.select("doc_id", "th", "n_shingles", "node")
     # One row a class; a class with several texts keeps any one of them (their sets are equal).
-    classes = sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("th", "bands", "sig")])
-    band = classes.select("node", "low", F.explode("bands").alias("key"))
-    held = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("low", "node")).alias("leader")).where("c > 1").select("key", F.col("leader.node").alias("leader"))
-    buckets = stash(band.drop("low").join(held, "key"), "near-buckets")
+    classes = sk.where("node is not null").dropDuplicates(["node"]).select("node", "th", "bands", "sig")
+    band = classes.select("node", F.explode("bands").alias("key"))
+    held = band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = stash(band.join(held, "key"), "near-shared")
+    # the most central node of a bucket leads it: the one that meets most others in all its buckets
+    score = stash(shared.groupBy("node").agg(F.sum("c").alias("score")), "near-scores")
+    ranked = shared.join(score, "node").select("key", "node", "score")
+    lead = stash(ranked.groupBy("key").agg(F.max(F.struct("score", "node")).alias("leader")).select("key", F.col("leader.node").alias("leader")), "near-leaders")
+    buckets = stash(shared.select("key", "node").join(lead, "key"), "near-buckets")
     sigs = stash(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "th", "sig"), "near-sigs")
 
     def confirmed(pairs: DataFrame, source: DataFrame, name: str) -> DataFrame:
@@ -290,9 +295,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     members, roots = near_links(docs, id_col, text_col, **kw)
     ids = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    ids = ids.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    name = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = ids.join(name, "root").select("node", "component_id")
+    # written, so that the joins' sides are plain exchanges: then a component or a
+    # text with very many documents is split over tasks
+    ids = stash(ids.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "near-ids")
+    name = stash(ids.groupBy("root").agg(F.min("low").alias("component_id")), "near-names")
+    named = stash(ids.join(name, "root").select("node", "component_id"), "near-named")
     out = members.join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "th")
