@@ -151,7 +151,9 @@ def _drop(docs: DataFrame, found: DataFrame, text_col: str, min_chars: int) -> D
     text = text_or_empty(text_col)
     a, b = F.xxhash64(text), F.xxhash64(F.lit(5), text, F.length(text))
     each = distinct_keys(docs, lines_of(text), min_chars, a.alias("__a"), b.alias("__b"))
-    hit = each.join(found, ["h1", "h2"], "left_semi").groupBy("__a", "__b").agg(F.collect_set("h1").alias("__gone"))
+    # written, so that the join's sides are plain exchanges and a text with very
+    # many copies is split over tasks
+    hit = stash(each.join(found, ["h1", "h2"], "left_semi").groupBy("__a", "__b").agg(F.collect_set("h1").alias("__gone")), "line-hits")
     keyed = docs.select("*", a.alias("__ta"), b.alias("__tb"))
     both = keyed.join(hit, (F.col("__ta") == F.col("__a")) & (F.col("__tb") == F.col("__b")), "left").drop("__a", "__b", "__ta", "__tb")
     lines = lines_of(text)
