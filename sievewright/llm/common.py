@@ -85,8 +85,7 @@ def single_spaced(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-#: Rows of keys or small decisions up to this number (200 bytes each at most,
-#: so 20 MB) are broadcast to meet the rows
+#: Row keys up to this number (16 bytes each, a few MB as a hash table) are broadcast to meet the rows
 #: where they are; above, rows are shuffled to meet the keys.
 BROADCAST_KEYS = 100_000
 
