@@ -452,3 +452,20 @@ def test_host_boilerplate(spark, chunk):
     assert got[20] == ("", 0) and got[21] == got[22] and got[21][0].startswith("Head & line")
     assert "Site menu" in got[23][0] and got[24] == got[0]
     assert ht.extract_text(p.limit(0)).count() == 0
+
+
+def test_host_keeps_what_few_pages_share(spark):
+    chrome = "<div>Site menu home about contact us now and more</div>"
+    own = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(8)]
+    phrase = "as we have said so many times before"
+    body = {i: f"{own[i]} {phrase if i < 3 else 'x'} end {i}" for i in range(8)}
+    body |= {8: "the same story told " + own[0] + " in version one", 9: "the same story told " + own[0] + " in version two"}
+    rows = [(i, "http://h.example.com/", f"<body>{chrome}<div>{t}</div>") for i, t in body.items()]
+    rows += [(20 + i, "http://two.example.com/", f"<body><div>{body[8 + i]}</div>") for i in range(2)]
+    # an ordinary phrase on most pages makes no hole in a block
+    rows += [(30 + i, "http://most.example.com/", f"<body><div>{own[i]} {phrase} {own[i][::-1]}</div>") for i in range(4)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(p, chunk_tokens=100).collect()}
+    assert all(got[i] == t for i, t in body.items())
+    assert got[20] == body[8] and got[21] == body[9]
+    assert all(got[30 + i] == f"{own[i]} {phrase} {own[i][::-1]}" for i in range(4))
