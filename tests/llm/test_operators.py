@@ -469,3 +469,21 @@ def test_host_keeps_what_few_pages_share(spark):
     assert all(got[i] == t for i, t in body.items())
     assert got[20] == body[8] and got[21] == body[9]
     assert all(got[30 + i] == f"{own[i]} {phrase} {own[i][::-1]}" for i in range(4))
+
+
+def test_markup_keeps_whole_articles():
+    body = " ".join(f"word{i}" for i in range(60))
+    card = "<article><h3>Teaser</h3></article>"
+    # a card next to the body
+    assert body in ht.split_page(f"<main><div>{body}</div>{card}</main>")[0]
+    text, rest = ht.split_page(f"<div>{body}</div>{card}")
+    assert text is None and (False, body) in rest
+    assert ht.split_page(f"<main><p>by</p><article>{body}</article></main>")[0] == body
+    # a form around the page, with a form of its own in it
+    assert ht.split_page(f"<form id=aspnetForm><article>{body}</article><p>out</p></form>")[0] == body
+    assert ht.split_page(f"<form role=form><div>{body}</div><form>go</form></form><p>x</p>") == (None, [(False, body), (True, "go"), (False, "x")])
+    assert ht.split_page(f"<article>{body}<form>subscribe now</form></article>")[0] == body
+    # ids of what the article is about
+    about = "<section id=discussion><p>one</p></section><h2 id=related-work>two</h2><div id=search-algorithms>three</div>"
+    assert ht.split_page(f"<article id=related-work>{about}</article>")[0] == "one\n\ntwo\n\nthree"
+    assert ht.split_page(f"<article>{body}<div id=related-posts>a</div><section id=comments>b</section><div class=main-nav>c</div></article>")[0] == body
