@@ -193,6 +193,17 @@ def shingle_order(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+#: n and pos as long: the length test of ``_may_overlap`` multiplies them.
+PREFIX = "shingle long, node long, comp long, n long, pos long, indexed boolean"
+
+
+def _may_overlap(threshold: int) -> str:
+    """The condition that sets a (the shorter or equal) and b, which share the
+    shingles at a.pos and b.pos, can still reach the threshold."""
+    need = f"100 * (1 + least(a.n - a.pos - 1, b.n - b.pos - 1)) * {100 + threshold} >= {100 * threshold} * (a.n + b.n)"
+    return f"100 * a.n >= {threshold} * b.n and {need}"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(node, comp, text) to a row for each shingle of the probing prefix.
 
@@ -218,8 +229,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: int, order:
                     pa.array(s[on].view(np.int64)),
                     b.column(0).slice(i, j - i).take(pa.array(r)),
                     b.column(1).slice(i, j - i).take(pa.array(r)),
-                    pa.array(n[r].astype(np.int32)),
-                    pa.array(pos[on].astype(np.int32)),
+                    pa.array(n[r].astype(np.int64)),
+                    pa.array(pos[on].astype(np.int64)),
                     pa.array(pos[on] < index[r]),
                 ],
                 ["shingle", "node", "comp", "n", "pos", "indexed"],
@@ -276,11 +287,10 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = comp.join(mixed, "key", "left_semi").select("node", "comp").distinct()
     rest = stash(texts.join(rest, "node").select("node", "comp", "text"), "near-rest")
     order = shingle_order(rest, k)
-    pre = rest.mapInArrow(partial(_prefixes, k=k, threshold=threshold, order=order), "shingle long, node long, comp long, n int, pos int, indexed boolean")
+    pre = rest.mapInArrow(partial(_prefixes, k=k, threshold=threshold, order=order), PREFIX)
     pre = stash(pre, "near-prefixes")
     a, b = pre.where("indexed").alias("a"), pre.alias("b")
-    need = f"100 * (1 + least(a.n - a.pos - 1, b.n - b.pos - 1)) * {100 + threshold} >= {100 * threshold} * (a.n + b.n)"
-    cand = a.join(b, F.expr(f"a.shingle = b.shingle and a.comp <> b.comp and (a.n < b.n or (a.n = b.n and a.node <> b.node)) and 100 * a.n >= {threshold} * b.n and {need}"))
+    cand = a.join(b, F.expr(f"a.shingle = b.shingle and a.comp <> b.comp and (a.n < b.n or (a.n = b.n and a.node <> b.node)) and {_may_overlap(threshold)}"))
     cand = cand.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = confirmed(cand, texts, "near-more")
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)

@@ -9,6 +9,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,20 @@ def test_near_survivors(spark):
     assert nd.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_near_lengths_of_very_long_texts(spark):
+    # the length test on the columns that the prefix join reads, with sets of 160000 to 30 million shingles
+    n = [(160_000, 160_000, 0, 0), (160_000, 160_000, 30_000, 0), (160_000, 213_334, 0, 0), (30_000_000, 31_000_000, 100, 5)]
+    rows = [((1, i, 1, a, p, True), (1, i, 2, b, q, True)) for i, (a, b, p, q) in enumerate(n)]
+    pairs = spark.createDataFrame(rows, f"a struct<{nd.PREFIX}>, b struct<{nd.PREFIX}>")
+    got = {r["i"]: r["ok"] for r in pairs.select("a.node", F.expr(nd._may_overlap(75)).alias("ok")).toDF("i", "ok").collect()}
+    assert got == {i: 100 * a >= 75 * b and 100 * (1 + min(a - p - 1, b - q - 1)) * 175 >= 7500 * (a + b) for i, (a, b, p, q) in enumerate(n)}
+    # and through the rows of the operator itself
+    text = " ".join(map(str, range(160_000)))
+    order = np.zeros((2, 1 << nd.ORDER_BITS), np.uint32)
+    made = next(nd._prefixes(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], ["node", "comp", "text"])]), 5, 75, order))
+    assert [str(made.schema.field(c).type) for c in ("n", "pos")] == ["int64", "int64"] and made.column(3)[0].as_py() == 159_996
+
+
 def test_sketch_fills_and_concentrates():
     rng = np.random.default_rng(0)
     for size in (1, 2, 30, 4000):
