@@ -10,7 +10,8 @@ its words with letters, which is also the score.
 
 Training runs on the driver on a bounded sample of labelled rows: about
 ``per_label`` rows of each label, chosen by a hash of the id, each up to
-``sample_chars`` code points.  Sequences are made of pieces of up to three
+``sample_chars`` code points, from a place anywhere in the text that a hash
+chooses.  Sequences are made of pieces of up to three
 sampled texts, so that switches are learned too.  Everything else reads whole
 texts.
 
@@ -257,7 +258,11 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         return []
     share = F.create_map(*[z for y, n in sorted(counts.items()) for z in (F.lit(y), F.lit(min(1.0, per_label / n)))])
     dice = F.pmod(F.xxhash64(F.lit("language"), "i"), F.lit(1 << 30)) / F.lit(1 << 30)
-    got = rows.where(dice < F.element_at(share, F.col("y"))).select("i", "y", F.substring("x", 1, sample_chars).alias("x"))
+    # the window's place, and no word that its start cuts
+    start = F.pmod(F.xxhash64(F.lit("window"), "i", "x"), F.greatest(F.length("x") - sample_chars + 1, F.lit(1)).cast("long")).cast("int")
+    window = F.col("x").substr(start + 1, F.lit(sample_chars))
+    window = F.when(start > 0, F.regexp_replace(window, r"^\S+\s+", "")).otherwise(window)
+    got = rows.where(dice < F.element_at(share, F.col("y"))).select("i", "y", window.alias("x"))
     got = got.orderBy(F.xxhash64("i", "x")).limit(2 * per_label * len(counts)).collect()
     return [(r["x"], r["y"]) for r in got]
 

@@ -374,6 +374,18 @@ def test_language(spark):
     assert li.detect_language(d.limit(0)).count() == 0
 
 
+def test_language_learns_from_whole_texts(spark):
+    # every text begins with what tells nothing
+    rng = random.Random(8)
+    rows = [(i, "same words here " * 40 + t, y) for i, t, y in language_rows(rng, 300)]
+    d = spark.createDataFrame([(i, t, y, "s", 0, 7, "x", 1, 2) for i, t, y in rows], DOC)
+    got = li.training_sample(d, "doc_id", "text", "lang", 3, 1, 100, 60)
+    assert len(got) > 100 and all(len(x) <= 60 for x, _ in got)
+    assert any(w[0] in "bxz" for x, _ in got for w in x.split())
+    whole = {w for _, t, _ in rows for w in t.split()}
+    assert all(x.split()[0] in whole for x, _ in got)
+
+
 # ---- URL filter -------------------------------------------------------------------------------
 
 
