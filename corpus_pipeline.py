@@ -17,8 +17,9 @@ from sievewright.llm.line_dedup import drop_common_lines, with_kept_text
 from sievewright.llm.mixing import mixed_documents
 from sievewright.llm.near_dedup import drop_near_copies
 
-#: A text whose language is told with less than this goes.  Prose in one
-#: language scores above 0.9, and texts that switch between two about 0.5.
+#: A text goes whose words are told with less than this, in the mean of each
+#: word's largest posterior: a text that switches languages is as sure as one
+#: that does not.
 MIN_LANGUAGE_SCORE = 0.4
 #: Lines found in so many documents go.
 COMMON_LINE_DOCS = 10

@@ -267,18 +267,18 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(r["x"], r["y"]) for r in got]
 
 
-OUT = T.StructType([T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("lang", T.StringType())])))])
+OUT = T.StructType([T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("lang", T.StringType())])))])
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model: Crf | None, spans: bool) -> Iterator[pa.RecordBatch]:
     span_type = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())])
-    names = ["doc_id", "held_out", "lang_pred", "score", "spans"]
+    names = ["doc_id", "held_out", "lang_pred", "score", "sure", "spans"]
     for b in batches:
         for i, j, raw, off in tk.blocks(b.column(3), 1 << 19):
             n = j - i
             letter = b.column(2).slice(i, n).to_numpy(zero_copy_only=False)
             starts, ends, first = tk.word_spans(raw, off)
-            pred, score = np.full(n, -1), np.zeros(n)
+            pred, score, sure = np.full(n, -1), np.zeros(n), np.zeros(n)
             runs = [[] for _ in range(n)]
             if model is not None and len(starts):
                 h = tk.span_hashes(raw, starts, ends)
@@ -292,6 +292,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf | None, spans: bool)
                 weight = np.bincount(row, w, n)
                 pred = np.where(weight > 0, total.argmax(1), -1)
                 score = np.where(weight > 0, total.max(1) / np.maximum(weight, 1), 0.0).clip(0, 1)
+                sure = (np.bincount(row, post.max(1) * w, n) / np.maximum(weight, 1)).clip(0, 1)
                 if spans:
                     best = post.argmax(1)
                     new = np.ones(len(best), bool)
@@ -301,12 +302,13 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf | None, spans: bool)
                         runs[row[c]].append({"first_word": int(c - first[row[c]]), "n_words": int(e - c), "lang": model.labels[best[c]]})
             ok = letter & (pred >= 0)
             names_of = np.array([*(model.labels if model else []), "und"], object)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(names_of[np.where(ok, pred, -1)].tolist(), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(runs if spans else [None] * n, pa.list_(span_type))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(names_of[np.where(ok, pred, -1)].tolist(), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, sure, 0.0)), pa.array(runs if spans else [None] * n, pa.list_(span_type))], names)
 
 
 def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, remainder: int = 1, per_label: int = 250, sample_chars: int = 3000, spans: bool = False, model: Crf | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, spans, th.
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, sure, spans, th.
 
+    sure: the mean over words with letters of each word's largest posterior.
     spans (with ``spans``): runs of words with one most likely label.
     th: hash of the text, to join the row back.  Pass a ``model`` to predict
     without training.
@@ -321,9 +323,10 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5, languages: list[str] | None = None, **kw) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``min_score``
-    (and is one of ``languages``), with all their columns."""
-    told = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+    """The rows of ``docs`` whose words are told with at least ``min_score`` in
+    the mean, be they of one language or more (and whose main one is one of
+    ``languages``), with all their columns."""
+    told = (F.col("lang_pred") != "und") & (F.col("sure") >= min_score)
     if languages is not None:
         told = told & F.col("lang_pred").isin(languages)
     return without(docs, detect_language(docs, id_col, text_col, **kw).where(~told).select("doc_id", "th"), id_col, text_col)

@@ -386,6 +386,17 @@ def test_language_learns_from_whole_texts(spark):
     assert all(x.split()[0] in whole for x, _ in got)
 
 
+def test_texts_in_many_languages_stay(spark):
+    rng = random.Random(9)
+    say = {"aa": ["bla", "blub"], "hh": ["hih", "huh"], "mm": ["mom", "mum"], "zz": ["xix", "xax"]}
+    rows = [(i, " ".join(rng.choice(say[y]) for _ in range(20)), y) for i in range(200) for y in [rng.choice(list(say))]]
+    mixed = " ".join(rng.choice(v) for v in say.values() for _ in range(20))
+    d = spark.createDataFrame([(i, t, y, "s", 0, 7, "x", 1, 2) for i, t, y in [*rows, (900, mixed, None)]], DOC)
+    got = {r["doc_id"]: r for r in li.detect_language(d).collect()}
+    assert got[900]["score"] < 0.4 and got[900]["sure"] > 0.8
+    assert li.keep_languages(d, min_score=0.4).where("doc_id = 900").count() == 1
+
+
 # ---- URL filter -------------------------------------------------------------------------------
 
 
