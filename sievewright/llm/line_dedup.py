@@ -4,8 +4,8 @@ The store keeps, for each line key, in how many documents it was found, as
 sorted runs of (128-bit line hash, documents).  A batch of documents adds one
 run at level 0; when a level holds ``fanout`` runs they are merged into one
 run of the next level.  Runs are Parquet files sorted by hash inside hash
-partitions, so a merge is one co-partitioned aggregation and a lookup one
-merge join.
+partitions; Spark shuffles and sorts them again for a merge (one aggregation)
+or a lookup (one join).
 
 Two ways to use it:
 
