@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="sievewright-")
@@ -60,6 +64,28 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings (dots as __) for what is run inside; as before afterwards."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def arrow_bytes(spark: SparkSession, n: int):
+    """Arrow batches of at most about ``n`` bytes for what is run inside."""
+    return session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=n)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,6 +95,27 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, changed where a column has them already (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``row``, so that none clashes with those of an operator."""
+    return F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns given back from ``row``, under their names."""
+    return [F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
@@ -92,8 +139,9 @@ BROADCAST_KEYS = 100_000
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows whose key is in ``gone`` (id, text hash), all columns kept."""
-    g = stash(gone.toDF("__gone_id", "__gone_th").distinct(), "gone")
+    rid, rth, gid, gth = free_names(docs.columns, "__row_id", "__row_th", "__gone_id", "__gone_th")
+    g = stash(gone.toDF(gid, gth).distinct(), "gone")
     g = F.broadcast(g) if g.count() <= BROADCAST_KEYS else g
-    rows = docs.select("*", quoted(id_col).alias("__row_id"), F.xxhash64(text_or_empty(text_col)).alias("__row_th"))
-    left = rows.join(g, F.col("__row_id").eqNullSafe(F.col("__gone_id")) & (F.col("__row_th") == F.col("__gone_th")), "left_anti")
+    rows = docs.select("*", quoted(id_col).alias(rid), F.xxhash64(text_or_empty(text_col)).alias(rth))
+    left = rows.join(g, F.col(rid).eqNullSafe(F.col(gid)) & (F.col(rth) == F.col(gth)), "left_anti")
     return left.select(*[quoted(c) for c in docs.columns])

@@ -8,13 +8,19 @@ read each, and parses the records.
 
 * Of pages with equal payloads of at least ``min_bytes`` bytes, the one with
   the largest page_id is written in full (``response``), the others as
-  ``revisit`` records that refer to it.
+  ``revisit`` records that refer to it.  Payloads are equal if their size,
+  SHA-1 and SHA-256 are.
 * A task attempt writes files under a name of its own.  The index is what
   commits them: it holds the rows of the attempts that Spark accepted, so files
   of lost or repeated attempts are never read.
 * Files are written and read through pyarrow's file systems by their URI, so
-  the folder can be local, HDFS or an object store.  The payloads move once,
-  to meet the page they repeat; only digests do before.
+  the folder can be local, HDFS or an object store.
+* Only digests are shuffled.  Those that occur more than once come back to the
+  pages: up to ``BROADCAST_DIGESTS`` of them (counted) as a broadcast, so that
+  every payload is written by the task that reads it; above, pages are shuffled
+  to meet them.  A revisit's payload is dropped before Python sees its row.
+* Records are written a few at a time (``SLICE_BYTES``), and read back in tasks
+  of about ``TASK_BYTES`` of archive, dealt by the records' summed lengths.
 
 Defined cases: null html is the empty payload; null url: no target URI, null
 when read; rows without page_id are revisits where another row with their
@@ -33,17 +39,28 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.shipping import ship
 
-from .common import new_path, quoted, stash, text_or_empty
+from .common import arrow_bytes, new_path, partitions, quoted, stash, text_or_empty
 
 #: A file is closed, and another begun, when it has this size.
 FILE_BYTES = 256 << 20
+#: Payloads held as Python objects at once, and in a batch of records read.
+SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch from Spark.
+ARROW_BYTES = 16 << 20
+#: Archive bytes (compressed) of a reading task: cut into stretches of a
+#: quarter of it, which are dealt out.
+TASK_BYTES = 32 << 20
+#: About 200 bytes each in a hash table; 20 MB at most.
+BROADCAST_DIGESTS = 100_000
 #: Ranges with at most this between them are read at once, up to a size.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 INDEX = "page_id long, url string, file string, offset long, length long, record_type string, payload_digest string"
@@ -72,9 +89,9 @@ def _member(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, keep: int | None, date: str) -> tuple[str, bytes]:
-    """(type, record) of a page; ``keep``: the page that it repeats, or None."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, keep: int | None, date: str) -> tuple[str, bytes]:
+    """(type, record) of a page; ``keep``: the page that it repeats, or None; then the payload isn't needed."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     kind = "response" if keep is None else "revisit"
     fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, url, digest)), ("WARC-Date", date)]
     if url is not None:
@@ -88,13 +105,24 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return kind, _headers(fields, len(block)) + block + b"\r\n\r\n"
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about ``most`` bytes of a string column."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, sha1, keep) rows to records in files; gives their index rows."""
+    """(page_id, url, html, sha1, size, keep) rows to records in files; gives their index rows."""
     store, path = pafs.FileSystem.from_uri(folder)
     name, out, at = None, None, 0
-    for b in batches:
+    for b in _sliced(batches, 2):
         rows = {c: [] for c in ("page_id", "url", "file", "offset", "length", "record_type", "payload_digest")}
-        for page_id, url, html, sha, keep in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for page_id, url, html, sha, size, keep in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if out is None or at >= file_bytes:
                 if out is not None:
                     out.close()
@@ -104,7 +132,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: i
                 head = b"software: sievewright\r\nformat: WARC File Format 1.1\r\n"
                 at += out.write(_member(_headers([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], len(head)) + head + b"\r\n\r\n", level))
             digest = base64.b32encode(bytes.fromhex(sha)).decode()
-            kind, record = page_record(page_id, url, html.encode(), digest, keep, date)
+            kind, record = page_record(page_id, url, (html or "").encode(), size, digest, keep, date)
             data = _member(record, level)
             out.write(data)
             for c, v in zip(rows, (page_id, url, f"{folder}/{name}", at, len(data), kind, digest), strict=True):
@@ -118,15 +146,21 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: i
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives and gives their index."""
-    ship(pages.sparkSession)
-    folder = (folder or new_path(pages.sparkSession, "warc")).rstrip("/")
+    spark = pages.sparkSession
+    ship(spark)
+    folder = (folder or new_path(spark, "warc")).rstrip("/")
     html = text_or_empty(html_col)
-    rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    again = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top")).where("n > 1").select(F.col("sha").alias("a_sha"), "top")
-    both = rows.join(again, (F.col("sha") == F.col("a_sha")) & (F.col("size") >= min_bytes), "left")
+    digest = [F.octet_length(html).alias("size"), F.sha1(html.cast("binary")).alias("sha"), F.sha2(html.cast("binary"), 256).alias("sha2")]
+    ids = quoted(id_col).cast("long").alias("page_id")
+    seen = pages.select(ids, *digest).where(F.col("size") >= min_bytes).groupBy("size", "sha", "sha2")
+    again = stash(seen.agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top")).where("n > 1").select(F.col("size").alias("a_size"), F.col("sha").alias("a_sha"), F.col("sha2").alias("a_sha2"), "top"), "warc-again")
+    few = again.count() <= BROADCAST_DIGESTS
+    rows = pages.select(ids, quoted(url_col).cast("string").alias("url"), html.alias("html"), *digest)
+    both = rows.join(F.broadcast(again) if few else again, (F.col("size") == F.col("a_size")) & (F.col("sha") == F.col("a_sha")) & (F.col("sha2") == F.col("a_sha2")), "left")
     keep = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
-    dealt = both.select("page_id", "url", "html", "sha", keep.alias("keep"))
-    return stash(dealt.mapInArrow(partial(_written, folder=folder, date=date, level=level, file_bytes=file_bytes), INDEX), "warc-index")
+    dealt = both.select("page_id", "url", F.when(keep.isNull(), F.col("html")).alias("html"), "sha", "size", keep.alias("keep"))
+    with arrow_bytes(spark, ARROW_BYTES):
+        return stash(dealt.mapInArrow(partial(_written, folder=folder, date=date, level=level, file_bytes=file_bytes), INDEX), "warc-index")
 
 
 def parse_record(data: bytes) -> dict:
@@ -162,6 +196,13 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = R
     return out
 
 
+def _records(rows: list[dict]) -> pa.RecordBatch:
+    cols = {c: [r[c] for r in rows] for c in ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to")}
+    cols["payload"] = [None if r["payload"] is None else r["payload"].decode() for r in rows]
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
+
+
 def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     """(file, offset, length) rows, sorted, to records."""
     file, handle = None, None
@@ -180,11 +221,17 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
             ranges = list(zip(offsets[i:j], lengths[i:j], strict=True))
             for first, end, at, size in coalesced(ranges):
                 data = handle.read_at(size, at)
-                rows = [parse_record(zlib.decompress(data[o - at : o - at + n], 31)) for o, n in ranges[first:end]]
-                cols = {c: [r[c] for r in rows] for c in ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to")}
-                cols["payload"] = [None if not with_payload or r["payload"] is None else r["payload"].decode() for r in rows]
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
+                rows, held = [], 0
+                for o, n in ranges[first:end]:
+                    rows.append(parse_record(zlib.decompress(data[o - at : o - at + n], 31)))
+                    held += len(rows[-1]["payload"] or b"") if with_payload else 0
+                    if not with_payload:
+                        rows[-1]["payload"] = None
+                    if held >= SLICE_BYTES:
+                        yield _records(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _records(rows)
             i = j
     if handle is not None:
         handle.close()
@@ -193,8 +240,13 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of index rows: page_id, url, record_type, payload_bytes,
     payload_digest, refers_to, payload (null for revisits, or without ``with_payload``)."""
-    ship(index.sparkSession)
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    ship(spark)
+    # stretches of files; each is read by one task, in order
+    stretch = F.floor(F.col("offset") / F.lit(TASK_BYTES // 4))
+    total, files = index.agg(F.sum("length"), F.countDistinct("file")).first()
+    n = max(-(-(total or 0) // TASK_BYTES), min(files, partitions(spark)), 1)
+    places = index.select("file", "offset", "length").repartition(n, "file", stretch).sortWithinPartitions("file", "offset")
     return places.mapInArrow(partial(_read, with_payload=with_payload), RECORD)
 
 
