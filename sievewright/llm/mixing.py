@@ -2,40 +2,52 @@
 
 Every row gets a hash-random key of its id.  The key space is cut into
 equal ranges (the keys are uniform, so no splitters need sampling), which
-range-sorts each source over many tasks: sums per (source, range), prefix
-sums of those within a source, and a running sum inside one range give every
-row its distributed prefix sum of words.  A source is cut where the prefix sum
-meets its budget; a budget above the source's size repeats whole epochs first.
+range-sorts each source over many tasks.  Sums per (source, range) and prefix
+sums of those tell in which range a source meets its budget; only the rows of
+that range are sorted, and their prefix sums give the row at the cut.  A
+budget above the source's size repeats whole epochs first.
+
+So the mix of a source is one number of epochs and one cut: rows in order
+before it are taken once more than those after it, and the row at the cut
+gives the words that are left.  Every row decides that where it is, against
+the table of cuts (one row a source); no document moves.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and
 share ``share`` of all words; a target stops at ``max_epochs`` times its
 source's size and the excess is shared again by weight until none is above
 (found in closed form, by a level over sources ordered by cap / weight).
 
-The row at the cut gives only the words up to the budget.
-
 Defined cases: null text has size 0; null source is a source, last in order;
-rows of equal id and size are interchangeable, each is counted; empty table,
-empty result; a source without words has target 0.
+repeated rows (equal in id, source and text) each count, and where the cut
+falls among them the words left go to one after the other; empty table, empty
+result; a source without words has target 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import n_words, quoted, stash, text_or_empty
 
 #: Ranges of a source's key space.  A source of 10 billion rows has 2.4
-#: million rows a range.
+#: million rows a range, and only one of its ranges is sorted.
 RANGES = 4096
+#: Sources up to this number have their cuts broadcast (about 100 bytes each).
+BROADCAST_SOURCES = 100_000
+#: Columns that the mix adds to documents.
+MIXED = ("mix_size", "mix_target", "mix_taken")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, share: float = 1.0) -> DataFrame:
-    """(source, source_size) to (source, source_size, target)."""
+    """(source, source_size) to (source, source_size, target).
+
+    The weights go by the rank of a source among all, so its windows are over
+    the whole table of sources: one narrow row each.
+    """
     k = len(weights)
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % k + 1).cast("int"))
@@ -50,6 +62,60 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_e
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, ranges: int, *more: Column) -> DataFrame:
+    """(source, id, key, range, text) and columns ``more`` of a row."""
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), quoted(id_col).cast("string"))), 1, 15), 16, 10).cast("long")  # 60 bits
+    place = F.shiftright(F.shiftright(key, 40) * F.lit(ranges), 20).cast("int")
+    return docs.select(*more, quoted(source_col).alias("source"), quoted(id_col).alias("id"), key.alias("key"), place.alias("range"), text_or_empty(text_col).alias("text"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Adds size and place (what orders the rows of a source), if the text is there to be counted."""
+    if "text" in rows.columns:
+        rows = rows.withColumns({"size": n_words(F.col("text")), "th": F.xxhash64("text")}).drop("text")
+    return rows.withColumn("place", F.struct("key", "id", "size", "th"))
+
+
+def source_cuts(rows: DataFrame, weights: Sequence[float], max_epochs: float, share: float) -> DataFrame:
+    """Keyed rows to one row a source: c_source, source_size, target, epochs,
+    cut (the place of the last rows that are taken from in the broken epoch,
+    null if there is none), left (the words that those rows give, together)."""
+    parts = stash(_sized(rows).groupBy("source", "range").agg(F.sum("size").alias("part")), "mix-ranges")
+    t = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, max_epochs, share)
+    budget = F.floor("target")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    t = t.withColumn("epochs", epochs).withColumn("over", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
+    t = stash(t.withColumnRenamed("source", "c_source"), "mix-targets")
+    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    p = parts.withColumn("ahead", F.coalesce(F.sum("part").over(along), F.lit(0)))
+    at = p.join(t.where("over > 0"), F.col("source").eqNullSafe(F.col("c_source"))).where("ahead < over and over <= ahead + part")
+    at = stash(at.select(F.col("c_source").alias("a_source"), F.col("range").alias("a_range"), (F.col("over") - F.col("ahead")).alias("rest")), "mix-at")
+    # the words of a row are counted once more only for the ranges that hold a cut
+    near = _sized(rows.join(_small(at), F.col("source").eqNullSafe(F.col("a_source")) & (F.col("range") == F.col("a_range"))))
+    near = near.groupBy("a_source", "rest", "place").agg(F.sum("size").alias("words"))
+    inside = Window.partitionBy("a_source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("upto", F.sum("words").over(inside)).where("upto - words < rest and rest <= upto")
+    cut = near.select("a_source", F.col("place").alias("cut"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
+    return stash(t.join(cut, F.col("c_source").eqNullSafe(F.col("a_source")), "left").drop("a_source", "over"), "mix-cuts")
+
+
+def _small(per_source: DataFrame) -> DataFrame:
+    """A written table with one row a source at most, broadcast if they are few."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds size, place, source_size, target and taken to keyed rows."""
+    once, again = F.col("size") * F.col("epochs"), F.col("size") * (F.col("epochs") + 1)
+    both = _sized(rows.join(_small(cuts), F.col("source").eqNullSafe(F.col("c_source"))))
+    apart = both.where("cut is null or place <> cut").withColumn("taken", F.when(F.col("place") < F.col("cut"), again).otherwise(once))
+    # the rows at the cut, equal in place, share what is left in any order
+    at = _sized(rows.join(_small(cuts), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("key") == F.col("cut.key")))).where("place = cut")
+    nth = F.row_number().over(Window.partitionBy("source", "place").orderBy(F.lit(0))) - 1
+    at = at.withColumn("taken", once + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - nth * F.col("size"))))
+    return apart.unionByName(at).withColumn("taken", F.col("taken").cast("long"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -62,37 +128,28 @@ def mix_sources(
     ranges: int = RANGES,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken."""
-    narrow = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size"))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")  # 60 bits
-    narrow = narrow.withColumn("key", key).withColumn("range", F.shiftright(F.shiftright("key", 40) * F.lit(ranges), 20).cast("int"))
-    narrow = stash(narrow, "mix")
-    parts = narrow.groupBy("source", "range").agg(F.sum("size").alias("part"))
-    parts = stash(parts, "mix-ranges")
-    targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, max_epochs, share)
-    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(along), F.lit(0)))
-    t = targets.withColumnRenamed("source", "t_source")
-    parts = parts.join(t, parts["source"].eqNullSafe(t["t_source"])).select(F.col("source").alias("p_source"), F.col("range").alias("p_range"), "ahead", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = narrow.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.join(parts, rows["source"].eqNullSafe(parts["p_source"]) & (rows["range"] == parts["p_range"]))
-    budget = F.floor("target")
-    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = budget - F.col("full") * F.col("source_size") - F.col("ahead") - F.col("inside")
-    rows = rows.withColumn("full", full)
-    taken = F.col("size") * F.col("full") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    narrow = stash(_sized(_keyed(docs, id_col, text_col, source_col, seed, ranges)).drop("place"), "mix")
+    got = _taken(narrow, source_cuts(narrow, weights, max_epochs, share))
+    return got.select(F.col("place.id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (1, 2, 3),
+    max_epochs: int = 3,
+    share: float = 1.0,
+    seed: int = 20240229,
+    ranges: int = RANGES,
+) -> DataFrame:
     """``docs`` without the rows of which the mix takes nothing, with columns
-    ``mix_size``, ``mix_target`` and ``mix_taken`` added (words)."""
-    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    source_col = kw.get("source_col", "source")
-    got = mix_sources(docs, **kw).where("taken > 0")
-    got = got.groupBy("doc_id", "source", "size").agg(F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken"))
-    got = got.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), "mix_target", "mix_taken")
-    got = stash(got, "mix-taken")
-    rows = docs.withColumn("__n", n_words(text_or_empty(text_col)))
-    both = rows.join(got, quoted(id_col).eqNullSafe(F.col("__i")) & quoted(source_col).eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("mix_size")))
-    return both.select(*[quoted(c) for c in docs.columns], "mix_size", "mix_target", "mix_taken")
+    ``mix_size``, ``mix_target`` and ``mix_taken`` added (words).
+
+    Columns of those names in ``docs``, as of a mix before, are replaced.
+    """
+    keep = [c for c in docs.columns if c.lower() not in MIXED]
+    keyed = _keyed(docs, id_col, text_col, source_col, seed, ranges, F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"))
+    got = _taken(keyed, source_cuts(keyed.drop("row"), weights, max_epochs, share)).where("taken > 0")
+    return got.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
