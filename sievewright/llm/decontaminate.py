@@ -10,6 +10,13 @@ The three masks are chosen so that whichever three tokens of a window of 13
 are substituted, one mask still fits on tokens that are not: the hits miss no
 overlap of the rule above (tests/llm checks all 286 choices).
 
+An item shorter than the window is its own window and overlaps where all its
+tokens stand in a row; its seed is one mask of ones over the whole item.
+
+Most places of a corpus fit no seed at all.  So every place first asks for its
+masks' keys in the set of distinct seeds, in one row a place; only places that
+have one are unfolded by mask and joined with the items.
+
 The seeds of a benchmark of up to ``BROADCAST_SEEDS`` hashes (counted) are
 broadcast, and a document is hashed, probed and verified in one pass without
 moving its text.  Above, hashes are shuffled to meet the seeds and only the
@@ -17,9 +24,9 @@ hits' documents are read again.
 
 Tokens are runs without space and U+0009..U+000D, in lower case.
 
-Defined cases: null or wordless texts overlap with nothing; benchmark items
-with fewer tokens than the window are not searched, and null item ids count
-as an item; repeated rows are flagged alike; an empty benchmark flags nothing.
+Defined cases: null or wordless texts and items overlap with nothing; null
+item ids count as an item; repeated rows are flagged alike; an empty benchmark
+flags nothing; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -43,30 +50,51 @@ def token_hashes(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(t, SPACE + "+", -1), lambda x: F.xxhash64(x)))
 
 
-def seeded(df: DataFrame, h: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """Rows (keep..., pos, key): the key of each mask at each position where it fits.
+def numbered(masks: tuple[str, ...], short: list[int]) -> dict[int, str]:
+    """The masks by number: those for windows, then (from 100 on) one for items of each short size."""
+    return dict(enumerate(masks)) | {100 + n: "1" * n for n in short}
+
+
+def placed(df: DataFrame, h: str, keep: list[str], masks: dict[int, str]) -> DataFrame:
+    """Rows (keep..., pos, k<mask>...): the key of each mask at each position, null where it doesn't fit.
 
     Shifted copies of the hash array are zipped and unfolded, so that the
     hashing itself runs in generated code.
     """
-    places = sorted({i for m in masks for i, c in enumerate(m) if c == "1"})
+    places = sorted({i for m in masks.values() for i, c in enumerate(m) if c == "1"})
     zipped = F.arrays_zip(*[(F.col(h) if i == 0 else F.slice(F.col(h), F.lit(i + 1), F.greatest(F.size(h), F.lit(1)))).alias(f"c{i}") for i in places])
     rows = df.withColumn("__z", zipped).select(*keep, F.posexplode_outer("__z").alias("pos", "__w"))
     keys = []
-    for n, m in enumerate(masks):
+    for n, m in masks.items():
         at = [i for i, c in enumerate(m) if c == "1"]
-        keys.append(F.when(F.col(f"__w.c{at[-1]}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"__w.c{i}") for i in at])))
-    return rows.select(*keep, "pos", F.explode_outer(F.array(*keys)).alias("key")).where("key is not null")
+        keys.append(F.when(F.col(f"__w.c{at[-1]}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"__w.c{i}") for i in at])).alias(f"k{n}"))
+    return rows.select(*keep, "pos", *keys)
+
+
+def seeded(df: DataFrame, h: str, keep: list[str], masks: dict[int, str]) -> DataFrame:
+    """Rows (keep..., pos, key): a row for each mask at each position where it fits."""
+    rows = placed(df, h, keep, masks)
+    return rows.select(*keep, "pos", F.explode_outer(F.array(*[F.col(f"k{n}") for n in masks])).alias("key")).where("key is not null")
+
+
+def _gated(rows: DataFrame, distinct: DataFrame, masks: dict[int, str]) -> DataFrame:
+    """Places some of whose keys are seeds."""
+    cols, hit = rows.columns, F.lit(False)
+    for n in masks:
+        rows = rows.join(F.broadcast(distinct.select(F.col("key").alias(f"s{n}"))), F.col(f"k{n}") == F.col(f"s{n}"), "left")
+        hit = hit | F.col(f"s{n}").isNotNull()
+    return rows.where(hit).select(*cols)
 
 
 def _verified(hits: DataFrame, window: int, min_equal: int) -> DataFrame:
     """Hits with both hash arrays (h, ih) to overlaps (__id, __th, item_id, doc_from, item_from, n_aligned, n_equal, best)."""
     a = hits.withColumn("doc_from", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0))).withColumn("item_from", F.greatest(F.col("ipos") - F.col("pos"), F.lit(0)))
-    a = a.withColumn("n_aligned", F.least(F.size("h") - F.col("doc_from"), F.size("ih") - F.col("item_from"))).where(F.col("n_aligned") >= window)
+    wide, need = F.least(F.lit(window), F.size("ih")), F.when(F.size("ih") >= window, F.lit(min_equal)).otherwise(F.size("ih"))
+    a = a.withColumn("n_aligned", F.least(F.size("h") - F.col("doc_from"), F.size("ih") - F.col("item_from"))).where(F.col("n_aligned") >= wide)
     a = a.withColumn("same", F.zip_with(F.slice("h", F.col("doc_from") + 1, F.col("n_aligned")), F.slice("ih", F.col("item_from") + 1, F.col("n_aligned")), lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(0))))
     add = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
-    a = a.withColumn("best", F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_aligned") - window), lambda i: add(F.slice("same", i + 1, F.lit(window))))))
-    a = a.where(F.col("best") >= min_equal).withColumn("n_equal", add(F.col("same")))
+    a = a.withColumn("best", F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_aligned") - wide), lambda i: add(F.slice("same", i + 1, wide)))))
+    a = a.where(F.col("best") >= need).withColumn("n_equal", add(F.col("same")))
     return a.select("__id", "__th", "item_id", "doc_from", "item_from", "n_aligned", "n_equal", "best").distinct()
 
 
@@ -75,9 +103,14 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     __id, __th (id and text hash of the document), item_id, doc_from,
     item_from (first aligned token, from 0), n_aligned, n_equal (tokens), best
     (most equal tokens in a window)."""
-    items = benchmark.select(quoted(item_col).alias("item_id"), token_hashes(text_or_empty(item_text_col)).alias("ih")).where(F.size("ih") >= window)
+    items = benchmark.select(quoted(item_col).alias("item_id"), token_hashes(text_or_empty(item_text_col)).alias("ih")).where(F.size("ih") > 0)
     items = stash(items.distinct(), "benchmark")
-    seeds = stash(seeded(items, "ih", ["item_id", "ih"], masks).select("key", "item_id", F.xxhash64("ih").alias("__ith"), F.col("pos").alias("ipos")), "seeds")
+    short = sorted(r["n"] for r in items.select(F.size("ih").alias("n")).where(F.col("n") < window).distinct().collect())  # at most the window's size of rows
+    kinds = numbered(masks, short)
+    begin = seeded(items.where(F.size("ih") >= window), "ih", ["item_id", "ih"], numbered(masks, []))
+    for n in short:
+        begin = begin.unionByName(seeded(items.where(F.size("ih") == n), "ih", ["item_id", "ih"], {100 + n: "1" * n}))
+    seeds = stash(begin.select("key", "item_id", F.xxhash64("ih").alias("__ith"), F.col("pos").alias("ipos")), "seeds")
     items = items.select("item_id", F.xxhash64("ih").alias("__ith"), "ih")
     small = seeds.count() <= broadcast_seeds
     text = text_or_empty(text_col)
@@ -85,9 +118,11 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     i = items.select(F.col("item_id").alias("__i"), F.col("__ith").alias("__j"), "ih")
     on_item = F.col("item_id").eqNullSafe(F.col("__i")) & (F.col("__ith") == F.col("__j"))
     if small:
-        hits = seeded(tokens, "h", ["__id", "__th", "h"], masks).join(F.broadcast(seeds), "key").join(F.broadcast(i), on_item)
+        near = _gated(placed(tokens, "h", ["__id", "__th", "h"], kinds), stash(seeds.select("key").distinct(), "seed-keys"), kinds)
+        near = near.select("__id", "__th", "h", "pos", F.explode_outer(F.array(*[F.col(f"k{n}") for n in kinds])).alias("key")).where("key is not null")
+        hits = near.join(F.broadcast(seeds), "key").join(F.broadcast(i), on_item)
     else:
-        found = seeded(tokens, "h", ["__id", "__th"], masks).join(seeds, "key")
+        found = seeded(tokens, "h", ["__id", "__th"], kinds).join(seeds, "key")
         found = stash(found.groupBy("__id", "__th", "item_id", "__ith", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.min("ipos").alias("ipos")), "seed-hits")
         found = found.select(F.col("__id").alias("f_id"), F.col("__th").alias("f_th"), "item_id", "__ith", "ipos", (F.col("diagonal") + F.col("ipos")).alias("pos"))
         hits = tokens.join(found, F.col("__id").eqNullSafe(F.col("f_id")) & (F.col("__th") == F.col("f_th"))).join(i, on_item)

@@ -56,7 +56,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir), min_docs=10, min_chars=1, batches=4, fanout=4)
+    return line_report(documents(spark, sf_dir), min_docs=10, min_chars=1, batches=4)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,14 +155,14 @@ with d as (
 ),
 b as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark),
 dt as (select rid, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as pos from d),
-bt as (select item_id, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as pos from b where len(ws) >= 13),
+bt as (select item_id, len(ws) as n, least(len(ws), 13) as wide, case when len(ws) >= 13 then 10 else len(ws) end as need, unnest(ws) as w, generate_subscripts(ws, 1) as pos from b),
 m as (
-  select rid, item_id, dt.pos - bt.pos as diagonal, bt.pos as ipos
+  select rid, item_id, need, dt.pos - bt.pos as diagonal, bt.pos as ipos
   from dt join bt using (w)
-  where least(dt.n - greatest(dt.pos - bt.pos, 0), bt.n - greatest(bt.pos - dt.pos, 0)) >= 13
+  where least(dt.n - greatest(dt.pos - bt.pos, 0), bt.n - greatest(bt.pos - dt.pos, 0)) >= wide
 ),
-c as (select rid, item_id, count(*) over (partition by rid, item_id, diagonal order by ipos range between current row and 12 following) as equal from m),
-f as (select rid, item_id, max(equal) as best from c group by all having max(equal) >= 10),
+c as (select rid, item_id, need, count(*) over (partition by rid, item_id, diagonal order by ipos range between current row and 12 following) as equal from m),
+f as (select rid, item_id, max(equal) as best from c group by rid, item_id, need having max(equal) >= need),
 g as (select rid, count(*)::bigint as n_items, string_agg(item_id::varchar, ',' order by item_id) as items, max(best)::bigint as best from f group by rid)
 select doc_id, g.rid is not null as contaminated, coalesce(n_items, 0) as n_items, items, coalesce(best, 0) as best from d left join g using (rid)
 """
