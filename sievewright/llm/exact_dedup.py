@@ -10,7 +10,7 @@ row is compared in full with the one before it.
   group of copies of any size is divided over partitions by id.
 * A run that touches the edge of its partition may go on in the next one.
   Such runs are at most two a partition; their summaries are merged by digest
-  and broadcast (bound: two rows per partition).
+  and join the rows again, as a broadcast up to ``BROADCAST_EDGES`` (counted).
 
 Defined cases: null text counts as empty; the smallest id stays, a null id
 only where the whole group has none; of rows with equal text and id one
@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 
 from sievewright.shipping import ship
 
-from .common import partitions, quoted, single_spaced, stash, text_or_empty
+from .common import packed, partitions, quoted, single_spaced, stash, text_or_empty, unpacked
 
 #: Code points of the text that lead the range key; the rest is told apart by
 #: the digest, and equality is always decided on the full text.
 LEAD = 24
+#: About 200 bytes each in a hash table; 20 MB at most.
+BROADCAST_EDGES = 100_000
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +97,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("keep_id", kind), T.StructField("group_size", T.LongType()), T.StructField("head", T.BooleanType()), T.StructField("text_sha256", T.StringType()), T.StructField("edge", T.BooleanType())])
     local = stash(dealt.select("doc_id", "norm", "sha").mapInArrow(_runs, out), "exact")
-    edges = local.where("edge and head").groupBy(F.col("text_sha256").alias("e_sha")).agg(F.min("keep_id").alias("e_keep"), F.sum("group_size").alias("e_size"))
-    both = local.join(F.broadcast(edges), (F.col("text_sha256") == F.col("e_sha")) & F.col("edge"), "left")
+    edges = stash(local.where("edge and head").groupBy(F.col("text_sha256").alias("e_sha")).agg(F.min("keep_id").alias("e_keep"), F.sum("group_size").alias("e_size")), "exact-edges")
+    few = edges.count() <= BROADCAST_EDGES
+    both = local.join(F.broadcast(edges) if few else edges, (F.col("text_sha256") == F.col("e_sha")) & F.col("edge"), "left")
     return both.select(
         "doc_id",
         F.when(F.col("e_size").isNull(), F.col("keep_id")).otherwise(F.col("e_keep")).alias("keep_id"),
@@ -112,8 +115,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows equal in id and normalised text but not in other columns count as
     repeated: the one smallest by its columns' JSON text stays.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.select("*", quoted(id_col).alias("__id"), F.sha2(single_spaced(text_or_empty(text_col)), 256).alias("__sha"))
-    both = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
-    one = both.groupBy("__id", "__sha").agg(F.min_by(F.struct(*[quoted(c) for c in docs.columns]), F.to_json(F.struct(*[quoted(c) for c in docs.columns]))).alias("__row"))
-    return one.select("__row.*")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    rows = docs.select(packed(docs), quoted(id_col).alias("id"), F.sha2(single_spaced(text_or_empty(text_col)), 256).alias("sha"))
+    both = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    return both.groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row")).select(*unpacked(docs.columns))

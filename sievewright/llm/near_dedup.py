@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from sievewright.shipping import ship
 
 from . import tokens as tk
-from .common import quoted, stash, text_or_empty, without
+from .common import packed, quoted, stash, text_or_empty, unpacked, without
 from .components import components
 
 U = np.uint64
@@ -325,10 +325,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = rows.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).where("n > 1")
     if same.isEmpty():
         return left
-    same = stash(same.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t")), "near-same")
-    every = rows.where("kept and n_shingles > 0").select("doc_id", "th").join(same, F.col("doc_id").eqNullSafe(F.col("__i"))).select("doc_id", "th")
+    same = stash(same.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")), "near-same")
+    every = rows.where("kept and n_shingles > 0").select("doc_id", "th").join(same, F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "th")
     rest = without(left, every, id_col, text_col)
-    one = left.join(same, quoted(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__t")))
-    cols = F.struct(*[quoted(c) for c in docs.columns])
-    one = one.groupBy("__i", "__t").agg(F.min_by(cols, F.to_json(cols)).alias("__row")).select("__row.*")
+    keyed = left.select(packed(left), quoted(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"))
+    one = keyed.join(same, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")))
+    one = one.groupBy("s_id", "s_th").agg(F.min_by("row", F.to_json("row")).alias("row")).select(*unpacked(docs.columns))
     return rest.unionByName(one)
