@@ -9,40 +9,44 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.operators.dfa_kernel import scan
+from sievewright.operators.dfa_kernel import scan, split_batches
 from sievewright.patterns import PatternSet
 from sievewright.shipping import ship
 
 MATCH = T.StructType([T.StructField("pattern_id", T.IntegerType()), T.StructField("pattern", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
 
-def _rows(tables, sources, text: str | None) -> list[tuple[int, str, int, int]]:
-    out = []
-    for t in tables:
-        _, p, s, e = scan(t, [text or ""])
-        out += [(int(i), sources[i], int(a), int(b)) for i, a, b in zip(p, s, e, strict=True)]
-    return sorted(out, key=lambda m: (m[2], m[1], m[3]))
+def _rows(tables, sources, texts: list[str | None]) -> list[list[tuple[int, str, int, int]]]:
+    """The matches of each text; texts are scanned in batches."""
+    out: list[list[tuple[int, str, int, int]]] = [[] for _ in texts]
+    for first, part in split_batches(texts):
+        for t in tables:
+            for r, i, a, b in zip(*(x.tolist() for x in scan(t, part)), strict=True):
+                out[first + r].append((i, sources[i], a, b))
+    for x in out:
+        x.sort(key=lambda m: (m[2], m[1], m[3]))
+    return out
 
 
-def register_udtf(spark: SparkSession, patterns: PatternSet, name: str = "multi_match") -> None:
-    """``SELECT * FROM docs, LATERAL multi_match(docs.text)``"""
+def register_array(spark: SparkSession, patterns: PatternSet, name: str = "multi_match_array") -> None:
+    """``SELECT multi_match_array(text)``: array of (pattern_id, pattern, start_pos, end_pos)."""
     ship(spark)
     tables, sources = patterns.tables(), patterns.sources
 
-    class MultiMatch:
-        def eval(self, text: str) -> Iterator[tuple]:
-            yield from _rows(tables, sources, text)
+    @F.pandas_udf(T.ArrayType(MATCH))
+    def multi(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(MATCH.names, m, strict=True)) for m in row] for row in _rows(tables, sources, texts.tolist())])
 
-    spark.udtf.register(name, F.udtf(MultiMatch, returnType=MATCH))
+    spark.udf.register(name, multi)
 
 
-def register_array(spark: SparkSession, patterns: PatternSet, name: str = "multi_match_array") -> None:
-    """``SELECT multi_match_array(text)``: array of (pattern_id, pattern, start_pos, end_pos)."""
+def register_udtf(spark: SparkSession, patterns: PatternSet, name: str = "multi_match") -> None:
+    """``SELECT * FROM docs, LATERAL multi_match(docs.text)``"""
     ship(spark)
     tables, sources = patterns.tables(), patterns.sources
 
-    @F.pandas_udf(T.ArrayType(MATCH))
-    def multi(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(MATCH.names, m, strict=True)) for m in _rows(tables, sources, x)] for x in texts])
+    class MultiMatch:
+        def eval(self, text: str) -> Iterator[tuple]:
+            yield from _rows(tables, sources, [text])[0]
 
-    spark.udf.register(name, multi)
+    spark.udtf.register(name, F.udtf(MultiMatch, returnType=MATCH))

@@ -25,25 +25,26 @@ def intersection(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> D
     return a.select(*cols).intersect(b.select(*cols))
 
 
+def _sides(a: DataFrame, b: DataFrame, keys: list[str] | None) -> DataFrame:
+    """Each distinct match of both sides once, with lo and hi: 1 for a, 2 for b.  Null keys are equal here."""
+    cols = [*(keys or []), *ORDER]
+    both = a.select(*cols, F.lit(1).alias("x")).unionByName(b.select(*cols, F.lit(2).alias("x")))
+    return both.groupBy(*cols).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
 def only_in(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Matches of ``a`` that ``b`` hasn't, once each."""
-    cols = [*(keys or []), *ORDER]
-    return a.select(*cols).distinct().join(b.select(*cols), cols, "left_anti")
+    return _sides(a, b, keys).where("hi = 1").select(*(keys or []), *ORDER)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Matches of one side alone, with a column ``side`` (a or b)."""
-    cols = [*(keys or []), *ORDER]
-    both = a.select(*cols, F.lit(1).alias("x")).unionByName(b.select(*cols, F.lit(2).alias("x")))
-    g = both.groupBy(*cols).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo = hi")
-    return g.select(*cols, F.when(F.col("lo") == 1, "a").otherwise("b").alias("side"))
+    return _sides(a, b, keys).where("lo = hi").select(*(keys or []), *ORDER, F.when(F.col("lo") == 1, "a").otherwise("b").alias("side"))
 
 
 def pair_counts(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row (n_matches, n_mismatches): in both, and on one side alone."""
-    cols = [*(keys or []), *ORDER]
-    both = a.select(*cols, F.lit(1).alias("x")).unionByName(b.select(*cols, F.lit(2).alias("x")))
-    g = both.groupBy(*cols).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    g = _sides(a, b, keys)
     return g.agg(F.coalesce(F.sum(F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_matches"), F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_mismatches"))
 
 
@@ -64,7 +65,11 @@ def overlap_classes(a: DataFrame, b: DataFrame, keys: list[str], first: int | No
     x = x.withColumn("bucket", F.explode(buckets("a_start", "a_end")))
     y = y.withColumn("bucket", F.explode(buckets("b_start", "b_end")))
     # a pair is met in the bucket where their overlap begins
-    j = x.join(y, [*keys, "bucket"]).where("a_start <= b_end and b_start <= a_end").where(F.col("bucket") == F.floor(F.greatest("a_start", "b_start") / span))
+    z = y.select(*[F.col(k).alias(f"b_key{i}") for i, k in enumerate(keys)], F.col("bucket").alias("b_bucket"), "b_pattern", "b_start", "b_end")
+    on = F.col("bucket") == F.col("b_bucket")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"b_key{i}"))
+    j = x.join(z, on).where("a_start <= b_end and b_start <= a_end").where(F.col("bucket") == F.floor(F.greatest("a_start", "b_start") / span))
     inside = lambda p, lo, hi: (F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi))
     a_start, a_end, b_start, b_end = inside("a_start", "b_start", "b_end"), inside("a_end", "b_start", "b_end"), inside("b_start", "a_start", "a_end"), inside("b_end", "a_start", "a_end")
     return j.select(*keys, "a_pattern", "a_start", "a_end", "b_pattern", "b_start", "b_end", (b_start & b_end).alias("a_contains_b"), a_start.alias("a_start_in_b"), a_end.alias("a_end_in_b"), (a_start & a_end).alias("b_contains_a"), b_start.alias("b_start_in_a"), b_end.alias("b_end_in_a"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 
 from sievewright.patterns.automaton import Table
 
+from .bloom import GramGate
+
 #: Characters stepped over at once, and steps between merges.
 BATCH_CHARS = 200_000
 MERGE_EVERY = 24
@@ -28,8 +30,11 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
 
 
-def scan(table: Table, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pattern, start, end) of all matches; positions in the row, both included."""
+def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pattern, start, end) of all matches; positions in the row, both included.
+
+    gate: leaves out starts at which no pattern's beginning can be.
+    """
     codes, begin = code_points(texts)
     n = len(codes)
     none = tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -47,6 +52,8 @@ def scan(table: Table, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
     is_last[begin[1:][np.diff(begin) > 0] - 1] = True
     # every place whose character begins something
     count = np.diff(table.first_at)[cls[:n]]
+    if gate is not None:
+        count = np.where(gate.may_begin(codes), count, 0)
     start = np.repeat(np.arange(n), count)
     total = len(start)
     pick = np.arange(total) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls[:n]], count)
@@ -131,15 +138,46 @@ def split_batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, part
 
 
-def match_batches(batches: Iterator[pa.RecordBatch], tables: list[Table]) -> Iterator[pa.RecordBatch]:
+def match_batches(batches: Iterator[pa.RecordBatch], tables: list[Table], names: pa.Array, gate: GramGate | None = None, with_text: bool = False, counters=None) -> Iterator[pa.RecordBatch]:
     """Batches of keys and, as the last column, texts to batches of keys,
-    pattern_id, start_pos, end_pos."""
+    pattern_id, pattern, start_pos, end_pos and, if asked for, matched_text."""
     for b in batches:
         for first, part in split_batches(b.column(b.num_columns - 1).to_pylist()):
+            if counters is not None:
+                counters.inc("scans", len(part))
             for table in tables:
-                row, pattern, start, end = scan(table, part)
+                row, pattern, start, end = scan(table, part, gate)
+                if counters is not None:
+                    counters.inc("matches", len(row))
                 if len(row):
                     take = pa.array(row + first)
-                    keys = [c.take(take) for c in b.columns[:-1]]
-                    names = b.schema.names[:-1]
-                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x.astype(np.int32)) for x in (pattern, start, end))], [*names, "pattern_id", "start_pos", "end_pos"])
+                    cols = [*(c.take(take) for c in b.columns[:-1]), pa.array(pattern.astype(np.int32)), names.take(pa.array(pattern)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+                    labels = [*b.schema.names[:-1], "pattern_id", "pattern", "start_pos", "end_pos"]
+                    if with_text:
+                        cols.append(pa.array([part[r][x : y + 1] for r, x, y in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string()))
+                        labels.append("matched_text")
+                    yield pa.RecordBatch.from_arrays(cols, labels)
+
+
+def rows_with_match(batches: Iterator[pa.RecordBatch], tables: list[Table], gate: GramGate | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, without its last column, the texts, in which some pattern matches."""
+    for b in batches:
+        hit = np.zeros(b.num_rows, bool)
+        for first, part in split_batches(b.column(b.num_columns - 1).to_pylist()):
+            for table in tables:
+                left = np.flatnonzero(~hit[first : first + len(part)])  # one match will do
+                if len(left):
+                    hit[first + left[scan(table, [part[i] for i in left], gate)[0]]] = True
+        if hit.any():
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(hit))
+
+
+def counted_batches(batches: Iterator[pa.RecordBatch], tables: list[Table], n_patterns: int, gate: GramGate | None = None) -> Iterator[pa.RecordBatch]:
+    """Texts to (pattern_id, n): one row a task and pattern found."""
+    total = np.zeros(n_patterns, np.int64)
+    for b in batches:
+        for _, part in split_batches(b.column(0).to_pylist()):
+            for table in tables:
+                total += np.bincount(scan(table, part, gate)[1], minlength=n_patterns)
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["pattern_id", "n"])

@@ -21,6 +21,14 @@ BROADCAST_LITERALS = 200_000
 CLASSES = (1, 2, 3, 5, 8, 13, 24)
 
 
+def per_pattern(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows about patterns (texts, names, actions), broadcast if they are few.
+
+    They come from a pattern set, which the driver holds anyway.
+    """
+    return F.broadcast(rows) if n <= BROADCAST_LITERALS else rows
+
+
 def length_class(n: int) -> int:
     return max(c for c in CLASSES if c <= n)
 
@@ -33,17 +41,17 @@ def windows(df: DataFrame, text_col: str, keys: list[str], longest: int) -> Data
     return d.select(*keys, "at", F.substring(F.col("__t"), F.col("at") + 1, F.lit(CHUNK - 1 + longest)).alias("window"))
 
 
-def literal_matches(df: DataFrame, literals: list[tuple[int, str]], text_col: str, keys: list[str]) -> DataFrame:
-    """(keys..., pattern_id, start_pos, end_pos): every occurrence, overlapping or not, of (pattern id, literal)."""
+def literal_matches(df: DataFrame, literals: list[tuple[int, str]], text_col: str, keys: list[str], matched_text: bool = False) -> DataFrame:
+    """(keys..., pattern_id, start_pos, end_pos[, matched_text]): every occurrence, overlapping or not, of (pattern id, literal), row by row."""
     spark = df.sparkSession
+    literals = list(dict.fromkeys(literals))
+    more = [F.col("literal").alias("matched_text")] * matched_text
     if not literals:
-        return df.select(*keys, F.lit(0).alias("pattern_id"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos")).where(F.lit(False))
+        return df.select(*keys, F.lit(0).alias("pattern_id"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"), *[F.lit("").alias("matched_text")] * matched_text).where(F.lit(False))
     longest = max(len(x) for _, x in literals)
     classes = sorted({length_class(len(x)) for _, x in literals})
     rows = [(i, x, length_class(len(x)), x[: length_class(len(x))]) for i, x in literals]
-    lits = spark.createDataFrame(rows, "pattern_id int, literal string, k int, gram string")
-    if len(rows) <= BROADCAST_LITERALS:
-        lits = F.broadcast(lits)
+    lits = per_pattern(spark.createDataFrame(rows, "pattern_id int, literal string, k int, gram string"), len(rows))
     w = windows(df, text_col, keys, longest)
     # the heads of all literals: a window without any gives no places
     places = w.select(*keys, "at", "window", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), F.length("window") - 1))).alias("o"))
@@ -54,8 +62,4 @@ def literal_matches(df: DataFrame, literals: list[tuple[int, str]], text_col: st
         places = places.withColumn("k", F.lit(classes[0]))
     places = places.withColumn("gram", F.substring(F.col("rest"), F.lit(1), F.col("k")))
     hit = places.join(lits, ["k", "gram"]).where(F.col("rest").startswith(F.col("literal")))
-    return hit.select(*keys, "pattern_id", "start_pos", (F.col("start_pos") + F.length("literal") - 1).alias("end_pos")).distinct() if _ambiguous(literals) else hit.select(*keys, "pattern_id", "start_pos", (F.col("start_pos") + F.length("literal") - 1).alias("end_pos"))
-
-
-def _ambiguous(literals: list[tuple[int, str]]) -> bool:
-    return len(set(literals)) < len(literals)
+    return hit.select(*keys, "pattern_id", "start_pos", (F.col("start_pos") + F.length("literal") - 1).alias("end_pos"), *more)

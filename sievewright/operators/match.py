@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,46 +19,82 @@ from sievewright.patterns import PatternSet
 from sievewright.plans.router import ARROW, JOIN, route
 from sievewright.shipping import ship
 
-from .dfa_kernel import match_batches
-from .literal_join import literal_matches
+from .bloom import ACTIVATION_PATTERNS, GramGate
+from .dfa_kernel import counted_batches, match_batches, rows_with_match
+from .literal_join import literal_matches, per_pattern
 from .prefilter import row_filter
 
+TEXT = "__text"
 
-def _kernel(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, keys: list[str], prefilter: bool) -> DataFrame:
+
+def gate_of(patterns: PatternSet, ids: list[int], bloom: str = "auto") -> GramGate | None:
+    """The Bloom gate of the patterns.  ``auto`` uses it from ACTIVATION_PATTERNS
+    patterns on; it needs a fixed beginning of every pattern, else there is none."""
+    if bloom not in ("auto", "on", "off"):
+        raise ValueError(f"bloom {bloom!r} is not one of auto, on, off")
+    if bloom == "off" or bloom == "auto" and len(ids) < ACTIVATION_PATTERNS:
+        return None
+    return GramGate.of([patterns.parsed[i] for i in ids])
+
+
+def _texts(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, columns: list[str], prefilter: bool) -> DataFrame:
+    """The columns and, last, the text, of rows that may hold a match."""
     ship(df.sparkSession)
-    rows = df.select(*keys, F.col(text_col).alias("__text"))
+    rows = df.select(*[F.col(_quoted_name(c)) for c in columns], F.col(text_col).alias(TEXT))
     if prefilter:
         part = PatternSet(tuple(patterns.sources[i] for i in ids), tuple(patterns.actions[i] for i in ids))
-        cond = row_filter(part, F.col("__text"))
+        cond = row_filter(part, F.col(TEXT))
         rows = rows.where(cond) if cond is not None else rows
-    fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start_pos", "end_pos")]
-    return rows.mapInArrow(partial(match_batches, tables=patterns.tables(ids)), T.StructType(fields))
+    return rows
+
+
+def _quoted_name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _kernel(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, keys: list[str], prefilter: bool, bloom: str, matched_text: bool, counters) -> DataFrame:
+    rows = _texts(df, patterns, ids, text_col, keys, prefilter)
+    fields = [*rows.schema.fields[:-1], T.StructField("pattern_id", T.IntegerType()), T.StructField("pattern", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
+    fields += [T.StructField("matched_text", T.StringType())] * matched_text
+    tables = patterns.tables(ids)
+    if counters is not None:
+        for t in tables:
+            counters.inc("dfa_states", len(t.trans))
+            counters.inc("dfa_edges", int((t.trans > 0).sum()))
+    fn = partial(match_batches, tables=tables, names=pa.array(patterns.sources, pa.string()), gate=gate_of(patterns, ids, bloom), with_text=matched_text, counters=counters)
+    return rows.mapInArrow(fn, T.StructType(fields))
 
 
-def match_all(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys: list[str] | None = None, strategy: str = "auto", prefilter: bool = True, shards: int = 1) -> DataFrame:
+def match_all(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys: list[str] | None = None, strategy: str = "auto", prefilter: bool = True, shards: int | str = 1, bloom: str = "auto", matched_text: bool = False, counters=None) -> DataFrame:
     """(keys..., pattern_id, pattern, start_pos, end_pos): all matches of all
     patterns at all starts; places are code points from 0, both ends included.
 
     strategy: auto, join (fixed texts only) or dfa.  shards: split the
     patterns by a hash of their text and scan for each part on its own (the
-    tables of a very large set).  Null texts match nothing.
+    tables of a very large set); ``auto`` takes as many as the cluster's cores
+    ask for.  bloom: see ``gate_of``.  matched_text: adds what matched.
+    counters: ``stats.ObjectCounters`` to count states, scans and matches.
+    Null texts match nothing.
     """
     keys = keys or [c for c in df.columns if c != text_col]
+    if shards == "auto":
+        shards = default_shards(df.sparkSession.sparkContext.defaultParallelism)
     parts = []
     for shard in range(shards):
         own = [i for i, s in enumerate(patterns.sources) if shards == 1 or _shard(s, shards) == shard]
         routed = route(patterns, own, strategy)
         if routed[JOIN]:
             lits = [(i, x) for i in routed[JOIN] for x in patterns.parsed[i].literals()]
-            parts.append(literal_matches(df.select(*keys, text_col), lits, text_col, keys))
+            parts.append(with_pattern(literal_matches(df.select(*keys, text_col), lits, text_col, keys, matched_text), patterns, keys, matched_text))
         if routed[ARROW]:
-            parts.append(_kernel(df, patterns, routed[ARROW], text_col, keys, prefilter))
+            parts.append(_kernel(df, patterns, routed[ARROW], text_col, keys, prefilter, bloom, matched_text, counters))
     if not parts:
-        return df.select(*keys, F.lit(0).alias("pattern_id"), F.lit("").alias("pattern"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos")).where(F.lit(False))
+        none = df.select(*keys, F.lit(0).alias("pattern_id"), F.lit("").alias("pattern"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
+        return (none.withColumn("matched_text", F.lit("")) if matched_text else none).where(F.lit(False))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return with_pattern(out, patterns, keys)
+    return out
 
 
 def default_shards(cpus: int) -> int:
@@ -69,47 +106,33 @@ def _shard(source: str, shards: int) -> int:
     return zlib.crc32(source.encode()) % shards
 
 
-def with_pattern(matches: DataFrame, patterns: PatternSet, keys: list[str]) -> DataFrame:
-    """Adds the pattern's text.  Small sets as an array literal, large by a join."""
+def with_pattern(matches: DataFrame, patterns: PatternSet, keys: list[str], matched_text: bool = False) -> DataFrame:
+    """Adds the pattern's text to matches of the join: small sets as an array literal, large by a join."""
+    cols = [*keys, "pattern_id", "pattern", "start_pos", "end_pos", *["matched_text"] * matched_text]
     if len(patterns) <= 1000:
         names = F.array(*[F.lit(s) for s in patterns.sources])
-        return matches.select(*keys, "pattern_id", F.element_at(names, F.col("pattern_id") + 1).alias("pattern"), "start_pos", "end_pos")
+        return matches.withColumn("pattern", F.element_at(names, F.col("pattern_id") + 1)).select(*cols)
     names = matches.sparkSession.createDataFrame(list(enumerate(patterns.sources)), "pattern_id int, pattern string")
-    return matches.join(F.broadcast(names), "pattern_id").select(*keys, "pattern_id", "pattern", "start_pos", "end_pos")
+    return matches.join(per_pattern(names, len(patterns)), "pattern_id").select(*cols)
 
 
 def with_actions(matches: DataFrame, patterns: PatternSet) -> DataFrame:
     """One row per match and action of its pattern, in a column ``action``."""
     acts = patterns.to_df(matches.sparkSession).select("pattern_id", F.explode("actions").alias("action"))
-    return matches.join(F.broadcast(acts), "pattern_id")
+    return matches.join(per_pattern(acts, sum(map(len, patterns.actions))), "pattern_id")
 
 
-def with_text(matches: DataFrame, df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """Adds matched_text, cut from the texts by key."""
-    t = df.select(*keys, F.col(text_col).alias("__text"))
-    got = matches.join(t, keys)
-    return got.withColumn("matched_text", F.substring(F.col("__text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos") + 1)).drop("__text")
-
-
-def match_counts(df: DataFrame, patterns: PatternSet, text_col: str = "text", strategy: str = "auto") -> DataFrame:
-    """(pattern, n): matches of each pattern, 0 included.
-
-    A few fixed texts are counted by an overlapping regular expression inside
-    generated code, without a row per match.
-    """
-    names = patterns.to_df(df.sparkSession).select("pattern")
-    fixed = [p.literals() for p in patterns.parsed]
-    if strategy == "auto" and len(patterns) <= 16 and all(x and len(x) == 1 for x in fixed):
-        sums = df.select(*[F.sum(F.regexp_count(F.col(text_col), F.lit("(?=" + _quoted(x[0]) + ")"))).alias(f"c{i}") for i, x in enumerate(fixed)])
-        pairs = F.array(*[F.struct(F.lit(s).alias("pattern"), F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("long").alias("n")) for i, s in enumerate(patterns.sources)])
-        return sums.select(F.explode(pairs).alias("p")).select("p.pattern", "p.n")
-    one = df.select(F.lit(0).alias("__k"), F.col(text_col))
-    n = match_all(one, patterns, text_col, ["__k"], strategy).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(n, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def _quoted(s: str) -> str:
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def match_counts(df: DataFrame, patterns: PatternSet, text_col: str = "text", strategy: str = "auto", prefilter: bool = True, bloom: str = "auto") -> DataFrame:
+    """(pattern, n): matches of each pattern, 0 included; no row per match is made."""
+    ids = list(range(len(patterns)))
+    names = patterns.to_df(df.sparkSession).select("pattern_id", "pattern")
+    if route(patterns, ids, strategy)[JOIN]:
+        n = match_all(df.select(F.lit(0).alias("k"), F.col(text_col)), patterns, text_col, ["k"], strategy).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        rows = _texts(df, patterns, ids, text_col, [], prefilter)
+        fn = partial(counted_batches, tables=patterns.tables(ids), n_patterns=len(patterns), gate=gate_of(patterns, ids, bloom))
+        n = rows.mapInArrow(fn, "pattern_id int, n long").groupBy("pattern_id").agg(F.sum("n").alias("n"))
+    return names.join(n, "pattern_id", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def count_rollup(matches: DataFrame, column: str = "pattern") -> DataFrame:
@@ -117,11 +140,12 @@ def count_rollup(matches: DataFrame, column: str = "pattern") -> DataFrame:
     return matches.rollup(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def match_any(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys: list[str] | None = None, **kw) -> DataFrame:
-    """The rows of ``df`` in which some pattern matches."""
-    keys = keys or [c for c in df.columns if c != text_col]
-    hit = match_all(df, patterns, text_col, keys, **kw).select(*keys).distinct()
-    return df.join(hit, keys, "left_semi")
+def match_any(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys: list[str] | None = None, prefilter: bool = True, bloom: str = "auto") -> DataFrame:
+    """The rows of ``df`` in which some pattern matches, each as often as it is
+    there: all their columns, or just ``keys``."""
+    ids = list(range(len(patterns)))
+    rows = _texts(df, patterns, ids, text_col, keys or df.columns, prefilter)
+    return rows.mapInArrow(partial(rows_with_match, tables=patterns.tables(ids), gate=gate_of(patterns, ids, bloom)), T.StructType(rows.schema.fields[:-1]))
 
 
 def is_single(start: str = "start_pos", end: str = "end_pos"):

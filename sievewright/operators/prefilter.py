@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sievewright.patterns import PatternSet
 from sievewright.patterns.ast import Lit, Pattern
 
-from .literal_join import literal_matches
+from .literal_join import literal_matches, per_pattern
 
 # Scores and word list of the literal selection.
 MIN_LITERAL_LENGTH = 2
@@ -49,9 +49,12 @@ class HintOptions:
         return min(1.0, max(0.0, self.common_word_factor))
 
 
+# Fixed value: letters that are not themselves after a backslash.
+ESCAPED = "nrtfaebBAdDsSwWzZ"
+
 _PIECE = re.compile(
     r"\\Q(?P<quoted>.*?)(?:\\E|\Z)"  # a quote ends the literal before it and is one itself
-    r"|\\(?P<special>[nrtfaebBAdDsSwWzZ])"
+    rf"|\\(?P<special>[{ESCAPED}])"
     r"|\\(?P<escaped>.)|\\\Z"
     r"|\[[^\]]*(?:\]|\Z)"
     r"|\(\?:|[()|*+?.^${}]"
@@ -154,7 +157,7 @@ def candidates(df: DataFrame, hints: list[LiteralHint], text_col: str, keys: lis
     off = {h.pattern_id: (len(h.literal), h.literal_offset_in_match) for h in hints}
     got = literal_matches(df, forms, text_col, keys)
     extra = df.sparkSession.createDataFrame([(i, n, o) for i, (n, o) in off.items()], "pattern_id int, literal_length int, literal_offset_in_match int")
-    got = got.join(F.broadcast(extra), "pattern_id").withColumn("end_index_exclusive", F.col("end_pos") + 1)
+    got = got.join(per_pattern(extra, len(off)), "pattern_id").withColumn("end_index_exclusive", F.col("end_pos") + 1)
     got = got.withColumn("start_pos", F.col("end_index_exclusive") - F.col("literal_length") - F.col("literal_offset_in_match")).where("start_pos >= 0")
     return got.select(*keys, "pattern_id", "end_index_exclusive", "literal_length", "literal_offset_in_match", "start_pos")
 

@@ -94,14 +94,20 @@ def throughput(runs: DataFrame, bytes_col: str = "bytes", time_col: str = "durat
 
 
 def throughput_ratio(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Ratio of two throughputs and its band: excellent over 2, good over 1, comparable over 0.8, else slower."""
-    j = a.select(*by, F.col("mb_per_s").alias("a_mb_per_s")).join(b.select(*by, F.col("mb_per_s").alias("b_mb_per_s")), by)
+    """``a`` with a_mb_per_s, b_mb_per_s (joined by ``by``), their ratio and its
+    band: excellent over 2, good over 1, comparable over 0.8, else slower."""
+    j = a.withColumnRenamed("mb_per_s", "a_mb_per_s").join(b.select(*by, F.col("mb_per_s").alias("b_mb_per_s")), by)
     r = F.col("a_mb_per_s") / F.col("b_mb_per_s")
     return j.withColumn("ratio", r).withColumn("band", F.when(r > 2.0, "excellent").when(r > 1.0, "good").when(r > 0.8, "comparable").otherwise("slower"))
 
 
 class ObjectCounters:
-    """Named counters over a cluster: accumulators, with a snapshot."""
+    """Named counters over a cluster: accumulators, with a snapshot on the driver.
+
+    ``match_all(..., counters=)`` counts the states and edges of its tables
+    there, and the texts scanned and matches found on the executors (a task
+    that runs twice counts twice, as accumulators do).
+    """
 
     def __init__(self, spark: SparkSession, names: tuple[str, ...] = COUNTERS):
         self._acc = {n: spark.sparkContext.accumulator(0) for n in names}
@@ -144,3 +150,29 @@ def run_pairs(engines: dict, runs: int = MIN_RUNS) -> list[tuple[str, int, float
             n = f().count()
             out.append((name, r, 1000 * (time.perf_counter() - t), n))
     return out
+
+
+def memory_mb(spark: SparkSession) -> float:
+    """Heap in use on the driver's JVM."""
+    r = spark._jvm.java.lang.Runtime.getRuntime()
+    return (r.totalMemory() - r.freeMemory()) / (1 << 20)
+
+
+def compare_engines(spark: SparkSession, engines: dict, runs: int = MIN_RUNS, baseline: DataFrame | None = None, scores: tuple[float | None, float | None] = (None, None), same_architecture: bool = True) -> DataFrame:
+    """The pair driver: runs each engine and judges it against a baseline
+    (engine, mem_mb, duration_ms; one row a run): engine, n_runs, matches,
+    time_mean, memory_mean, time_gain, memory_gain, significant, status.
+
+    scores: CPU scores of the baseline's machine and of this one, which
+    normalise the times; an engine without baseline passes.
+    """
+    rows = [(e, d, memory_mb(spark), n) for e, _, d, n in run_pairs(engines, runs)]
+    now = spark.createDataFrame(rows, "engine string, duration_ms double, mem_mb double, matches long")
+    base_score, score = (F.lit(x).cast("double") for x in scores)
+    now = now.withColumn("duration_ms", normalised_mean(F.col("duration_ms"), base_score, score))
+    if baseline is None:
+        baseline = now.limit(0)
+    got = evaluate(run_stats(now, ["engine"]), run_stats(baseline.select("engine", "mem_mb", "duration_ms"), ["engine"]), ["engine"])
+    matches = now.groupBy("engine").agg(F.max("matches").alias("matches"))
+    has = F.lit(scores[0] is not None and scores[1] is not None)
+    return got.withColumn("status", cross_machine_status(F.col("status"), F.lit(same_architecture), has)).join(matches, "engine")

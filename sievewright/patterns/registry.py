@@ -14,6 +14,8 @@ from .parser import parse
 
 #: Entries of a shard's table (8 bytes each) that is sent to executors.
 SHARD_ENTRIES = 6_000_000
+#: Patterns that are taken from a table.
+MOST_PATTERNS = 2_000_000
 
 
 @lru_cache(100_000)
@@ -44,9 +46,15 @@ class PatternSet:
         return cls(tuple(out), (("match",),) * len(out))
 
     @classmethod
-    def from_df(cls, df: DataFrame, column: str = "pattern") -> PatternSet:
-        """Patterns of a column, in order of the column; nulls are left out."""
-        return cls.of(r[0] for r in df.select(column).where(df[column].isNotNull()).distinct().orderBy(column).collect())
+    def from_df(cls, df: DataFrame, column: str = "pattern", most: int = MOST_PATTERNS) -> PatternSet:
+        """Patterns of a column, in order of the column; nulls are left out.
+
+        They come to the driver, which compiles them: more than ``most`` raise.
+        """
+        got = df.select(column).where(df[column].isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} patterns")
+        return cls.of(r[0] for r in got)
 
     def add(self, source: str, action: str = "match") -> PatternSet:
         _parsed(source)

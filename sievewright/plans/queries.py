@@ -3,19 +3,22 @@ SQL can express.  All run over whole tables."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievewright.functions import charclass as cc
 from sievewright.functions.udtf import register_array, register_udtf
 from sievewright.operators import compare, lines, prefilter, stats
 from sievewright.operators.baseline import count_standard, find_standard
-from sievewright.operators.match import count_rollup, match_all, match_any, match_counts, with_actions, with_text
+from sievewright.operators.match import count_rollup, match_all, match_any, match_counts, with_actions
 from sievewright.patterns import PatternSet, try_parse
 from sievewright.plans.graph import dfa_graph
-from sievewright.sources.scratch import scratch_path, written
+from sievewright.sources import sinks, text
+from sievewright.sources.scratch import scratch_path
 from sievewright.sources.text import load_patterns, load_patterns_clean
 from sievewright.streaming.stream import chunk_texts, match_chunks, match_stream, run_to_table
 
@@ -135,13 +138,12 @@ def sharded_match(spark, sf_dir):
 
 @query(f"with {literal_sql(['the', 'license'])} select doc_id, pattern, start_pos, end_pos, substr(text, start_pos + 1, end_pos - start_pos + 1) as matched_text from m join documents using (doc_id)")
 def matched_text(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return with_text(match_all(d, PatternSet.of(["the", "license"]), keys=["doc_id"]), d, "text", ["doc_id"]).drop("pattern_id")
+    return match_all(documents(spark, sf_dir), PatternSet.of(["the", "license"]), keys=["doc_id"], matched_text=True).drop("pattern_id")
 
 
 @query("select doc_id from documents where contains(text, 'license') or contains(text, 'stupid')")
 def match_any_rows(spark, sf_dir):
-    return match_any(documents(spark, sf_dir), PatternSet.of(["license", "stupid"]), keys=["doc_id"]).select("doc_id")
+    return match_any(documents(spark, sf_dir), PatternSet.of(["license", "stupid"]), keys=["doc_id"])
 
 
 @query(f"with {literal_sql(WORDS)} select {ALL} from m")
@@ -357,12 +359,12 @@ def compare_symdiff(spark, sf_dir):
 
 @query(
     _AB
-    + """, x as (select doc_id, pattern as a_pattern, start_pos as a_start, end_pos as a_end from (select * from a except select * from b)),
-y as (select doc_id, pattern as b_pattern, start_pos as b_start, end_pos as b_end from b)
+    + """, x as (select doc_id, pattern as a_pattern, start_pos as a_start, end_pos as a_end, unnest(range(start_pos // 256, end_pos // 256 + 1)) as bucket from (select * from a except select * from b)),
+y as (select doc_id, pattern as b_pattern, start_pos as b_start, end_pos as b_end, unnest(range(start_pos // 256, end_pos // 256 + 1)) as bucket from b)
 select doc_id, a_pattern, a_start, a_end, b_pattern, b_start, b_end,
   b_start >= a_start and b_end <= a_end as a_contains_b, a_start between b_start and b_end as a_start_in_b, a_end between b_start and b_end as a_end_in_b,
   a_start >= b_start and a_end <= b_end as b_contains_a, b_start between a_start and a_end as b_start_in_a, b_end between a_start and a_end as b_end_in_a
-from x join y using (doc_id) where a_start <= b_end and b_start <= a_end"""
+from x join y using (doc_id, bucket) where a_start <= b_end and b_start <= a_end and bucket = greatest(a_start, b_start) // 256"""
 )
 def compare_overlap_class(spark, sf_dir):
     return compare.overlap_classes(*_ab(spark, sf_dir), ["doc_id"])
@@ -473,10 +475,10 @@ _STATS = """s as (select engine, base, avg(duration_ms) as time_mean, stddev_pop
 from (select event_type as engine, event_id % 2 = 0 as base, "value" as duration_ms, (user_id % 50 + 10)::double as mem_mb from events) group by engine, base)"""
 
 
-@query(f"with {_STATS} select engine, round(time_mean, 6) as time_mean, round(time_std, 6) as time_std, round(memory_mean, 6) as memory_mean, round(memory_std, 6) as memory_std, n_runs from s where not base")
+@query(f"with {_STATS} select engine, base, round(time_mean, 6) as time_mean, round(time_std, 6) as time_std, round(memory_mean, 6) as memory_mean, round(memory_std, 6) as memory_std, n_runs from s")
 def run_stats(spark, sf_dir):
-    s = stats.run_stats(_runs(spark, sf_dir).where("not base"), ["engine"])
-    return s.select("engine", *[F.round(c, 6).alias(c) for c in ("time_mean", "time_std", "memory_mean", "memory_std")], "n_runs")
+    s = stats.run_stats(_runs(spark, sf_dir), ["engine", "base"])
+    return s.select("engine", "base", *[F.round(c, 6).alias(c) for c in ("time_mean", "time_std", "memory_mean", "memory_std")], "n_runs")
 
 
 @query(
@@ -501,8 +503,7 @@ def throughput(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine")).agg(F.sum("event_id").alias("bytes"), F.sum("value").alias("duration_ms"))
     t = stats.throughput(e).withColumn("k", F.lit(1))
     base = t.where("engine = 'click'").select("k", "mb_per_s")
-    r = stats.throughput_ratio(t, base, ["k"])
-    return t.select("engine", F.col("mb_per_s").alias("a_mb_per_s")).join(r, "a_mb_per_s").select("engine", F.round("ratio", 6).alias("ratio"), "band")
+    return stats.throughput_ratio(t, base, ["k"]).select("engine", F.round("ratio", 6).alias("ratio"), "band")
 
 
 @query("select event_type as engine, median(\"value\") as score from events group by event_type")
@@ -510,6 +511,219 @@ def cpu_score_median(spark, sf_dir):
     return stats.median_score(table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), "value"), ["engine"], "value")
 
 
+# ---- gates, shards, counters --------------------------------------------------------------------
+
+
+@query(f"with {literal_sql(WORDS)} select {ALL} from m")
+def bloom_match(spark, sf_dir):
+    return match_all(documents(spark, sf_dir), PatternSet.of(WORDS), keys=["doc_id"], bloom="on", prefilter=False)
+
+
+@query(f"with {run_sql('th[a-z]+ed', 'th[a-z]*|t', 'th[a-z]+ed')} select {ALL} from m")
+def bloom_open_pattern(spark, sf_dir):
+    return match_all(documents(spark, sf_dir), PatternSet.of(["th[a-z]+ed"]), keys=["doc_id"], bloom="on")
+
+
+@query(f"with {literal_sql(WORDS)} select {ALL} from m")
+def factory_match(spark, sf_dir):
+    return match_all(documents(spark, sf_dir), PatternSet.of(WORDS), keys=["doc_id"], shards="auto")
+
+
+@query(f"with {literal_sql(['The', 'the', 'THE'])} select doc_id, 0 as pattern_id, (end_pos + 1)::int as end_index_exclusive, 3 as literal_length, 0 as literal_offset_in_match, start_pos from m")
+def candidates_any_case(spark, sf_dir):
+    return prefilter.candidates(documents(spark, sf_dir), [prefilter.extract_hint(0, "The", True)], "text", ["doc_id"])
+
+
+HINTED = ["a(?:b|cd)e", "\\Qhttp://\\E[a-z]+\\.com", "foo[a-z]+bar", "abc|def", "^foo.*bar", ".*", "a", "^$", "test\\.com", "short|verylongpattern", "would[a-z]"]
+
+
+@query(
+    """select * from (values (0, 'cd', false, false), (1, 'http://', false, false), (2, 'bar', false, false), (3, 'abc', false, false), (4, 'foo', true, false),
+  (8, 'test.com', false, false), (9, 'verylongpattern', false, false), (10, 'would', false, true)) t(pattern_id, literal, anchored_prefix, safe)"""
+)
+def hint_table(spark, sf_dir):
+    return prefilter.hints_df(spark, HINTED).select("pattern_id", "literal", "anchored_prefix", "safe")
+
+
+@query("select * from (values (1, 'http://'), (8, 'test.com'), (9, 'verylongpattern'), (10, 'would')) t(pattern_id, literal)")
+def hint_options(spark, sf_dir):
+    return prefilter.hints_df(spark, HINTED, prefilter.HintOptions(min_length=4, common_word_penalty=False)).select("pattern_id", "literal")
+
+
+_NATIONS = literal_sql(["NATION_1", "_2", "1"], "nation", "n_nationkey", "n_name")
+
+
+def nation_matches(spark, sf_dir, **kw):
+    return match_all(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), PatternSet.of(["NATION_1", "_2", "1"]), "n_name", ["n_nationkey"], **kw)
+
+
+@query(f"with {_NATIONS} select 'scans' as name, (select count(*) from nation)::bigint as n union all select 'matches', (select count(*) from m)")
+def counters(spark, sf_dir):
+    c = stats.ObjectCounters(spark)
+    nation_matches(spark, sf_dir, prefilter=False, counters=c).write.format("noop").mode("overwrite").save()
+    got = c.snapshot()
+    if not got["dfa_states"] or not got["dfa_edges"]:
+        raise RuntimeError("states were not counted")
+    return spark.createDataFrame([(k, got[k]) for k in ("scans", "matches")], "name string, n long")
+
+
+@query(f"with {_NATIONS} select engine, 3::bigint as n_runs, (select count(*) from m)::bigint as matches, 'PASS' as status, true as timed from (values ('dfa'), ('join')) t(engine)")
+def engine_pair(spark, sf_dir):
+    engines = {e: lambda e=e: nation_matches(spark, sf_dir, strategy=e) for e in ("dfa", "join")}
+    got = stats.compare_engines(spark, engines)
+    return got.select("engine", "n_runs", "matches", "status", (F.col("time_mean") > 0).alias("timed"))
+
+
+@query(
+    """select unnest(['corpus has ' || (select sum(strlen(n_name)) from nation) || ' bytes, 500000 are needed', '2 patterns, 10000 are needed', '2 runs, 3 are needed']) as problem"""
+)
+def input_problems(spark, sf_dir):
+    got = stats.check_inputs(table(spark, sf_dir, "nation"), 2, "n_name", runs=2)
+    return spark.createDataFrame([(x,) for x in got], "problem string")
+
+
+@query(
+    """with e as (select event_id, "value" as mean, nullif(user_id % 5, 0)::double as base_score, nullif(event_id % 4, 0)::double as score, event_id % 2 = 0 as same, case event_id % 3 when 0 then 'FAIL' when 1 then 'WARNING' else 'PASS' end as status from events)
+select event_id, round(case when base_score is not null and score is not null then mean * base_score / score else mean end, 6) as mean,
+  case when status = 'FAIL' and not same and (base_score is null or score is null) then 'WARNING' else status end as status from e"""
+)
+def cross_machine(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    base, score = (F.nullif(F.col(c) % n, F.lit(0)).cast("double") for c, n in (("user_id", 5), ("event_id", 4)))
+    verdict = F.element_at(F.array(F.lit("FAIL"), F.lit("WARNING"), F.lit("PASS")), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", F.round(stats.normalised_mean(F.col("value"), base, score), 6).alias("mean"), stats.cross_machine_status(verdict, F.col("event_id") % 2 == 0, base.isNotNull() & score.isNotNull()).alias("status"))
+
+
+@query(
+    """with p as (select p_partkey, p_size as a0, p_size + p_partkey % 7 as a1, p_size + p_partkey % 3 - 1 as b0, p_size + 3 as b1 from part)
+select p_partkey, case when a0 <= b0 and a1 >= b1 and not (b0 <= a0 and b1 >= a1) then -1 when b0 <= a0 and b1 >= a1 and not (a0 <= b0 and a1 >= b1) then 1 else 0 end as order_ from p"""
+)
+def domination_order(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return p.select("p_partkey", compare.dominates(size, size + k % 7, size + k % 3 - 1, size + 3).alias("order_"))
+
+
+@query(f"with {_NATIONS} select n_nationkey, pattern, start_pos, end_pos, row_number() over (order by n_nationkey, start_pos, pattern, end_pos)::int as place from m")
+def ordered_matches(spark, sf_dir):
+    m = compare.ordered(nation_matches(spark, sf_dir), ["n_nationkey"]).withColumn("at", F.monotonically_increasing_id())
+    return m.select("n_nationkey", "pattern", "start_pos", "end_pos", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+@query(f"with {literal_sql(A)} select doc_id, start_pos, pattern, end_pos from m")
+def distinct_of_engines(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    both = match_all(d, PatternSet.of(A), keys=["doc_id"], strategy="join").unionByName(match_all(d, PatternSet.of(A), keys=["doc_id"]))
+    return compare.distinct_matches(both, ["doc_id"]).select("doc_id", "start_pos", "pattern", "end_pos")
+
+
+# ---- files in and out ----------------------------------------------------------------------------
+
+
+def _nation_files(spark, sf_dir) -> str:
+    """A text file a nation, with line breaks of another system."""
+    path = scratch_path(spark, "nations")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_nationkey", F.concat("n_name", F.lit("\r\nkey "), "n_nationkey").alias("value")).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+def _region_lines(spark, sf_dir) -> str:
+    path = scratch_path(spark, "regions")
+    table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(path)
+    return path
+
+
+@query("select n_nationkey, n_name || chr(10) || 'key ' || n_nationkey || chr(10) as text from nation")
+def text_whole(spark, sf_dir):
+    got = text.read_whole(spark, _nation_files(spark, sf_dir))
+    return got.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "text")
+
+
+@query("with l as (select unnest(string_split(coalesce(text, ''), chr(10))) as line from conversations) select line, count(*)::bigint as n from l group by line")
+def text_lines(spark, sf_dir):
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit(""))).write.text(path)
+    return text.read_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select (row_number() over (order by r_regionkey) - 1)::int as place, r_name as line from region")
+def pushed_lines(spark, sf_dir):
+    seen = []
+    text.push_lines(text.read_lines(spark, _region_lines(spark, sf_dir)), seen.append)
+    return spark.createDataFrame(list(enumerate(seen)), "place int, line string")
+
+
+@query("select r_name as line from region")
+def resolved_path(spark, sf_dir):
+    folder, _, name = _region_lines(spark, sf_dir).rpartition("/")
+    return text.read_lines(spark, text.resolve(name, [folder + "/nowhere", folder], spark))
+
+
+@query("select string_agg(n_name || chr(10) || 'key ' || n_nationkey || chr(10), '' order by n_nationkey desc) as text from nation")
+def concatenated_files(spark, sf_dir):
+    path = _nation_files(spark, sf_dir)
+    keys = sorted((r[0] for r in table(spark, sf_dir, "nation", "n_nationkey").collect()), reverse=True)
+    return text.concat_files(spark, [f"{path}/n_nationkey={k}" for k in keys])
+
+
+@query("select event_type as engine, count(*)::bigint as mem_mb, count(distinct user_id)::bigint as duration_ms from events group by event_type")
+def baseline_file(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)), F.countDistinct("user_id")).collect()  # one row an engine
+    path = scratch_path(spark, "baseline")
+    sinks.write_baseline(spark, [tuple(r) for r in rows], path, ["engine,mem_mb,duration_ms"])
+    return text.read_baseline(spark, path)
+
+
+@query("select true as has_os, true as has_cores, true as has_architecture")
+def environment_row(spark, sf_dir):
+    e = text.environment(spark)
+    return e.select((F.length("os") > 0).alias("has_os"), (F.col("cores") > 0).alias("has_cores"), (F.length("architecture_id") > 0).alias("has_architecture"))
+
+
+@query(f"with {_NATIONS} select pattern, count(*)::bigint as n from m group by pattern")
+def callback_counts(spark, sf_dir):
+    n: Counter = Counter()
+    sinks.for_each_match(nation_matches(spark, sf_dir), lambda r: n.update([r["pattern"]]))
+    return spark.createDataFrame(list(n.items()), "pattern string, n long")
+
+
+@query(f"with {literal_sql(WORDS)} select count(*)::bigint as observed, count(*)::bigint as counted, true as told from m")
+def counted_matches(spark, sf_dir):
+    m = match_all(documents(spark, sf_dir), PatternSet.of(WORDS), keys=["doc_id"])
+    df, o = sinks.counted(m, "counted_matches")
+    df.write.format("noop").mode("overwrite").save()
+    told = []
+    n = sinks.count_with_progress(m, lambda n, speed: told.append((n, speed)), every=1)
+    return spark.createDataFrame([(o.get["n"], n, bool(told) and told[-1][0] >= n)], "observed long, counted long, told boolean")
+
+
+@query(f"""with {_NATIONS} select 'dfa' as engine, pattern as regex, start_pos as "start", end_pos as "end" from m""")
+def logged_matches(spark, sf_dir):
+    return sinks.log_matches(nation_matches(spark, sf_dir), "dfa")
+
+
+@query(
+    _AB
+    + f""", c as (select (select count(*) from (select * from a intersect select * from b)) as same, (select count(*) from a) as na, (select count(*) from b) as nb)
+select {q(','.join(sinks.SUMMARY_COLUMNS))} as line union all
+select unnest(['1700000000', '1700000001']) || replace(',@a, @@b@@@,two lines,join,512,1500,dfa,256,1000,', '@', chr(34)) || same || ',' || (na + nb - 2 * same) || ',4,1000,1.5' from c"""
+)
+def summary_file(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    run = lambda e, m, t: {"engine": e, "mem_mb": m, "duration_ms": t}
+    path = scratch_path(spark, "summary") + ".csv"
+    for stamp in (1700000000, 1700000001):
+        sinks.append_summary(compare.pair_summary(a, b, ["doc_id"], 4, 1000, run("join", 512, 1500), run("dfa", 256, 1000), 'a, "b"', "two\nlines", stamp), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("""select unnest(['| r_regionkey | r_name |', '|---|---|']) as line union all select '| ' || r_regionkey || ' | ' || r_name || ' |' from region""")
+def markdown_report(spark, sf_dir):
+    got = sinks.write_report(table(spark, sf_dir, "region", "r_regionkey", "r_name"), scratch_path(spark, "report"))
+    return spark.createDataFrame([(x,) for x in got.split("\n")], "line string")
+
+
 # ---- streams, graphs, errors -----------------------------------------------------------------
 
 
@@ -527,7 +741,7 @@ def stream_rows(spark, sf_dir):
     d = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     out = match_stream(_as_stream(d, "stream-rows"), PatternSet.of(["the", "tion"]), keys=["conv_id", "turn"])
     name = "stream_rows_out"
-    return written(run_to_table(out, name, scratch_path(spark, "stream-state")), name).drop("pattern_id")
+    return run_to_table(out, name).drop("pattern_id")
 
 
 @query(
@@ -541,7 +755,7 @@ def stream_chunks(spark, sf_dir):
     chunks = _as_stream(chunk_texts(d, 50), "stream-chunks")
     out = match_chunks(chunks, PatternSet.of(["th[a-z]+|[0-9]+"]))
     name = "stream_chunks_out"
-    return written(run_to_table(out, name, scratch_path(spark, "stream-state")), name)
+    return run_to_table(out, name)
 
 
 @query(

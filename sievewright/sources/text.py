@@ -19,10 +19,20 @@ def _normal(c):
     return F.when((t == "") | F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n")))
 
 
-def resolve(path: str, prefixes: Iterable[str] = ()) -> str:
-    """The path, or the first of it under (or freed of) a prefix that exists locally."""
+def resolve(path: str, prefixes: Iterable[str] = (), spark: SparkSession | None = None) -> str:
+    """The path, or the first of it under (or freed of) a prefix that exists.
+
+    With a session, paths are looked up by Spark's file systems, else on this machine.
+    """
+
+    def exists(p: str) -> bool:
+        if spark is None:
+            return os.path.exists(p)
+        h = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return h.getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)
+
     for p in (path, *(os.path.join(x, path) for x in prefixes), *(path[len(x) :].lstrip("/") for x in prefixes if path.startswith(x))):
-        if os.path.exists(p):
+        if p and exists(p):
             return p
     return path
 

@@ -20,6 +20,7 @@ from sievewright.operators.match import match_all
 from sievewright.patterns import PatternSet
 from sievewright.patterns.automaton import Table
 from sievewright.shipping import ship
+from sievewright.sources.scratch import scratch_path
 
 STATE = "next_pos long, next_seq long, tab array<int>, start array<long>, state array<int>, held_seq array<long>, held_text array<string>, held_last array<boolean>"
 
@@ -108,8 +109,9 @@ def chunk_texts(df: DataFrame, size: int, key: str = "doc_id", text: str = "text
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs all that a stream has now into a memory table (a report or a test) and gives it."""
-    w = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs all that a stream has now into Parquet files of the scratch folder and gives them."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    w = stream.writeStream.outputMode("append").format("parquet").queryName(name).trigger(availableNow=True)
+    w.option("path", path).option("checkpointLocation", checkpoint or scratch_path(spark, name + "-state")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

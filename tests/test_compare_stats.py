@@ -74,3 +74,12 @@ def test_characters(spark):
     assert [tuple(r) for r in t.select(cc.first_non_ascii(F.col("t")), cc.first_non_ascii(F.col("t"), 3), cc.is_all_ascii(F.col("t"))).collect()] == [(2, 4, False), (3, 3, True), (0, 0, True)]
     e = spark.createDataFrame([("a,b",), ('x"y',), ("l\nm",), ("plain",)], "t string").select(cc.csv_escape(F.col("t")))
     assert [r[0] for r in e.collect()] == ['"a,b"', '"x""y"', "l m", "plain"]
+
+
+def test_null_keys_are_equal(spark):
+    m = lambda rows: spark.createDataFrame(rows, "doc_id long, start_pos int, pattern string, end_pos int")
+    a = m([(None, 0, "x", 3), (None, 0, "x", 3), (1, 0, "x", 3), (None, 9, "y", 9)])
+    b = m([(None, 0, "x", 3), (2, 0, "x", 3), (None, 8, "z", 300)])
+    assert sorted((str(r["doc_id"]), r["start_pos"]) for r in compare.only_in(a, b, ["doc_id"]).collect()) == [("1", 0), ("None", 9)]
+    got = compare.overlap_classes(a, b, ["doc_id"]).collect()
+    assert [(r["doc_id"], r["a_pattern"], r["b_pattern"], r["b_contains_a"]) for r in got] == [(None, "y", "z", True)]

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 
 from sievewright.functions.udtf import register_array, register_udtf
 from sievewright.operators.baseline import find_standard
+from sievewright.operators.bloom import BloomFilter, GramGate, beginnings
 from sievewright.operators.lines import from_position, split_lines
-from sievewright.operators.match import count_rollup, default_shards, match_all, match_any, match_counts, with_actions, with_text
+from sievewright.operators.match import count_rollup, default_shards, gate_of, match_all, match_any, match_counts, with_actions
 from sievewright.patterns import PatternSet
 from sievewright.plans.graph import dfa_graph, graphviz, nfa_graph
 from sievewright.plans.router import explain_route
@@ -71,7 +73,7 @@ def test_counts_and_friends(spark):
     m = match_all(df, ps, keys=["doc_id"])
     assert {(r["pattern"], r["n"]) for r in count_rollup(m).collect()} == {("aa", 2), ("b", 3), (None, 5)}
     assert sorted(r["doc_id"] for r in match_any(df, ps, keys=["doc_id"]).collect()) == [0, 3]
-    assert {r["matched_text"] for r in with_text(m, df, "text", ["doc_id"]).collect()} == {"aa", "b"}
+    assert {r["matched_text"] for r in match_all(df, ps, keys=["doc_id"], matched_text=True).collect()} == {"aa", "b"}
     acts = with_actions(m, ps.add("b", "other"))
     assert sum(r["pattern"] == "b" for r in acts.collect()) == 6
     assert match_all(df, PatternSet(), keys=["doc_id"]).count() == 0
@@ -108,3 +110,48 @@ def test_graphs(spark):
     assert n.where("accept").count() == 2 and e.count() == 3
     lines = [r["line"] for r in graphviz(nodes, edges).orderBy("line_no").collect()]
     assert lines[0].startswith("digraph") and lines[-1] == "}"
+
+
+def test_rows_are_told_apart_without_keys(spark):
+    """Repeated and null keys: a row with a match comes back, as often as it is there, and no other."""
+    rows = [(1, "the a"), (1, "nothing"), (None, "the b"), (1, "the a"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ps = PatternSet.of(["the", "no"])
+    got_ = [tuple(r) for r in match_any(df, PatternSet.of(["the"])).collect()]
+    assert sorted(got_, key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+    m = match_all(df, ps, keys=["doc_id"], matched_text=True)
+    assert sorted((str(r["doc_id"]), r["matched_text"], r["start_pos"]) for r in m.collect()) == [("1", "no", 0), ("1", "the", 0), ("1", "the", 0), ("None", "the", 0)]
+    j = match_all(df, ps, keys=["doc_id"], matched_text=True, strategy="join")
+    assert sorted(map(str, j.select(m.columns).collect())) == sorted(map(str, m.collect()))
+    assert match_any(df.limit(0), ps).columns == df.columns
+
+
+def test_bloom_filter():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    f = BloomFilter.of(items)
+    assert f.might_contain(items).all()
+    assert f.might_contain(rng.integers(0, 2**63, 20_000).astype(np.uint64)).mean() < 0.1
+    assert not BloomFilter.of(items[:0]).might_contain(items).any()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_gate_changes_nothing(spark, seed):
+    patterns, texts = fuzz(seed, 60, 8)
+    ps, df = PatternSet.of(patterns), from_strings(spark, [*texts, "", "é" * 5, "abab"])
+    assert GramGate.of(PatternSet.of(["ab*", "x"]).parsed) is None and gate_of(ps, [0]) is None
+    fixed = PatternSet.of([p for p in patterns if beginnings(PatternSet.of([p]).parsed[0])] + ["é", "ab", "éé|b"])
+    assert len(fixed) > 20 and gate_of(fixed, list(range(len(fixed))), "on") is not None
+    for s in (ps, fixed):
+        assert got(match_all(df, s, bloom="on", prefilter=False)) == got(match_all(df, s, bloom="off", prefilter=False))
+    n = {r["pattern"]: r["n"] for r in match_counts(df, fixed, bloom="on").collect()}
+    assert n == {r["pattern"]: r["n"] for r in match_counts(df, fixed, bloom="off").collect()} and sum(n.values()) == match_all(df, fixed).count()
+    assert sorted(map(str, match_any(df, fixed, bloom="on").collect())) == sorted(map(str, match_any(df, fixed, bloom="off").collect()))
+
+
+def test_gate_of_many_patterns(spark):
+    many = PatternSet.of([f"w{i}x" for i in range(5000)])
+    assert gate_of(many, list(range(5000))) is not None and gate_of(many, list(range(4999))) is None
+    assert gate_of(many.add("[a-z]+"), list(range(5001))) is None  # one pattern may begin anywhere
+    df = from_strings(spark, ["w12x w4999x w5000x", "ww7xx", None])
+    assert {(r["doc_id"], r["pattern"]) for r in match_all(df, many).collect()} == {(0, "w12x"), (0, "w4999x"), (1, "w7x")}

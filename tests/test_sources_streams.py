@@ -39,11 +39,16 @@ def test_sinks(spark, tmp_path):
     s = pair_summary(m, m, ["doc_id"], 2, 6, run, run, "s,1", "two\nlines", 5)
     for _ in range(2):
         sinks.append_summary(s, str(tmp_path / "csv"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert len((tmp_path / "csv").read_text().splitlines()) == 3  # one header
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.count() == 2 and back.columns == sinks.SUMMARY_COLUMNS and back.first()["metadata"] == "two lines"
     sinks.write_baseline(spark, [("x", 5, 7)], str(tmp_path / "base"), ["made by a test"])
     assert [tuple(r) for r in text.read_baseline(spark, str(tmp_path / "base")).collect()] == [("x", 5, 7)]
     assert "| x |" in sinks.write_report(sinks.log_matches(m, "x"), str(tmp_path / "report"))
+    told = []
+    assert sinks.count_with_progress(m, lambda n, speed: told.append(n), every=2) == 5 and told[-1] == 5
+    big = spark.range(2500)
+    assert sinks.write_report(big, str(tmp_path / "big")).count("\n") == 2501
     assert json.loads(sinks.to_json(df).first()["json"])["doc_id"] == 0
 
 
