@@ -7,9 +7,11 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from sievewright.llm import url_filter as uf
 from sievewright.llm import warc
 from sievewright.llm.components import components
 from sievewright.llm.exact_dedup import drop_copies, exact_dedup
-from sievewright.llm.lm_score import A, B, BackoffAutomaton, lm_scores
+from sievewright.llm import lm_score as lm
+from sievewright.llm.lm_score import lm_scores
 from sievewright.llm.mixing import mix_sources, mixed_documents, source_targets
 from tests.llm import brute
 
@@ -186,6 +189,10 @@ def test_contamination(spark, seeds):
     got = {r["doc_id"]: (r["contaminated"], r["items"], r["best"]) for r in dc.contamination(d, bench, broadcast_seeds=seeds).collect()}
     assert got[1] == (True, [1], 13) and got[2][0] and got[4] == (True, [2], 13) and got[5] == (True, [2], 10) and got[11] == (True, [1, 2], 13)
     assert not any(got[i][0] for i in (3, 6, 7, 8, 9, 10))
+    # items shorter than the window: all their tokens in a row
+    short = spark.createDataFrame([(9, "Red  GREEN blue"), (8, " ".join(item[:12])), (7, "solo"), (6, " \t")], "item_id long, text string")
+    some = docs(spark, [(1, "a red green\nblue b", "s"), (2, "red green x blue", "s"), (3, " ".join(noise(9) + item[:12]), "s"), (4, " ".join([*item[:11], "zzz"]), "s"), (5, "Solo", "s"), (6, None, "s"), (7, "blue red green", "s")])
+    assert {r["doc_id"]: (r["items"], r["best"]) for r in dc.contamination(some, short.union(bench), broadcast_seeds=seeds).where("contaminated").collect()} == {1: ([9], 3), 3: ([8], 12), 5: ([7], 1)}
     left = dc.drop_contaminated(d, bench, broadcast_seeds=seeds)
     assert left.columns == d.columns and sorted(x for (x,) in collect(left, "doc_id")) == [3, 6, 7, 8, 9, 10]
     assert dc.contamination(d, bench.limit(0)).where("contaminated").count() == 0
@@ -280,30 +287,68 @@ def test_components(spark):
 # ---- language model ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [200, 12 << 20])
-def test_lm_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block, shards, fan", [(200, 4, 3), (200, None, 2), (200, 5, 256), (8 << 20, None, 256)])
+def test_lm_equals_brute_force(spark, block, shards, fan):
+    """In one block, in many, and in so many that they are added up in a tree."""
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("the A b of É c".split()) + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 30))), "s") for i in range(60)] + EDGE
     d = docs(spark, rows).cache()
-    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scores(d, block_bytes=block).collect())
-    want = brute.lm([(i, t) for i, t, _ in rows], A, B)
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scores(d, block_bytes=block, shards=shards, fan=fan).collect())
+    want = brute.lm([(i, t) for i, t, _ in rows], lm.SMOOTHING)
     assert got == sorted((str(i), h, n, k, t, round(b, 6), round(s, 6)) for (i, _, _), (h, n, k, t, b, s) in zip(rows, want, strict=True))
 
 
+def automaton(texts, train):
+    """The automaton of texts of which the first ``train`` are counted, with its counts."""
+    tokens, border = lm.sequence([pa.array(texts)])
+    counted = np.repeat(np.arange(len(texts)) < train, np.diff(border))
+    count = {}
+    for kind, (h, at) in enumerate(lm.ngrams(tokens, border), 1):
+        for x in h[counted[at]].tolist():
+            count[kind, x] = count.get((kind, x), 0) + 1
+    n = int(counted.sum())
+    v = sum(k == 1 for k, _ in count)
+    return lm.BackoffAutomaton(tokens, border, lambda kind, keys: np.array([count.get((kind, x), 0) for x in keys.tolist()], float), n, v, train), border
+
+
 def test_lm_states_sum_to_one():
-    """The arcs of a state and its failure arc to all other words, the unknown one included."""
-    rng = np.random.default_rng(7)
-    k = 6
-    pairs = rng.integers(0, 4, (k, k)) * (rng.random((k, k)) < 0.6)  # c(hw)
-    pairs[:, 0] += 1  # every state is followed by something
-    words = np.append(pairs.sum(1), 0).astype(float)  # c(h), and an unknown word
-    model = BackoffAutomaton(np.arange(k + 1), words, np.arange(k * (k + 1)), np.concatenate([np.append(r, 0) for r in pairs]).astype(float), int(words.sum()), int((words > 0).sum()), 5)
-    for h in range(k):
-        text = np.array([x for w in range(k + 1) for x in (h, w)])
-        border = np.arange(0, len(text) + 1, 2)
-        at = np.array([0 if i % 2 == 0 else h * (k + 1) + text[i] for i in range(len(text))])
-        p = 10 ** model.traverse(text, at, border)[1::2]
-        assert p.sum() == pytest.approx(1)
+    """From every state that a text can be in, the weights of all words, a word unseen included, add up to 1."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    model, border = automaton([*texts, "never"], 40)
+    end = model.word[border[1] - 1]
+    words = np.arange(len(model.count))
+    assert (model.count == 0).sum() == 1  # all unseen words have one arc
+    reach, todo = {model.start}, [model.start]
+    while todo:
+        w, after = model.step(np.full(len(words), todo.pop()), words)
+        assert np.sum(10**w) == pytest.approx(1)
+        for x in set(np.delete(after, end).tolist()) - reach:  # nothing follows the end
+            reach.add(x)
+            todo.append(x)
+    assert len(reach) > 1 + 5 + 20 and 0 in reach  # pairs, words, and the root after an unseen word
+
+
+def test_lm_segments_make_no_difference(monkeypatch):
+    texts = [" ".join(random.Random(i).choice("abcdefgh") for _ in range(5 * i)) for i in range(30)]
+    model, border = automaton(texts, 20)
+    whole = model.traverse(border, 20)
+    for size in (1, 2, 3, 1000):
+        monkeypatch.setattr(lm, "SEGMENT", size)
+        assert np.allclose(model.traverse(border, 20), whole)
+
+
+def test_lm_notices_other_rows():
+    """A block recomputed with other rows, as many n-grams or not, is no answer to what it asked."""
+    rows = pa.table({"block": pa.array([0, 0]), "doc_id": pa.array([1, 2]), "held_out": pa.array([False, True]), "text": ["a b c", "a d"]})
+    asks = pa.Table.from_batches(list(lm._asks(0, rows["text"].chunks, [np.array([False, True])], lm.range_cuts(4))))
+    answers = pa.concat_tables([lm._answered(asks.filter(pc.equal(asks["shard"], s))) for s in set(asks["shard"].to_pylist())])
+    n, v = sum(answers["n"].to_pylist()), sum(answers["v"].to_pylist())
+    assert (n, v) == (4, 4)
+    assert lm._scored(rows, answers, n, v, 1, lm.SMOOTHING, 4)["n_known"].to_pylist() == [4, 2]
+    other = rows.set_column(3, "text", pa.array(["a b c", "a e"]))
+    with pytest.raises(RuntimeError):
+        lm._scored(other, answers, n, v, 1, lm.SMOOTHING, 4)
 
 
 def test_lm_empty(spark):
@@ -379,11 +424,10 @@ def test_language_learns_from_whole_texts(spark):
     rng = random.Random(8)
     rows = [(i, "same words here " * 40 + t, y) for i, t, y in language_rows(rng, 300)]
     d = spark.createDataFrame([(i, t, y, "s", 0, 7, "x", 1, 2) for i, t, y in rows], DOC)
-    got = li.training_sample(d, "doc_id", "text", "lang", 3, 1, 100, 60)
-    assert len(got) > 100 and all(len(x) <= 60 for x, _ in got)
-    assert any(w[0] in "bxz" for x, _ in got for w in x.split())
-    whole = {w for _, t, _ in rows for w in t.split()}
-    assert all(x.split()[0] in whole for x, _ in got)
+    got = li.training_sample(d, "doc_id", "text", "lang", 3, 1, 100)
+    whole = {(t, y) for _, t, y in rows}
+    assert 60 < len(got) < 140 and set(got) <= whole and len(set(got)) == len(got)
+    assert li.training_sample(d.union(d), "doc_id", "text", "lang", 3, 1, 10_000) == li.training_sample(d, "doc_id", "text", "lang", 3, 1, 10_000)
 
 
 def test_texts_in_many_languages_stay(spark):
@@ -476,19 +520,21 @@ def test_markup():
     assert ht.split_page("<div>a</div><div role='navigation'>b</div><p hidden>c</p>") == (None, [(False, "a"), (True, "b"), (True, "c")])
 
 
-@pytest.mark.parametrize("chunk", [20, 1_000_000])
+@pytest.mark.parametrize("chunk", [6000, 512 << 10])
 def test_host_boilerplate(spark, chunk):
+    """A host in one chunk, and in about ten."""
+
     def page(i):
         return f"<body><div>Site menu home about contact us now and more</div><div>unique text number {i} of {i * 7} words here {i * 13}</div><div>All rights reserved by the owner of this site</div></body>"
 
-    rows = [(i, f"http://h{i % 2}.example.com/{i}", page(i)) for i in range(8)] + [(20, None, None), (21, "http://z.example.com/", ARTICLE), (22, "http://z.example.com/2", ARTICLE), (23, "http://alone.example.com", page(3)), (24, "http://h0.example.com/0", page(0))]
+    rows = [(i, f"http://h{i % 2}.example.com/{i}", page(i)) for i in range(400)] + [(1020, None, None), (1021, "http://z.example.com/", ARTICLE), (1022, "http://z.example.com/2", ARTICLE), (1023, "http://alone.example.com", page(3)), (1024, "http://h0.example.com/0", page(0))]
     p = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in ht.extract_text(p, chunk_tokens=chunk).collect()}
-    want = lambda i: f"{i} of {i * 7} words here {i * 13}"
-    for i in range(8):
-        assert got[i] == (want(i), len(want(i)))
-    assert got[20] == ("", 0) and got[21] == got[22] and got[21][0].startswith("Head & line")
-    assert "Site menu" in got[23][0] and got[24] == got[0]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in ht.extract_text(p, chunk_bytes=chunk).collect()}
+    for i in range(400):
+        text = f"unique text number {i} of {i * 7} words here {i * 13}"
+        assert got[i] == (text, len(text))
+    assert got[1020] == ("", 0) and got[1021] == got[1022] and got[1021][0].startswith("Head & line")
+    assert "Site menu" in got[1023][0] and got[1024] == got[0]
     assert ht.extract_text(p.limit(0)).count() == 0
 
 
@@ -503,7 +549,7 @@ def test_host_keeps_what_few_pages_share(spark):
     # an ordinary phrase on most pages makes no hole in a block
     rows += [(30 + i, "http://most.example.com/", f"<body><div>{own[i]} {phrase} {own[i][::-1]}</div>") for i in range(4)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in ht.extract_text(p, chunk_tokens=100).collect()}
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(p).collect()}
     assert all(got[i] == t for i, t in body.items())
     assert got[20] == body[8] and got[21] == body[9]
     assert all(got[30 + i] == f"{own[i]} {phrase} {own[i][::-1]}" for i in range(4))
@@ -525,3 +571,99 @@ def test_markup_keeps_whole_articles():
     about = "<section id=discussion><p>one</p></section><h2 id=related-work>two</h2><div id=search-algorithms>three</div>"
     assert ht.split_page(f"<article id=related-work>{about}</article>")[0] == "one\n\ntwo\n\nthree"
     assert ht.split_page(f"<article>{body}<div id=related-posts>a</div><section id=comments>b</section><div class=main-nav>c</div></article>")[0] == body
+
+
+# ---- later additions ---------------------------------------------------------------------
+
+
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_runs_are_merged_in_place(spark, tmp_path):
+    """Levels, and plans without an exchange (and of merges without a sort) above the runs."""
+    runs = ld.LineRuns(spark, settled_at=2)
+    texts = ["a\nb", "b\nc", "b\nd", "e", "f\nb"]
+    for i, t in enumerate(texts):
+        runs.add(docs(spark, [(i, t, "s")]))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]  # 1 + 4 batches
+    assert sorted(r["n"] for r in runs.levels[2][0].collect()) == [1, 1, 1, 1, 2]  # b is settled after two of its batches
+    assert runs.levels[0][0].count() == 1 and runs.totals(2).count() == 1
+    a, b = runs.levels[2][0], runs.levels[0][0]
+    with runs._sorted_scans():
+        for df, sorts in ((runs.merged(a, b), 0), (runs.fresh(a.select("h1", "h2")), 0)):
+            plan = physical(df)
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Sort [") == sorts, plan
+        each = spark.createDataFrame([(1, 2, 3, 4)], "a long, b long, h1 long, h2 long").repartition(3)
+        plan = physical(each.join(a.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+        right = plan[plan.index("SortMergeJoin"):].split("\n")
+        assert sum("Exchange hash" in x for x in right) == 1, plan  # of the batch alone
+
+
+NAMES = "__row __row_id __row_th __gone_id __gone_th __id __sha __th __ta __tb __a __b __i __s __n __z __lines __kept __gone __text __j __ith row lines kept gone text_ key place size range source_ mix_size c0 node th a b h1 h2".split()
+
+
+def clashing(spark, rows):
+    """Documents with further columns named like those in use inside the operators."""
+    d = docs(spark, rows).drop("size", "kept", "node", "a.b")
+    for n in NAMES:
+        d = d.withColumn(n, F.lit(1))
+    return d
+
+
+def test_names_never_clash(spark):
+    rows = [(i, f"common line\nwords of {i} and more {i * 7}", "st"[i % 2]) for i in range(12)] + [(None, None, None), (3, "", "s")]
+    d = clashing(spark, rows)
+    bench = spark.createDataFrame([(1, "words of 3 and more 21")], "item_id long, text string")
+    assert drop_copies(d).columns == d.columns and drop_copies(d).count() == 13
+    left = dc.drop_contaminated(d, bench)
+    assert left.columns == d.columns and left.count() == 13
+    assert nd.drop_near_copies(d).columns == d.columns
+    assert li.keep_languages(d, min_score=0.0).columns == d.columns
+    gone = ld.with_kept_text(ld.drop_common_lines(d, min_docs=10, batches=3), "text", d.columns)
+    assert gone.columns == d.columns and gone.where("text like '%common%'").count() == 0 and gone.count() == 14
+    mixed = mixed_documents(d)
+    assert mixed.columns == [c for c in d.columns if c != "mix_size"] + ["mix_size", "mix_target", "mix_taken"]
+    assert mixed_documents(mixed).count() > 0
+
+
+def test_mix_is_by_row(spark):
+    """Equal rows share what is left of the budget, and rows that differ in text alone are told apart."""
+    d = docs(spark, [(1, "one two three four", "s")] * 6 + [(2, "a b", "t")])
+    targets = {r["source"]: r["target"] for r in mix_sources(d, weights=(1, 1), share=0.4, max_epochs=1).collect()}
+    out = mixed_documents(d, weights=(1, 1), share=0.4, max_epochs=1)
+    taken = {s: sum(r["mix_taken"] for r in out.where(F.col("source") == s).collect()) for s in "st"}
+    assert taken == {s: int(t) for s, t in targets.items()} and 0 < taken["s"] < 24
+    d = docs(spark, [(1, "one two", "s"), (1, "ONE TWO", "s"), (1, "six seven", "s"), (9, "z", "t")])
+    got = mixed_documents(d, weights=(1,), share=0.5, max_epochs=1).where("source = 's'").collect()
+    want = int(next(r["target"] for r in mix_sources(d, weights=(1,), share=0.5, max_epochs=1).collect() if r["source"] == "s"))
+    assert sum(r["mix_taken"] for r in got) == want
+
+
+def test_markup_names_are_weak():
+    body = " ".join(f"word{i}" for i in range(60))
+    assert ht.split_page('<article class="post share-enabled"><p>hello world</p></article>')[0] == "hello world"
+    kept = '<section id="comment-on-policy">one</section><p class="notice-period">two</p><div class="share-enabled">three</div>'
+    assert ht.split_page(f"<article>{body}{kept}</article>")[0] == f"{body}\n\none\n\ntwo\n\nthree"
+    out = '<div class="reader-opinions">a</div><div class="feedback">b</div><article class="comment">c</article><ul class="user-comments"><li>d</ul><div class="ad-slot-3">e</div>'
+    assert ht.split_page(f"<article>{body}{out}</article>")[0] == body
+    assert ht.split_page("<article>See <button>this</button> thing</article>")[0] == "See thing"
+    assert ht.split_page("<article><p>a <select><option>x</select> b</article>")[0] == "a\n\nb"
+
+
+def test_host_decides_inside_articles(spark):
+    """What most pages of a host repeat goes from articles too; a hint needs less; what few pages share stays."""
+    own = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(40)]
+    bio = "<p>Jane writes about science for this site since many years</p>"
+    hint = "<div class=newsletter-wide-v2>get our best stories sent to you every day</div>"
+    plain = "<p>get our best stories sent to you every day</p>"
+    quote = "<p>to be or not to be that is the question here</p>"
+    page = lambda i: f"<article><h1>T{i}</h1><p>{own[i]}</p>{quote if i < 10 else ''}{hint if i < 8 else ''}{plain if i == 9 else ''}{bio}</article>"
+    rows = [(i, "http://h.example.com/", page(i)) for i in range(40)] + [(90, "http://two.example.com", page(0)), (91, "http://two.example.com", page(1))]
+    got = {r["page_id"]: r for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda x: re.sub("<[^>]*>", "", x)
+    for i in range(40):
+        want = [f"T{i}", own[i]] + [text(quote)] * (i < 10) + [text(plain)] * (i == 9)
+        assert got[i]["text"] == "\n\n".join(want), i
+    assert got[0]["dropped_repeats"] == 2 and got[39]["dropped_repeats"] == 1 and got[0]["rule"] == "article"
+    assert text(bio) in got[90]["text"] and text(hint) not in got[90]["text"]  # two pages
