@@ -8,12 +8,11 @@ neighbours.  Forward-backward gives the posterior of every label at every
 word; the language of a text is the label with the largest mean posterior over
 its words with letters, which is also the score.
 
-Training runs on the driver on a bounded sample of labelled rows: about
-``per_label`` rows of each label, chosen by a hash of the id, each up to
-``sample_chars`` code points, from a place anywhere in the text that a hash
-chooses.  Sequences are made of pieces of up to three
-sampled texts, so that switches are learned too.  Everything else reads whole
-texts.
+Training runs on the driver on the whole texts of a bounded sample of labelled
+rows: about ``sample_rows`` distinct rows, as many of each label, chosen by a
+hash of id and text.  That number is the only bound; it does not grow with
+the input or with the labels.  Sequences are made of pieces of up to three
+sampled texts, so that switches are learned too.
 
 Prediction works on blocks of text.  Emissions are computed once per distinct
 word of a block.  The chains of all texts are cut into segments of ``SEGMENT``
@@ -23,7 +22,8 @@ last one spreads it inside the segments.
 
 Defined cases: text null, empty or without a letter: label ``und``, score 0;
 no labelled training row: ``und`` for all; a label seen once is learned like
-any other; ties go to the label first by code points; repeated rows are
+any other; repeated rows are learned once; more than ``MOST_LABELS`` labels:
+an error; ties go to the label first by code points; repeated rows are
 predicted alike; other columns are not read.
 """
 
@@ -49,6 +49,10 @@ U = np.uint64
 SEGMENT = 32
 #: Entries of the weight table, features times labels: 8 MB, whatever the input.
 TABLE = 1 << 21
+#: Rows that the model is fitted on, about.
+SAMPLE_ROWS = 1000
+#: More labels than that can't be languages; the operator raises.
+MOST_LABELS = 5000
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
 
@@ -184,7 +188,7 @@ def _words(texts: list[str]):
     return raw, starts, ends, first
 
 
-def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: float = 0.4, sequence: int = 48) -> Crf | None:
+def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 3, rate: float = 0.4, sequence: int = 48) -> Crf | None:
     """Fits a CRF on (text, label) rows by stochastic gradient (AdaGrad)."""
     labels = sorted({y for _, y in rows})
     if not labels:
@@ -193,10 +197,12 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
     bits = max(10, int(np.log2(TABLE // k)))
     raw, starts, ends, first = _words([x for x, _ in rows])
     y_doc = np.array([labels.index(y) for _, y in rows])
+    # features are held once per distinct word, and the words as their numbers
     hashes = tk.span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, U)
-    feats, ff = word_features(raw, starts, ends, hashes, bits)
-    feats = feats.astype(np.int32)
-    del raw, starts, ends, hashes
+    hashes, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    feats, ff = word_features(raw, starts[at], ends[at], hashes, bits)
+    feats, word = feats.astype(np.int32), word.astype(np.int32)
+    del raw, starts, ends, hashes, at
     fn = np.diff(np.append(ff, len(feats)))
     y = np.repeat(y_doc, np.diff(first))
     rng = np.random.default_rng(seed)
@@ -224,9 +230,9 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
                         at += 1
                 border.append(border[-1] + n)
             w = np.concatenate(chosen)
-            f = np.concatenate([feats[ff[x] : ff[x] + fn[x]] for x in w])
-            n = fn[w]
+            n = fn[word[w]]
             f0 = np.append(0, np.cumsum(n))[:-1]
+            f = feats[np.repeat(ff[word[w]] - f0, n) + np.arange(n.sum())]
             border = np.array(border)
             post, moves = forward_backward(model.emissions(f, f0), border, model.trans, model.start, True)
             grad = -post
@@ -250,21 +256,19 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
     return model
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int, remainder: int, per_label: int, sample_chars: int) -> list[tuple[str, str]]:
-    """About ``per_label`` rows of each label outside the held-out split, chosen by a hash of the id."""
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int, remainder: int, sample_rows: int) -> list[tuple[str, str]]:
+    """About ``sample_rows`` distinct (text, label) rows outside the held-out split, as many of each label."""
     rows = docs.where(~in_split(quoted(id_col), modulus, remainder)).select(quoted(id_col).cast("string").alias("i"), quoted(lang_col).cast("string").alias("y"), quoted(text_col).cast("string").alias("x")).where("y is not null and x is not null")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
-    if not counts:
+    labels = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()  # one row a label
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"column {lang_col} has more than {MOST_LABELS} labels")
+    if not labels:
         return []
-    share = F.create_map(*[z for y, n in sorted(counts.items()) for z in (F.lit(y), F.lit(min(1.0, per_label / n)))])
-    dice = F.pmod(F.xxhash64(F.lit("language"), "i"), F.lit(1 << 30)) / F.lit(1 << 30)
-    # the window's place, and no word that its start cuts
-    start = F.pmod(F.xxhash64(F.lit("window"), "i", "x"), F.greatest(F.length("x") - sample_chars + 1, F.lit(1)).cast("long")).cast("int")
-    window = F.col("x").substr(start + 1, F.lit(sample_chars))
-    window = F.when(start > 0, F.regexp_replace(window, r"^\S+\s+", "")).otherwise(window)
-    got = rows.where(dice < F.element_at(share, F.col("y"))).select("i", "y", window.alias("x"))
-    got = got.orderBy(F.xxhash64("i", "x")).limit(2 * per_label * len(counts)).collect()
-    return [(r["x"], r["y"]) for r in got]
+    each = sample_rows / len(labels)
+    share = F.create_map(*[z for r in sorted(labels, key=lambda r: r["y"]) for z in (F.lit(r["y"]), F.lit(min(1.0, each / r["n"])))])
+    dice = F.pmod(F.xxhash64(F.lit("language"), "i", "x"), F.lit(1 << 30)) / F.lit(1 << 30)
+    got = rows.where(dice < F.element_at(share, F.col("y"))).distinct().collect()  # about sample_rows
+    return [(r["x"], r["y"]) for r in sorted(got, key=lambda r: (r["y"], r["i"] or "", r["x"]))]
 
 
 OUT = T.StructType([T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("lang", T.StringType())])))])
@@ -305,7 +309,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Crf | None, spans: bool)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(names_of[np.where(ok, pred, -1)].tolist(), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, sure, 0.0)), pa.array(runs if spans else [None] * n, pa.list_(span_type))], names)
 
 
-def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, remainder: int = 1, per_label: int = 250, sample_chars: int = 3000, spans: bool = False, model: Crf | None = None) -> DataFrame:
+def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, remainder: int = 1, sample_rows: int = SAMPLE_ROWS, spans: bool = False, model: Crf | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, sure, spans, th.
 
     sure: the mean over words with letters of each word's largest posterior.
@@ -315,7 +319,7 @@ def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     if model is None:
-        model = train(training_sample(docs, id_col, text_col, lang_col, modulus, remainder, per_label, sample_chars))
+        model = train(training_sample(docs, id_col, text_col, lang_col, modulus, remainder, sample_rows))
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("th")).alias("key"), in_split(quoted(id_col), modulus, remainder).alias("held_out"), text.rlike(r"\p{L}").alias("letter"), text.alias("text"))
     out = rows.mapInArrow(partial(_labelled, model=model, spans=spans), T.StructType([T.StructField("doc_id", rows.schema["key"].dataType), *OUT.fields]))
