@@ -60,6 +60,8 @@ def main() -> None:
         "novel_42_words": lambda: sink(match_all(novel, PatternSet.of(words[:42]), keys=["doc_id"])),
         "novel_100_tails": lambda: sink(match_all(novel, PatternSet.of([w + ".*" for w in words[200:300]]), keys=["doc_id"])),
         "all_10000_literals": lambda: sink(match_all(docs, literals, keys=["doc_id"])),
+        "all_10000_literals_no_gate": lambda: sink(match_all(docs, literals, keys=["doc_id"], bloom="off")),
+        "all_10000_literal_counts": lambda: sink(match_counts(docs, literals)),
         "all_6_literals": lambda: sink(match_all(docs, few, keys=["doc_id"])),
         "all_6_literal_counts": lambda: sink(match_counts(docs, few)),
         "all_47_mixed": lambda: sink(match_all(docs, mixed, keys=["doc_id"])),

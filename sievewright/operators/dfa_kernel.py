@@ -35,12 +35,27 @@ def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[
 
     gate: leaves out starts at which no pattern's beginning can be.
     """
+    return resume(table, texts, gate)[0]
+
+
+#: Scans that go on in the next chunk of a text: row, start (before 0 if it was in an earlier chunk), state.
+Open = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def resume(table: Table, texts: list[str], gate: GramGate | None = None, carry: Open | None = None, ends: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Open]:
+    """Matches as ``scan`` gives them, and the scans still open.
+
+    carry: scans that were open before these texts.  ends: whether a text ends
+    here (all do, if not given); what is open at the end of one that does not
+    goes on in its next chunk.  A match may end at -1, in the chunk before.
+    """
     codes, begin = code_points(texts)
-    n = len(codes)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4))
-    if not n or not len(table.first_state):
-        return none
-    k = len(table.class_starts)
+    n, k = len(codes), len(table.class_starts)
+    ends = np.ones(len(texts), bool) if ends is None else ends
+    none = np.zeros(0, np.int64)
+    c_row, c_start, c_state = carry if carry is not None else (none, none, none)
+    if not len(table.first_state):
+        return (none,) * 4, (none,) * 3
     row = np.repeat(np.arange(len(texts)), np.diff(begin))
     ascii_ = np.searchsorted(table.class_starts, np.arange(128), side="right") - 1
     cls = np.empty(n + 1, np.int32)
@@ -55,11 +70,15 @@ def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[
     if gate is not None:
         count = np.where(gate.may_begin(codes), count, 0)
     start = np.repeat(np.arange(n), count)
-    total = len(start)
-    pick = np.arange(total) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls[:n]], count)
-    slot, place, state = np.arange(total), start.copy(), table.first_state[pick]
+    fresh = len(start)
+    pick = np.arange(fresh) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls[:n]], count)
+    total = fresh + len(c_row)
+    # where each slot that is no merger began
+    of_row = np.concatenate([row[start], c_row])
+    of_start = np.concatenate([start - begin[row[start]], c_start])
     parents, known = [np.full(total, -1, np.int64)], total  # what a slot was merged into
     won: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (slot, place, list)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # (slot, state) at the end of a text that goes on
     trans, emit, eternal = table.trans, table.emit, table.eternal
 
     def report(s, p, e):
@@ -67,14 +86,31 @@ def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[
         if on.any():
             won.append((s[on], p[on], e[on]))
 
+    slot, place, state = np.arange(fresh), start, table.first_state[pick]
+    if len(c_row):
+        c_slot = fresh + np.arange(len(c_row))
+        empty = begin[c_row + 1] == begin[c_row]
+        over = empty & ends[c_row]
+        report(c_slot[over], begin[c_row[over]] - 1, emit[c_state[over], k])
+        stays = empty & ~ends[c_row]
+        held.append((c_slot[stays], c_state[stays]))
+        c_slot, at, c_state = c_slot[~empty], begin[c_row[~empty]], c_state[~empty]
+        report(c_slot, at - 1, emit[c_state, cls[at]])
+        c_state = trans[c_state, cls[at]]
+        go = c_state > 0
+        slot, place, state = np.concatenate([slot, c_slot[go]]), np.concatenate([place, at[go]]), np.concatenate([state, c_state[go]])
     step = 0
     while len(slot):
-        stay = eternal[state]
+        done = ends[row[place]]
+        stay = eternal[state] & done
         stop = is_last[place] | stay
         if stop.any():
-            where = place[stop]
-            ends = np.where(stay[stop], begin[1:][row[where]] - 1, where)
-            report(slot[stop], ends, emit[state[stop], k])
+            open_ = stop & ~done
+            if open_.any():
+                held.append((slot[open_], state[open_]))
+            shut = stop & done
+            where = place[shut]
+            report(slot[shut], np.where(stay[shut], begin[1:][row[where]] - 1, where), emit[state[shut], k])
             go = ~stop
             slot, place, state = slot[go], place[go], state[go]
         nxt = cls[place + 1]
@@ -95,33 +131,44 @@ def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[
                 up[slot[shared[inv]]] = new[inv[shared[inv]]]
                 parents = [up]
                 slot, place, state = new, place[first], state[first]
-    if not won:
-        return none
-    slots, ends, lists = (np.concatenate(x) for x in zip(*won, strict=True))
-    order = np.argsort(slots, kind="stable")
-    slots, ends, lists = slots[order], ends[order], lists[order]
+    if not won and not held:
+        return (none,) * 4, (none,) * 3
+
+    def by_slot(parts: list, n_cols: int) -> tuple[np.ndarray, ...]:
+        if not parts:
+            return (none,) * n_cols
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.argsort(cols[0], kind="stable")
+        return tuple(c[order] for c in cols)
+
+    def of_slots(slots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``at``, place in ``slots``) of all rows of ``slots`` that are in ``at``."""
+        lo, hi = np.searchsorted(slots, at), np.searchsorted(slots, at, side="right")
+        n_hit = hi - lo
+        src = np.repeat(np.arange(len(at)), n_hit)
+        return src, np.arange(len(src)) - np.repeat(np.append(0, np.cumsum(n_hit))[:-1], n_hit) + np.repeat(lo, n_hit)
+
+    slots, places, lists = by_slot(won, 3)
+    h_slots, h_states = by_slot(held, 2)
     up = np.concatenate(parents)
-    rows, pats, begins, stops = [], [], [], []
+    found, left = [], []
     origin, at = np.arange(total), np.arange(total)
     while len(at):  # a start has the reports of all slots that it was merged into
-        lo, hi = np.searchsorted(slots, at), np.searchsorted(slots, at, side="right")
-        n_hit = hi - lo
-        on = n_hit > 0
-        if on.any():
-            src = np.repeat(origin[on], n_hit[on])
-            hit = np.arange(len(src)) - np.repeat(np.append(0, np.cumsum(n_hit[on]))[:-1], n_hit[on]) + np.repeat(lo[on], n_hit[on])
+        src, hit = of_slots(slots, at)
+        if len(src):
             size = table.list_at[lists[hit] + 1] - table.list_at[lists[hit]]
-            src, end = np.repeat(start[src], size), np.repeat(ends[hit], size)
-            inner = np.arange(len(src)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + np.repeat(table.list_at[lists[hit]], size)
-            r = row[src]
-            rows.append(r)
-            pats.append(table.list_of[inner])
-            begins.append(src - begin[r])
-            stops.append(end - begin[r])
+            who, end = np.repeat(origin[src], size), np.repeat(places[hit], size)
+            inner = np.arange(len(who)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + np.repeat(table.list_at[lists[hit]], size)
+            r = of_row[who]
+            found.append((r, table.list_of[inner], of_start[who], end - begin[r]))
+        src, hit = of_slots(h_slots, at)
+        if len(src):
+            left.append((of_row[origin[src]], of_start[origin[src]], h_states[hit].astype(np.int64)))
         at = up[at]
         go = at >= 0
         origin, at = origin[go], at[go]
-    return tuple(np.concatenate(x) for x in (rows, pats, begins, stops))
+    gather = lambda parts, m: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none,) * m
+    return gather(found, 4), gather(left, 3)
 
 
 def split_batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievewright.operators.dfa_kernel import resume
 from sievewright.operators.match import match_all
 from sievewright.patterns import PatternSet
 from sievewright.patterns.automaton import Table
@@ -34,29 +35,12 @@ def _feed(tables: list[Table], open_: list[tuple[int, int, int]], text: str, at:
     """Open scans (table, start, state) over a chunk that begins at ``at``:
     (scans still open, matches (pattern, start, end))."""
     found, left = [], []
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-    def report(t: Table, lists, starts, end: int) -> None:
-        for e, s in zip(lists.tolist(), starts.tolist(), strict=True):
-            found.extend((int(p), int(s), end) for p in t.list_of[t.list_at[e] : t.list_at[e + 1]])
-
     for k, t in enumerate(tables):
-        cls = np.searchsorted(t.class_starts, codes, side="right") - 1
-        mine = [x for x in open_ if x[0] == k]
-        start, state = (np.array([x[i] for x in mine], np.int64) for i in (1, 2))
-        for i, c in enumerate(cls):
-            e = t.emit[state, c]
-            report(t, e[e > 0], start[e > 0], at + i - 1)
-            new = t.trans[state, c].astype(np.int64)
-            on = new > 0
-            lo, hi = t.first_at[c], t.first_at[c + 1]
-            start = np.concatenate([start[on], np.full(hi - lo, at + i)])
-            state = np.concatenate([new[on], t.first_state[lo:hi]])
-        if last:
-            e = t.emit[state, -1]
-            report(t, e[e > 0], start[e > 0], at + len(codes) - 1)
-        else:
-            left += [(k, int(s), int(x)) for s, x in zip(start, state, strict=True)]
+        mine = [x[1:] for x in open_ if x[0] == k]
+        start, state = (np.array([x[i] for x in mine], np.int64) for i in (0, 1))
+        got, rest = resume(t, [text], carry=(np.zeros(len(mine), np.int64), start - at, state), ends=np.array([last]))
+        found += list(zip(got[1].tolist(), (got[2] + at).tolist(), (got[3] + at).tolist(), strict=True))
+        left += [(k, s + at, x) for s, x in zip(rest[1].tolist(), rest[2].tolist(), strict=True)]
     return left, found
 
 
