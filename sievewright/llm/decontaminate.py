@@ -58,22 +58,20 @@ def numbered(masks: tuple[str, ...], short: list[int]) -> dict[int, str]:
 def placed(df: DataFrame, h: str, keep: list[str], masks: dict[int, str]) -> DataFrame:
     """Rows (keep..., pos, k<mask>...): the key of each mask at each position, null where it doesn't fit.
 
-    Shifted copies of the hash array are zipped and unfolded, so that the
-    hashing itself runs in generated code.
+    ``h`` must be in ``keep``: tokens are taken from it by place, in generated
+    code, and no row is made for more than a position.
     """
-    places = sorted({i for m in masks.values() for i, c in enumerate(m) if c == "1"})
-    zipped = F.arrays_zip(*[(F.col(h) if i == 0 else F.slice(F.col(h), F.lit(i + 1), F.greatest(F.size(h), F.lit(1)))).alias(f"c{i}") for i in places])
-    rows = df.withColumn("__z", zipped).select(*keep, F.posexplode_outer("__z").alias("pos", "__w"))
+    rows = df.select(*keep, F.posexplode_outer(h).alias("pos", "c0"))
     keys = []
     for n, m in masks.items():
-        at = [i for i, c in enumerate(m) if c == "1"]
-        keys.append(F.when(F.col(f"__w.c{at[-1]}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"__w.c{i}") for i in at])).alias(f"k{n}"))
+        at = [F.col("c0") if i == 0 else F.get(F.col(h), F.col("pos") + i) for i, c in enumerate(m) if c == "1"]
+        keys.append(F.when(F.col("pos") + len(m) <= F.size(h), F.xxhash64(F.lit(n), *at)).alias(f"k{n}"))
     return rows.select(*keep, "pos", *keys)
 
 
 def seeded(df: DataFrame, h: str, keep: list[str], masks: dict[int, str]) -> DataFrame:
     """Rows (keep..., pos, key): a row for each mask at each position where it fits."""
-    rows = placed(df, h, keep, masks)
+    rows = placed(df, h, [*keep, h] if h not in keep else keep, masks)
     return rows.select(*keep, "pos", F.explode_outer(F.array(*[F.col(f"k{n}") for n in masks])).alias("key")).where("key is not null")
 
 
@@ -86,12 +84,22 @@ def _gated(rows: DataFrame, distinct: DataFrame, masks: dict[int, str]) -> DataF
     return rows.where(hit).select(*cols)
 
 
-def _verified(hits: DataFrame, window: int, min_equal: int) -> DataFrame:
-    """Hits with both hash arrays (h, ih) to overlaps (__id, __th, item_id, doc_from, item_from, n_aligned, n_equal, best)."""
+def _alignments(hits: DataFrame, window: int) -> DataFrame:
+    """Hits (pos in h, ipos in an item of isize tokens) to distinct alignments, each
+    with the aligned tokens of the document.
+
+    A copied passage is hit once a mask and position; its alignment is one row
+    before anything is compared, and the document's other tokens stay behind.
+    """
     a = hits.withColumn("doc_from", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0))).withColumn("item_from", F.greatest(F.col("ipos") - F.col("pos"), F.lit(0)))
+    a = a.withColumn("n_aligned", F.least(F.size("h") - F.col("doc_from"), F.col("isize") - F.col("item_from"))).where(F.col("n_aligned") >= F.least(F.lit(window), F.col("isize")))
+    return a.select("__id", "__th", "item_id", "__ith", "doc_from", "item_from", "n_aligned", F.slice("h", F.col("doc_from") + 1, F.col("n_aligned")).alias("part")).distinct()
+
+
+def _verified(alignments: DataFrame, window: int, min_equal: int) -> DataFrame:
+    """Alignments with the item's tokens (ih) to overlaps (__id, __th, item_id, doc_from, item_from, n_aligned, n_equal, best)."""
     wide, need = F.least(F.lit(window), F.size("ih")), F.when(F.size("ih") >= window, F.lit(min_equal)).otherwise(F.size("ih"))
-    a = a.withColumn("n_aligned", F.least(F.size("h") - F.col("doc_from"), F.size("ih") - F.col("item_from"))).where(F.col("n_aligned") >= wide)
-    a = a.withColumn("same", F.zip_with(F.slice("h", F.col("doc_from") + 1, F.col("n_aligned")), F.slice("ih", F.col("item_from") + 1, F.col("n_aligned")), lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(0))))
+    a = alignments.withColumn("same", F.zip_with("part", F.slice("ih", F.col("item_from") + 1, F.col("n_aligned")), lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(0))))
     add = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
     a = a.withColumn("best", F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_aligned") - wide), lambda i: add(F.slice("same", i + 1, wide)))))
     a = a.where(F.col("best") >= need).withColumn("n_equal", add(F.col("same")))
@@ -110,7 +118,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     begin = seeded(items.where(F.size("ih") >= window), "ih", ["item_id", "ih"], numbered(masks, []))
     for n in short:
         begin = begin.unionByName(seeded(items.where(F.size("ih") == n), "ih", ["item_id", "ih"], {100 + n: "1" * n}))
-    seeds = stash(begin.select("key", "item_id", F.xxhash64("ih").alias("__ith"), F.col("pos").alias("ipos")), "seeds")
+    seeds = stash(begin.select("key", "item_id", F.xxhash64("ih").alias("__ith"), F.size("ih").alias("isize"), F.col("pos").alias("ipos")), "seeds")
     items = items.select("item_id", F.xxhash64("ih").alias("__ith"), "ih")
     small = seeds.count() <= broadcast_seeds
     text = text_or_empty(text_col)
@@ -120,13 +128,13 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     if small:
         near = _gated(placed(tokens, "h", ["__id", "__th", "h"], kinds), stash(seeds.select("key").distinct(), "seed-keys"), kinds)
         near = near.select("__id", "__th", "h", "pos", F.explode_outer(F.array(*[F.col(f"k{n}") for n in kinds])).alias("key")).where("key is not null")
-        hits = near.join(F.broadcast(seeds), "key").join(F.broadcast(i), on_item)
+        hits = near.join(F.broadcast(seeds), "key")
     else:
         found = seeded(tokens, "h", ["__id", "__th"], kinds).join(seeds, "key")
-        found = stash(found.groupBy("__id", "__th", "item_id", "__ith", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.min("ipos").alias("ipos")), "seed-hits")
-        found = found.select(F.col("__id").alias("f_id"), F.col("__th").alias("f_th"), "item_id", "__ith", "ipos", (F.col("diagonal") + F.col("ipos")).alias("pos"))
-        hits = tokens.join(found, F.col("__id").eqNullSafe(F.col("f_id")) & (F.col("__th") == F.col("f_th"))).join(i, on_item)
-    return _verified(hits, window, min_equal)
+        found = stash(found.groupBy("__id", "__th", "item_id", "__ith", "isize", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.min("ipos").alias("ipos")), "seed-hits")
+        found = found.select(F.col("__id").alias("f_id"), F.col("__th").alias("f_th"), "item_id", "__ith", "isize", "ipos", (F.col("diagonal") + F.col("ipos")).alias("pos"))
+        hits = tokens.join(found, F.col("__id").eqNullSafe(F.col("f_id")) & (F.col("__th") == F.col("f_th")))
+    return _verified(_alignments(hits, window).join(F.broadcast(i) if small else i, on_item), window, min_equal)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
