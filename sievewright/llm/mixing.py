@@ -14,8 +14,7 @@ the table of cuts (one row a source); no document moves.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and
 share ``share`` of all words; a target stops at ``max_epochs`` times its
-source's size and the excess is shared again by weight until none is above
-(found in closed form, by a level over sources ordered by cap / weight).
+source's size and the excess is shared again by weight until none is above.
 
 Defined cases: null text has size 0; null source is a source, last in order;
 repeated rows (equal in id, source and text) each count, and where the cut
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words, quoted, stash, text_or_empty
+from .common import n_words, partitions, quoted, stash, text_or_empty
 
 #: Ranges of a source's key space.  A source of 10 billion rows has 2.4
 #: million rows a range, and only one of its ranges is sorted.
@@ -42,24 +41,37 @@ BROADCAST_SOURCES = 100_000
 MIXED = ("mix_size", "mix_target", "mix_taken")
 
 
+def _weighed(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """Adds w, the weight by a source's rank among all: sources are sorted in
+    ranges, and a range knows from the counts of those before it where it begins."""
+    spark = sizes.sparkSession
+    order = F.col("source").asc_nulls_last()
+    s = stash(sizes.repartitionByRange(partitions(spark), order).withColumn("p", F.spark_partition_id()), "mix-sources")
+    ahead = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    begin = s.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))  # a row a range
+    rank = F.col("begin") + F.row_number().over(Window.partitionBy("p").orderBy(order)) - 1
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    return s.join(F.broadcast(begin), "p").withColumn("w", w).drop("p", "begin")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, share: float = 1.0) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
-    The weights go by the rank of a source among all, so its windows are over
-    the whole table of sources: one narrow row each.
+    The level is that of water filling: sources whose cap is below it are full,
+    the others share what is left by weight, which may raise the level; every
+    round is one sum over the sources, and a few rounds are enough.
     """
-    k = len(weights)
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % k + 1).cast("int"))
-    s = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    s = s.withColumn("ratio", F.col("cap") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    s = s.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - before) / rest)
-    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    s = _weighed(sizes, weights).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    s = stash(s.withColumn("ratio", F.col("cap") / F.col("w")), "mix-weights")
+    total, free = s.agg(F.sum("source_size"), F.sum("w")).first()
+    level, full = (total * share / free if free else None), 0
+    while level is not None:
+        over = F.col("ratio") < F.lit(level)
+        n, capped, free = s.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("w")))).first()
+        if n == full:
+            break
+        level, full = ((total * share - capped) / free if free else None), n
+    return s.select("source", "source_size", (F.least("cap", F.lit(level) * F.col("w")) if level is not None else F.col("cap")).alias("target"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, ranges: int, *more: Column) -> DataFrame:
@@ -70,9 +82,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Adds size and place (what orders the rows of a source), if the text is there to be counted."""
+    """Adds size and place (what orders the rows of a source), if the text is there to be counted.
+
+    Made by a generator, as the optimizer would count words anew for each use of a plain column.
+    """
     if "text" in rows.columns:
-        rows = rows.withColumns({"size": n_words(F.col("text")), "th": F.xxhash64("text")}).drop("text")
+        counted = F.array(F.struct(n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")))
+        rows = rows.select(*[c for c in rows.columns if c != "text"], F.inline_outer(counted))
     return rows.withColumn("place", F.struct("key", "id", "size", "th"))
 
 
