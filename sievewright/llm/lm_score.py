@@ -25,7 +25,7 @@ two tokens before it from the root, which is as far as a state remembers.
 The model grows with the corpus, so no task and no driver ever holds it.
 The corpus is cut into blocks of about ``block_bytes`` of text.
 
-1. Each block asks: for each of ``shards`` ranges of the n-gram hashes it sends
+1. Each block asks: for each of some ranges of the n-gram hashes it sends
    its own distinct n-grams (sorted 63-bit hashes) with their training counts
    in the block - one row per block, order and range.
 2. The rows of a range are added up, and every block is answered with the
@@ -83,8 +83,8 @@ BLOCK_BYTES = 8 << 20
 ARROW_BYTES = 4 << 20
 #: Tokens of a segment that is traversed on its own.
 SEGMENT = 64
-#: Ranges of the hashes, and blocks (or groups) that are added up at once.
-SHARDS, FAN = 256, 256
+#: Blocks (or groups) that are added up at once, and ranges of the hashes for each of them.
+FAN, SHARDS_A_BLOCK = 256, 4
 
 
 def in_split(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -442,7 +442,7 @@ def _scored(rows: pa.Table, answers: pa.Table, n: int, v: int, starts: int, smoo
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, smoothing=SMOOTHING, block_bytes: int = BLOCK_BYTES, shards: int = SHARDS, fan: int = FAN) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, smoothing=SMOOTHING, block_bytes: int = BLOCK_BYTES, shards: int | None = None, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.  Rows whose crc32(id) mod ``modulus`` is
     ``remainder`` are held out of training."""
@@ -452,6 +452,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     kind = rows.schema["doc_id"].dataType
     size, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     blocks = rows.rdd.getNumPartitions() + (size or 0) // block_bytes  # or fewer
+    # a range's rows hold as much, however many blocks there are, and are dealt evenly
+    shards = shards or max(64, SHARDS_A_BLOCK * min(blocks, fan))
     tagged = rows.mapInArrow(partial(_tagged, block_bytes=block_bytes), T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields]))
     with arrow_bytes(spark, ARROW_BYTES):
         answers, n, v = summed(rows.mapInArrow(partial(_asked, block_bytes=block_bytes, shards=shards), ASK), blocks, fan, shards)
