@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievewright.patterns import PatternSet
 from sievewright.patterns.ast import MAX_CODE
@@ -53,6 +55,22 @@ def dfa_graph(spark: SparkSession, patterns: PatternSet) -> tuple[DataFrame, Dat
     return spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
 
 
+def live_sets(spark: SparkSession, patterns: PatternSet, prefixes: list[str]) -> DataFrame:
+    """(prefix, pattern_id, pattern, accepts): the patterns that a scan still
+    follows after reading a prefix, and whether it could end there."""
+    rows = []
+    for prefix in prefixes:
+        for i, source in enumerate(patterns.sources):
+            d, state = patterns.dfa(i), 0
+            for c in prefix:
+                state = int(d.trans[state, np.searchsorted(d.starts, ord(c), side="right") - 1])
+                if state < 0:
+                    break
+            if state >= 0:
+                rows.append((prefix, i, source, bool(d.accept[state])))
+    return spark.createDataFrame(rows, "prefix string, pattern_id int, pattern string, accepts boolean")
+
+
 def graphviz(nodes: DataFrame, edges: DataFrame, name: str = "patterns") -> DataFrame:
     """(line_no, line) of a Graphviz file; write with ``orderBy('line_no')`` and text."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -60,6 +78,5 @@ def graphviz(nodes: DataFrame, edges: DataFrame, name: str = "patterns") -> Data
     e = edges.select(F.lit(2).alias("o"), F.concat(F.lit("  "), quote(F.concat_ws("#", "pattern", F.col("src").cast("string"))), F.lit(" -> "), quote(F.concat_ws("#", "pattern", F.col("dst").cast("string"))), F.lit(" [label="), quote(F.col("label")), F.lit("];")).alias("line"))
     spark = nodes.sparkSession
     ends = spark.createDataFrame([(0, f"digraph {name} {{"), (3, "}")], "o int, line string")
-    from pyspark.sql.window import Window
-
+    # one window: the automata of a pattern set, which the driver has listed itself
     return n.union(e).union(ends).select((F.row_number().over(Window.orderBy("o", "line")) - 1).alias("line_no"), "line")

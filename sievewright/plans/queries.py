@@ -16,7 +16,7 @@ from sievewright.operators import compare, lines, prefilter, stats
 from sievewright.operators.baseline import count_standard, find_standard
 from sievewright.operators.match import count_rollup, match_all, match_any, match_counts, with_actions
 from sievewright.patterns import PatternSet, try_parse
-from sievewright.plans.graph import dfa_graph
+from sievewright.plans.graph import dfa_graph, graphviz, live_sets, nfa_graph
 from sievewright.sources import sinks, text
 from sievewright.sources.scratch import scratch_path
 from sievewright.sources.text import load_patterns, load_patterns_clean
@@ -765,6 +765,21 @@ def automaton_graph(spark, sf_dir):
     return dfa_graph(spark, PatternSet.of(["ab|ac", "x[0-9]+"]))[1]
 
 
+@query("select * from (values ('[a-b]c', 0, 1, 'a-b'), ('[a-b]c', 1, 2, 'c')) t(pattern, src, dst, label)")
+def path_graph(spark, sf_dir):
+    return nfa_graph(spark, PatternSet.of(["[a-b]c"]))[1]
+
+
+@query("select * from (values ('', 0, 'ab|ac', false), ('', 1, 'a.c', false), ('', 2, 'x+', false), ('a', 0, 'ab|ac', false), ('a', 1, 'a.c', false), ('ab', 0, 'ab|ac', true), ('ab', 1, 'a.c', false), ('abc', 1, 'a.c', true), ('x', 2, 'x+', true)) t(prefix, pattern_id, pattern, accepts)")
+def live_patterns(spark, sf_dir):
+    return live_sets(spark, PatternSet.of(["ab|ac", "a.c", "x+"]), ["", "a", "ab", "abc", "x", "q"])
+
+
+@query("""select unnest(['digraph patterns {', '  "ab#0" [shape=circle];', '  "ab#1" [shape=circle];', '  "ab#2" [shape=doublecircle];', '  "ab#0" -> "ab#1" [label="a"];', '  "ab#1" -> "ab#2" [label="b"];', '}']) as line""")
+def graphviz_text(spark, sf_dir):
+    return graphviz(*dfa_graph(spark, PatternSet.of(["ab"]))).select("line")
+
+
 @query(
     """select * from (values ('\\d', 'PatternSyntaxError'), ('[z-a]', 'PatternSyntaxError'), ('?a', 'PatternSyntaxError'), ('^a', 'UnsupportedPattern'), ('[abc', null), ('a{2}', null)) t(pattern, error)"""
 )
