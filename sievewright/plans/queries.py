@@ -14,7 +14,7 @@ from sievewright.functions import charclass as cc
 from sievewright.functions.udtf import register_array, register_udtf
 from sievewright.operators import compare, lines, prefilter, stats
 from sievewright.operators.baseline import count_standard, find_standard
-from sievewright.operators.match import count_rollup, match_all, match_any, match_counts, with_actions
+from sievewright.operators.match import count_rollup, is_single, match_all, match_any, match_counts, with_actions
 from sievewright.patterns import PatternSet, try_parse
 from sievewright.plans.graph import dfa_graph, graphviz, live_sets, nfa_graph
 from sievewright.sources import sinks, text
@@ -399,7 +399,7 @@ def undominated_matches(spark, sf_dir):
 @query(f"with {_RUNS} select count(*)::bigint as n from m where start_pos = end_pos")
 def single_character_matches(spark, sf_dir):
     m = match_all(documents(spark, sf_dir), PatternSet.of(["[a-f]+"]), keys=["doc_id"])
-    return m.where("start_pos = end_pos").agg(F.count(F.lit(1)).alias("n"))
+    return m.where(is_single()).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- lines, lists, characters -----------------------------------------------------------

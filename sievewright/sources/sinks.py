@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import threading
 import time
@@ -126,7 +125,3 @@ def write_report(result: DataFrame, path: str) -> str:
 
 def to_json(result: DataFrame) -> DataFrame:
     return result.select(F.to_json(F.struct(*result.columns)).alias("json"))
-
-
-def report_text(values: dict) -> str:
-    return json.dumps(values, sort_keys=True, indent=2)

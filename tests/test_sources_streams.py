@@ -45,6 +45,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_baseline(spark, [("x", 5, 7)], str(tmp_path / "base"), ["made by a test"])
     assert [tuple(r) for r in text.read_baseline(spark, str(tmp_path / "base")).collect()] == [("x", 5, 7)]
     assert "| x |" in sinks.write_report(sinks.log_matches(m, "x"), str(tmp_path / "report"))
+    seen_there = spark.sparkContext.accumulator(0)
+    sinks.for_each_match_on_executors(m, lambda r: seen_there.add(r["end_pos"] - r["start_pos"] + 1))
+    assert seen_there.value == 7
     told = []
     assert sinks.count_with_progress(m, lambda n, speed: told.append(n), every=2) == 5 and told[-1] == 5
     big = spark.range(2500)
