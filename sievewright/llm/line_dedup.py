@@ -156,21 +156,26 @@ class LineRuns:
         """(a, b, h1, h2) rows whose key is found in at least ``min_docs`` documents: (a, b, gone).
 
         A key with very many documents would put all of them into the task of its
-        bucket.  Of keys whose count is a 1/``HOT_KEYS``-th of all there are at most
-        ``HOT_KEYS``: those are broadcast and meet their rows where they are; the
-        others are dealt to the buckets.  Written, so that the next join's sides are
+        bucket.  Of keys whose count is over a 1/``HOT_KEYS``-th of all in a run there
+        are fewer than ``HOT_KEYS``: those are broadcast and meet their rows where
+        they are; the others are dealt to the buckets.  Written, so that the next join's sides are
         plain exchanges and a text with very many copies is split over tasks.
         """
-        run = self._one(self.runs()) if self.runs() else None
-        if run is None:
+        runs = self.runs()
+        if not runs:
             return stash(each.select("a", "b", F.array("h1").alias("gone")).limit(0), "line-hits")
-        least = (run.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
-        found = run.where(F.col("n") >= min_docs)
-        hot = found.where(F.col("n") > least).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-        each = stash(each.join(F.broadcast(hot), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("a", "b", *KEY, F.col("g1").isNotNull().alias("hot")), "line-keys")
+        # a key that one document has is found in some run; a count of more needs all of them
+        found = [r.where(F.col("n") >= min_docs) for r in (runs if min_docs <= 1 else [self._one(runs)])]
+        hot = None
+        for r in found:
+            least = (r.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+            part = r.where(F.col("n") > least).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+            hot = part if hot is None else hot.unionByName(part)
+        each = stash(each.join(F.broadcast(hot.distinct()), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("a", "b", *KEY, F.col("g1").isNotNull().alias("hot")), "line-keys")
         with self._sorted_scans():
-            cold = each.where("not hot").join(found.select(*KEY), KEY, "left_semi")
-            both = each.where("hot").select("a", "b", "h1").unionByName(cold.select("a", "b", "h1"))
+            both = each.where("hot").select("a", "b", "h1")
+            for r in found:
+                both = both.unionByName(each.where("not hot").join(r.select(*KEY), KEY, "left_semi").select("a", "b", "h1"))
             return stash(both.groupBy("a", "b").agg(F.collect_set("h1").alias("gone")), "line-hits")
 
 
