@@ -450,8 +450,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     ship(spark)
     rows = docs.select(quoted(id_col).alias("doc_id"), in_split(quoted(id_col), modulus, remainder).alias("held_out"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
-    size, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
-    blocks = rows.rdd.getNumPartitions() + (size or 0) // block_bytes  # or fewer
+    facts = rows.select(F.octet_length("text").alias("size"), "held_out", F.spark_partition_id().alias("part"))
+    size, starts, parts = facts.agg(F.sum("size"), F.count_if(~F.col("held_out")), F.countDistinct("part")).first()
+    blocks = parts + (size or 0) // block_bytes  # or fewer
     # a range's rows hold as much, however many blocks there are, and are dealt evenly
     shards = shards or max(64, SHARDS_A_BLOCK * min(blocks, fan))
     tagged = rows.mapInArrow(partial(_tagged, block_bytes=block_bytes), T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields]))
