@@ -134,12 +134,12 @@ def articles(rows, k=6):
         for i in ids:
             w = [x for b in blocks[i] for x in b.split(" ")]
             hit = {j + d for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in often for d in range(k)}
-            kept, at = [], 0
-            for b in blocks[i]:
-                n = len(b.split(" "))
-                if not hit.issuperset(range(at, at + n)):
-                    kept.append(b)
-                at += n
+            size = [len(b.split(" ")) for b in blocks[i]]
+            at = [sum(size[:j]) for j in range(len(size))]
+            gone = [hit.issuperset(range(x, x + n)) for x, n in zip(at, size, strict=True)]
+            if 2 * sum(n for n, g in zip(size, gone, strict=True) if g) > sum(size):
+                gone = [False] * len(size)  # one article in several versions
+            kept = [b for b, g in zip(blocks[i], gone, strict=True) if not g]
             out[i] = "\n\n".join(kept)
     return out
 

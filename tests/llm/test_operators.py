@@ -155,14 +155,16 @@ def test_line_folding(spark):
     assert [r["f"] == r["g"] for r in df.collect()] == [x for *_, x in pairs]
 
 
-def test_line_batches(spark):
-    runs = ld.LineRuns(spark, fanout=2)
+def test_line_batches(spark, tmp_path):
+    runs = ld.LineRuns(spark, fanout=2, path=str(tmp_path / "runs"))
     seen = []
     for i, text in enumerate(["a\nb", "b\nc\nB ", "c\nd\n\n", "a\nb\nc\nd\ne"]):
         seen.append(ld.dedup_batch(runs, docs(spark, [(i, text, "s")])).first())
     assert [r["text"] for r in seen] == ["a\nb", "c", "d\n\n", "e"]
     assert [r["n_chars"] for r in seen] == [3, 1, 3, 1]
-    assert sum(map(len, runs.levels)) < 4 and runs.totals(3).count() == 2  # b and c
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    assert len(list((tmp_path / "runs").iterdir())) == 4 + 2 + 1  # a lookup writes no run
+    assert runs.totals(3).count() == 2  # b and c
 
 
 # ---- decontamination ----------------------------------------------------------------
@@ -667,3 +669,35 @@ def test_host_decides_inside_articles(spark):
         assert got[i]["text"] == "\n\n".join(want), i
     assert got[0]["dropped_repeats"] == 2 and got[39]["dropped_repeats"] == 1 and got[0]["rule"] == "article"
     assert text(bio) in got[90]["text"] and text(hint) not in got[90]["text"]  # two pages
+    # most pages of a host are one article in versions
+    story = "".join(f"<p>{x}</p>" for x in own[:6])
+    rows = [(i, "http://v.example.com/", f"<article>{story}<p>version {i} of the story as told on day {i}</p></article>") for i in range(5)] + [(5, "http://v.example.com/", f"<article><p>{own[9]}</p></article>")]
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(own[j] in got[i] for i in range(5) for j in range(6)) and got[5] == own[9]
+
+
+def test_beyond_the_bounds_of_broadcasts(spark, monkeypatch):
+    """Tables that are too large to broadcast are joined, with the same rows."""
+    from sievewright.llm import common, exact_dedup as ed, mixing as mx
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["same text here", f"own {i} words", f"own {i} words and more"]), rng.choice("stu")) for i in range(60)] + EDGE
+    d = docs(spark, rows)
+    p = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/", f"<p>{t}</p>" * 40) for i, t, _ in rows if i is not None and t is not None and len(t) < 100], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, "own 7 words")], "item_id long, text string")
+
+    def everything():
+        show = lambda df: sorted(map(str, df.collect()))
+        return [
+            show(mx.mix_sources(d)),
+            show(mixed_documents(d)),
+            show(exact_dedup(d, n_partitions=4)),
+            show(warc.archive_round_trip(p)),
+            show(ht.extract_text(p, chunk_bytes=4000)),
+            show(dc.drop_contaminated(d, bench)),
+        ]
+
+    want = everything()
+    for module, name in ((mx, "BROADCAST_SOURCES"), (ed, "BROADCAST_EDGES"), (warc, "BROADCAST_DIGESTS"), (ht, "BROADCAST_HOSTS"), (common, "BROADCAST_KEYS")):
+        monkeypatch.setattr(module, name, 0)
+    assert everything() == want
