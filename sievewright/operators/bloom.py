@@ -1,9 +1,9 @@
 """A Bloom filter over the beginnings of patterns, as a gate before the automata.
 
 A match can begin only where the first characters of some pattern stand.  For
-patterns whose alternatives all begin with fixed text, the first one to three
-characters go into a Bloom filter; places of a text whose own characters are
-not in it begin no scan.  A false positive only costs a scan that finds nothing,
+patterns whose alternatives all begin with fixed text, the first characters -
+up to ``GRAM``, as many as every pattern has - go into a Bloom filter; places of
+a text whose own characters are not in it begin no scan.  A false positive only costs a scan that finds nothing,
 so results are the same with and without the gate.
 """
 
@@ -22,11 +22,10 @@ ACTIVATION_PATTERNS = 5000
 #: Share of false positives that the filter is sized for.
 FALSE_POSITIVES = 0.05
 #: Longest beginning that is looked at.
-GRAM = 3
+GRAM = 6
 
 
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ U(salt)) * U(0x9E3779B97F4A7C15)
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(31))) * U(0xD6E8FEB86659FD93)
     return x ^ (x >> U(29))
 
@@ -43,23 +42,27 @@ class BloomFilter:
         n = max(1, len(items))
         size = 1 << max(6, math.ceil(math.log2(-n * math.log(false_positives) / math.log(2) ** 2)))
         out = cls(np.zeros(size, bool), max(1, round(size / n * math.log(2))) if size / n < 16 else 8)
-        for place in out._places(items):
-            out.bits[place] = True
+        at, step = out._places(items)
+        for _ in range(out.hashes):
+            out.bits[at] = True
+            at = (at + step) & (size - 1)
         return out
 
-    def _places(self, items: np.ndarray):
-        a, b = _mixed(items, 0x5851F42D4C957F2D), _mixed(items, 0x14057B7EF767814F) | U(1)
-        for i in range(self.hashes):
-            yield ((a + U(i) * b) & U(len(self.bits) - 1)).astype(np.int64)
+    def _places(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place of each item, and the step to its next ones."""
+        h = _mixed(items)
+        return (h & U(len(self.bits) - 1)).astype(np.int64), ((h >> U(40)) | U(1)).astype(np.int64)
 
     def might_contain(self, items: np.ndarray) -> np.ndarray:
-        left = np.arange(len(items))
-        for i in range(self.hashes):  # most items are out after the first probe
-            part = items[left]
-            a, b = _mixed(part, 0x5851F42D4C957F2D), _mixed(part, 0x14057B7EF767814F) | U(1)
-            left = left[self.bits[((a + U(i) * b) & U(len(self.bits) - 1)).astype(np.int64)]]
-        out = np.zeros(len(items), bool)
-        out[left] = True
+        at, step = self._places(items)
+        out = self.bits[at]
+        left = np.flatnonzero(out)
+        at, step = at[left], step[left]
+        for _ in range(self.hashes - 1):  # most items are out after the first probe
+            at = (at + step) & (len(self.bits) - 1)
+            on = self.bits[at]
+            out[left[~on]] = False
+            left, at, step = left[on], at[on], step[on]
         return out
 
 
@@ -74,40 +77,44 @@ def beginnings(pattern: Pattern) -> list[str] | None:
     return out or None
 
 
+#: What the characters of a beginning count by their place.
+_PLACE = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)]
+
+
 def _items(grams: list[str]) -> np.ndarray:
-    return np.array([sum(ord(c) << 21 * i for i, c in enumerate(g)) for g in grams], U)
+    return np.array([sum(ord(c) * _PLACE[i] for i, c in enumerate(g)) % (1 << 64) for g in grams], U)
 
 
 @dataclass(frozen=True)
 class GramGate:
-    """A filter for each length of beginning that occurs."""
+    """A filter over the first ``size`` characters of all patterns."""
 
-    filters: tuple[tuple[int, BloomFilter], ...]
+    size: int
+    filter: BloomFilter
 
     @classmethod
     def of(cls, patterns: list[Pattern]) -> GramGate | None:
         """The gate of a set of patterns, or None if one of them has no fixed beginning."""
-        grams: dict[int, set[str]] = {}
+        grams: set[str] = set()
         for p in patterns:
             got = beginnings(p)
             if got is None:
                 return None
-            for g in got:
-                grams.setdefault(len(g), set()).add(g)
-        return cls(tuple((n, BloomFilter.of(_items(sorted(g)))) for n, g in sorted(grams.items()))) if grams else None
+            grams.update(got)
+        if not grams:
+            return None
+        size = min(map(len, grams))
+        return cls(size, BloomFilter.of(_items(sorted({g[:size] for g in grams}))))
 
     def may_begin(self, codes: np.ndarray) -> np.ndarray:
         """Places at which some pattern may begin; texts stand end to end, so a place
         near the end of one is let through for what the next one begins with."""
-        wide = codes.astype(U)
+        n = len(codes) - self.size + 1
         out = np.zeros(len(codes), bool)
-        item = np.zeros(len(codes), U)
-        done = 0
-        for n, f in self.filters:
-            for i in range(done, n):
-                if i < len(codes):
-                    item[: len(codes) - i] |= wide[i:] << U(21 * i)
-            done = n
-            todo = np.flatnonzero(~out)
-            out[todo[f.might_contain(item[todo])]] = True
+        if n > 0:
+            wide = codes.astype(U)
+            item = wide[:n] * U(_PLACE[0])
+            for i in range(1, self.size):
+                item += wide[i : i + n] * U(_PLACE[i])
+            out[:n] = self.filter.might_contain(item)
         return out

@@ -28,6 +28,23 @@ def _dfa(source: str) -> Dfa:
     return compile_dfa(_parsed(source))
 
 
+@lru_cache(4)
+def _tables(patterns: tuple[tuple[str, int], ...], entries: int) -> tuple[Table, ...]:
+    """Tables of (text, id) in order of the text; the last few sets are kept, as one set is matched with often."""
+    out, part, states, cuts = [], [], 2, set()
+    for source, i in patterns:
+        d = _dfa(source)
+        n, c = states + len(d.trans), cuts | set(d.starts)
+        if part and n * len(c) > entries:
+            out.append(build_table(part))
+            part, n, c = [], 2 + len(d.trans), set(d.starts)
+        part.append((i, d))
+        states, cuts = n, c
+    if part:
+        out.append(build_table(part))
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class PatternSet:
     """Patterns with their ids (place in the list) and actions (names).
@@ -87,18 +104,8 @@ class PatternSet:
         """Tables of the patterns, split so that each has a bounded number of
         entries.  Patterns are taken in order of their text, so that those with
         common beginnings share states."""
-        out, part, states, cuts = [], [], 2, set()
-        for i in sorted(range(len(self)) if ids is None else ids, key=self.sources.__getitem__):
-            d = self.dfa(i)
-            n, c = states + len(d.trans), cuts | set(d.starts)
-            if part and n * len(c) > entries:
-                out.append(build_table(part))
-                part, n, c = [], 2 + len(d.trans), set(d.starts)
-            part.append((i, d))
-            states, cuts = n, c
-        if part:
-            out.append(build_table(part))
-        return out
+        chosen = range(len(self)) if ids is None else ids
+        return list(_tables(tuple((self.sources[i], i) for i in sorted(chosen, key=self.sources.__getitem__)), entries))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """(pattern_id, pattern, actions)"""
