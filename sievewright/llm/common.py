@@ -86,6 +86,10 @@ def arrow_bytes(spark: SparkSession, n: int):
     return session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=n)
 
 
+#: Bytes of an Arrow batch where nothing asks for another size.
+ARROW_BYTES = 8 << 20
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from sievewright.shipping import ship
 
 from . import tokens as tk
-from .common import packed, quoted, stash, text_or_empty, unpacked, without
+from .common import ARROW_BYTES, arrow_bytes, packed, quoted, stash, text_or_empty, unpacked, without
 from .components import components
 
 U = np.uint64
@@ -248,8 +248,13 @@ def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, screen: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(rows, roots).  rows: doc_id, th, n_shingles, node for each row of
-    ``docs``; roots: node, root for nodes linked with another."""
+    ``docs``; roots: node, root for nodes linked with another.  Both are written tables."""
     ship(docs.sparkSession)
+    with arrow_bytes(docs.sparkSession, ARROW_BYTES):
+        return _near_links(docs, id_col, text_col, k, threshold, bands, rows, screen)
+
+
+def _near_links(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int, bands: int, rows: int, screen: float) -> tuple[DataFrame, DataFrame]:
     t = bands * rows
     one = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     kind = one.schema["doc_id"].dataType

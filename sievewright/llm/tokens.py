@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once.  A longer document is one block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
