@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from sievewright.shipping import ship
 
 from . import tokens as tk
-from .common import quoted, text_or_empty, without
+from .common import ARROW_BYTES, arrow_bytes, quoted, text_or_empty, without
 from .lm_score import in_split
 
 U = np.uint64
@@ -182,10 +182,19 @@ def forward_backward(emit: np.ndarray, border: np.ndarray, trans: np.ndarray, st
 
 
 def _words(texts: list[str]):
+    """(bytes, start, end, hash of each word, first word of each text), hashed a block at a time."""
     col = pa.array(texts, pa.large_string())
     raw, off = tk.buffers(col)
-    starts, ends, first = tk.word_spans(raw, off)
-    return raw, starts, ends, first
+    base, n = int(off[0]) if len(off) else 0, 0
+    starts, ends, hashes, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(1, np.int64)]
+    for _, _, part, o in tk.blocks(col):
+        s, e, f = tk.word_spans(part, o)
+        starts.append(s + base)
+        ends.append(e + base)
+        hashes.append(tk.span_hashes(part, s, e) if len(s) else np.zeros(0, U))
+        first.append(f[1:] + n)
+        base, n = base + len(part), n + len(s)
+    return raw, *(np.concatenate(x) for x in (starts, ends, hashes, first))
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 3, rate: float = 0.4, sequence: int = 48) -> Crf | None:
@@ -195,10 +204,9 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 3, rate: flo
         return None
     k = len(labels)
     bits = max(10, int(np.log2(TABLE // k)))
-    raw, starts, ends, first = _words([x for x, _ in rows])
+    raw, starts, ends, hashes, first = _words([x for x, _ in rows])
     y_doc = np.array([labels.index(y) for _, y in rows])
     # features are held once per distinct word, and the words as their numbers
-    hashes = tk.span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, U)
     hashes, at, word = np.unique(hashes, return_index=True, return_inverse=True)
     feats, ff = word_features(raw, starts[at], ends[at], hashes, bits)
     feats, word = feats.astype(np.int32), word.astype(np.int32)
@@ -333,4 +341,6 @@ def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = (F.col("lang_pred") != "und") & (F.col("sure") >= min_score)
     if languages is not None:
         told = told & F.col("lang_pred").isin(languages)
-    return without(docs, detect_language(docs, id_col, text_col, **kw).where(~told).select("doc_id", "th"), id_col, text_col)
+    gone = detect_language(docs, id_col, text_col, **kw).where(~told).select("doc_id", "th")
+    with arrow_bytes(docs.sparkSession, ARROW_BYTES):  # the detection runs inside
+        return without(docs, gone, id_col, text_col)
