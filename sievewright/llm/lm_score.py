@@ -30,12 +30,12 @@ The corpus is cut into blocks of about ``block_bytes`` of text.
    in the block - one row per block, order and range.
 2. The rows of a range are added up, and every block is answered with the
    totals of just the n-grams it asked for, in the order it asked.
-   Up to ``fan`` blocks are added up at once.  More blocks go through a tree:
-   groups of ``fan`` blocks are merged into one asker each, whose ranges are
-   ``fan`` times as fine, and answers come down the same way.  So a row always
-   holds thousands of n-grams, what a task holds is the same at every size, and
-   an n-gram moves once up and once down a level (two levels up to 65536 blocks,
-   three up to 16 million).
+   Up to ``fan`` blocks (64 GB of text) are added up at once.  More blocks go
+   through a tree: groups of ``fan`` blocks are merged into one asker each, whose
+   ranges are ``fan`` times as fine, and answers come down the same way.  So a row
+   holds a hundred n-grams or more, what a task holds is the same at every size,
+   and an n-gram moves once up and once down a level (two levels up to 1 PB).
+   The tree writes what blocks ask for once more, to answer it on the way down.
 3. Each block builds the part of the automaton that its own texts can reach
    and traverses it.
 
@@ -78,13 +78,13 @@ ORDER = 3
 #: context.  Fitted on held-out text.
 SMOOTHING = ((4.0, 0.85), (1.0, 0.85))
 #: Text of a block; with its n-grams and arcs about twenty times as much memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch from Spark.
 ARROW_BYTES = 4 << 20
 #: Tokens of a segment that is traversed on its own.
 SEGMENT = 64
-#: Blocks (or groups) that are added up at once, and ranges of the hashes for each of them.
-FAN, SHARDS_A_BLOCK = 256, 4
+#: Blocks (or groups) that are added up at once; and ranges of the hashes, at least.
+FAN, SHARDS = 1 << 14, 256
 
 
 def in_split(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -320,8 +320,9 @@ class BackoffAutomaton:
         self.count = counts_of(1, words).astype(np.float64)
         self.n_words = w = max(len(words), 1)
         pairs, pair, pair_at = ranked(grams[1][0])
+        grams[0] = grams[1] = None  # a block's arrays are large: each goes when it has been used
         pair_n = counts_of(2, pairs).astype(np.float64)
-        del pairs
+        del words, pairs
         states = w + 2 + len(pair_n)
         self.start = w + 1
         seen = np.concatenate([[0.0], self.count, np.zeros(w - len(self.count)), [float(starts)], pair_n])  # of each state
@@ -332,32 +333,42 @@ class BackoffAutomaton:
         for k, (lo, hi) in enumerate(((1, w + 2), (w + 2, states))):
             a, b = smoothing[k]
             mass[lo:hi] = a * np.maximum(seen[lo:hi], 1.0) ** b
+        norm = seen + mass
         with np.errstate(divide="ignore"):
-            self.fail_weight = np.where(seen > 0, np.log10(mass / (seen + mass)), 0.0)
+            self.fail_weight = np.where(seen > 0, np.log10(mass / norm), 0.0)
+        del seen
         # arcs of words and of the start: to pairs
         last = self.word[pair_at]
         first = np.zeros(len(tokens), bool)
         first[border[:-1]] = True
         source = np.where(first[pair_at], self.start if starts else 0, self.state_of_word[self.word[pair_at - 1]])
-        p_pair = np.where(source > 0, (pair_n + mass[source] * root[last]) / (seen[source] + mass[source]), root[last])
+        del first, pair_at
+        p_pair = root[last]
+        p_pair = np.where(source > 0, (pair_n + mass[source] * p_pair) / norm[source], p_pair)
         self.fail = np.zeros(states, np.int64)
         self.fail[w + 2 :] = self.state_of_word[last]
-        on = pair_n > 0
-        keys, weights, dests = [source[on] * w + last[on]], [p_pair[on]], [w + 2 + np.flatnonzero(on)]
+        on = np.flatnonzero(pair_n > 0)
+        del pair_n
+        keys, weights, dests = [source[on] * w + last[on]], [p_pair[on]], [(w + 2 + on).astype(np.int32)]
+        del source, last, on
         # arcs of pairs: to pairs
         triples, _, at = ranked(grams[2][0])
         triple_n = counts_of(3, triples).astype(np.float64)
+        del triples
         at = grams[2][1][at]
-        del triples, grams
+        del grams
         on = triple_n > 0
         at, triple_n = at[on], triple_n[on]
         source, dest = w + 2 + pair[at - 1].astype(np.int64), pair[at]
         keys.append(source * w + self.word[at])
-        weights.append((triple_n + mass[source] * p_pair[dest]) / (seen[source] + mass[source]))
-        dests.append(w + 2 + dest.astype(np.int64))
+        weights.append((triple_n + mass[source] * p_pair[dest]) / norm[source])
+        dests.append(w + 2 + dest)
+        del at, triple_n, on, source, dest, pair, p_pair, mass, norm
         keys = np.concatenate(keys)
         order = np.argsort(keys)
-        self.arc, self.weight, self.dest = keys[order], np.log10(np.concatenate(weights)[order]), np.concatenate(dests)[order]
+        self.arc = keys[order]
+        del keys
+        self.weight, self.dest = np.log10(np.concatenate(weights)[order]), np.concatenate(dests)[order]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, states after) of reading a word in each state: an arc, or failure arcs until there is one."""
@@ -453,8 +464,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     facts = rows.select(F.octet_length("text").alias("size"), "held_out", F.spark_partition_id().alias("part"))
     size, starts, parts = facts.agg(F.sum("size"), F.count_if(~F.col("held_out")), F.countDistinct("part")).first()
     blocks = parts + (size or 0) // block_bytes  # or fewer
-    # a range's rows hold as much, however many blocks there are, and are dealt evenly
-    shards = shards or max(64, SHARDS_A_BLOCK * min(blocks, fan))
+    # one for four blocks: a task adds up some 5 million n-grams, however many blocks there are
+    shards = shards or max(SHARDS, min(blocks, fan) // 4)
     tagged = rows.mapInArrow(partial(_tagged, block_bytes=block_bytes), T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields]))
     with arrow_bytes(spark, ARROW_BYTES):
         answers, n, v = summed(rows.mapInArrow(partial(_asked, block_bytes=block_bytes, shards=shards), ASK), blocks, fan, shards)
