@@ -28,7 +28,7 @@ def _dfa(source: str) -> Dfa:
     return compile_dfa(_parsed(source))
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _tables(patterns: tuple[tuple[str, int], ...], entries: int) -> tuple[Table, ...]:
     """Tables of (text, id) in order of the text; the last few sets are kept, as one set is matched with often."""
     out, part, states, cuts = [], [], 2, set()
