@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .url_filter import filter_urls
 from .warc import archive_round_trip
+from .whitening import whitened
 
 #: The dated list of the URL query: key, action, date.
 URL_LIST = (
@@ -88,6 +89,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _OP1 = """
@@ -205,6 +210,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
