@@ -14,6 +14,7 @@ from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .phrases import collocations
 from .url_filter import filter_urls
 from .warc import archive_round_trip
 from .whitening import whitened
@@ -90,6 +91,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), longest=5, min_count=100, cover_percent=100, top=2000)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -198,6 +203,34 @@ g as (select *, min(doc_id) over (partition by norm) as keep_id, count(*) over (
 select doc_id, keep_id, group_size, k = 1 as kept, sha256(norm) as text_sha256 from g
 """
 
+_OP11 = r"""
+with d as materialized (select row_number() over () as rid, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as materialized (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+g as (select lang, ws, unnest([1, 2, 3, 4, 5]) as m from w),
+h as (select lang, m, ws, unnest(range(1, len(ws) - m + 2)) as i from g where len(ws) >= m),
+f as materialized (select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase, count(*)::bigint as f from h group by all),
+n as materialized (select lang, sum(f)::bigint as n from f where m = 1 group by lang),
+c as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m >= 2 and f >= 100),
+k as (select *, unnest(range(1, m)) as k from c),
+s as (
+  select k.lang, k.phrase, k.a, k.k, x.f as l, y.f as r, n.n, ((1000::hugeint * k.a * n.n) // (x.f::hugeint * y.f))::bigint as score
+  from k join f x on x.lang = k.lang and x.m = k.k and x.phrase = array_to_string(k.ws[:k.k], ' ')
+    join f y on y.lang = k.lang and y.m = k.m - k.k and y.phrase = array_to_string(k.ws[k.k + 1:], ' ')
+    join n on n.lang = k.lang
+),
+b as materialized (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, m, ws, a, unnest(range(2, m)) as size from c),
+q as (select lang, a, array_to_string(ws[i:i + size - 1], ' ') as phrase from (select *, unnest(range(1, m - size + 2)) as i from o)),
+z as materialized (select lang, phrase, max(a) as outer_f from q group by all),
+e as (
+  select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+  from b left join z on z.lang = b.lang and z.phrase = b.phrase
+  where coalesce(100 * outer_f < 100 * a, true)
+)
+select * from e where rank <= 2000
+"""
+
 
 def _op1_sql() -> str:
     from datetime import UTC, datetime
@@ -217,6 +250,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_phrases": op11_phrases,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -228,4 +262,5 @@ ORACLES = {
     "op4_decontaminate": _OP4,
     "op8_warc": _OP8,
     "op10_exact_dedup": _OP10,
+    "op11_phrases": _OP11,
 }
