@@ -49,16 +49,16 @@ from pyspark.sql import types as T
 
 from sievewright.shipping import ship
 
-from .common import partitions, quoted, stash
+from .common import ARROW_BYTES, arrow_bytes, new_path, partitions, quoted, stash
 from .packing import coded, gathered, squeeze, squeeze_words, unsqueeze, unsqueeze_words
 from .tokens import blocks
 
 #: Bytes of text whose distinct words are kept together, and that are split at once.
-BLOCK, PIECE = 16 << 20, 2 << 20
+BLOCK, PIECE = 8 << 20, 1 << 20
 #: Words of all blocks that one range of the hash may hold.
 RANGE_WORDS = 500_000
 #: Ids in an Arrow batch of results (4 bytes each).
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 
 class Vocabulary:
@@ -257,6 +257,16 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 d = e
 
 
+def _by_block(b: DataFrame, buckets: int) -> DataFrame:
+    """Writes blocks as a table that Spark knows as dealt by block: what they asked for comes to them, they don't move."""
+    spark, path = b.sparkSession, new_path(b.sparkSession, "words")
+    name = path.rpartition("/")[2].replace("-", "_")
+    b.write.format("parquet").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external table: its files stay
+    return out
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, range_words: int = RANGE_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (array of int)."""
     spark = docs.sparkSession
@@ -264,13 +274,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType
     shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType())])
-    b = stash(rows.mapInArrow(partial(_word_blocks, pattern=pattern, block=block), shape), "words")
-    n, total = partitions(spark), b.agg(F.sum("n_words")).first()[0] or 0
+    n = partitions(spark)
+    with arrow_bytes(spark, ARROW_BYTES):
+        b = _by_block(rows.mapInArrow(partial(_word_blocks, pattern=pattern, block=block), shape), n)
+    total = b.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(4 * n, total // range_words)
     asked = b.select("block", "words").mapInArrow(partial(_dealt, ranges=ranges), "range int, block long, nos binary, words binary").repartition(n, "range").sortWithinPartitions("range")
     parts = asked.mapInArrow(partial(_encoded, vocabulary=vocabulary), "block long, nos binary, counts binary, ids binary")
     parts = parts.groupBy("block").agg(F.collect_list(F.struct("nos", "counts", "ids")).alias("parts"))  # of one block's words
-    out = b.drop("words").join(parts, "block", "left").select(F.col("ids"), "sizes", "codes", "n_words", "parts")
+    out = b.drop("words").join(parts.hint("merge"), "block", "left").select(F.col("ids"), "sizes", "codes", "n_words", "parts")
     out = out.mapInArrow(_reassembled, T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.withColumnRenamed("id", "doc_id")
 
@@ -313,4 +325,6 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col:
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256."""
     both = decode(encode(docs, vocabulary, pattern, id_col, text_col, **kw), vocabulary)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with arrow_bytes(docs.sparkSession, ARROW_BYTES):
+        return stash(digests, "bpe-digests")
