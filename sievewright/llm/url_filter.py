@@ -8,11 +8,14 @@ intervals [since, until).  A capture (url, time of fetch) looks up the keys
 that can cover it - the suffixes of its host and the prefixes of its path -
 and is blocked if one of them has an interval that holds its time of fetch.
 
-For the as-of join intervals are cut at the borders of periods of
-``period_days`` days, and keys are joined together with the period.  A key
-with a long history then meets only what falls in the capture's own period,
-and a host that holds a third of all captures is dealt over the periods.
-Captures are first folded to distinct (key, time) where many share both.
+Captures are first folded to distinct (url, time), unfolded to their keys, and
+only keys that are on the list at all go on.  The as-of join is by key and
+period of ``period_days`` days, for those periods alone that captures of the key
+have: what began in the period, and the one interval that was open when it
+began, carried over by a window along the key's periods.  So a key with a long
+history meets only what can hold in the capture's own period, a host that holds
+a third of all captures is dealt over the periods, and neither far dates nor long
+intervals add rows.
 
 Defined cases: a null or unusable url or time is never blocked and has a null
 host; of entries of one key at one time ``add`` wins; repeated entries count
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import quoted
+from .common import BROADCAST_KEYS, quoted, stash
 
 #: A host has at most 253 characters, so at most 127 labels; a path is looked
 #: up in full depth, so no limit applies.
@@ -95,13 +98,21 @@ def filter_urls(
     c = captures.select(quoted(id_col).alias(id_col), quoted(url_col).cast("string").alias("url"), quoted(time_col).cast("timestamp").alias("fetched_at"))
     c = c.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     asked = c.where("host is not null and fetched_at is not null").select("host", "path", "fetched_at").distinct()
-    asked = asked.select("host", "path", "fetched_at", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("key")).withColumn("period", number(F.col("fetched_at")))
-    lo, hi = c.agg(F.min(number(F.col("fetched_at"))), F.max(number(F.col("fetched_at")))).first()  # two numbers
-    lo, hi = (0, -1) if lo is None else (lo, hi)
-    iv = validity(entries, key_col, action_col, since_col)
-    iv = iv.withColumn("p0", F.greatest(F.lit(lo), number(F.col("valid_from")))).withColumn("p1", F.least(F.lit(hi), number(F.expr("valid_to - interval 1 microsecond")))).where("p0 <= p1")
-    iv = iv.select("key", "valid_from", "valid_to", F.explode(F.sequence("p0", "p1")).alias("period"))
-    hit = asked.join(iv, ["key", "period"]).where("fetched_at >= valid_from and fetched_at < valid_to")
+    asked = asked.select("host", "path", "fetched_at", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
+    iv = stash(validity(entries, key_col, action_col, since_col), "intervals")
+    listed = iv.select("key").distinct()
+    if iv.count() > BROADCAST_KEYS:  # then ask with each key once
+        listed = stash(listed.join(asked.select("key").distinct(), "key", "left_semi"), "listed-keys")
+    listed = F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed
+    asked = asked.join(listed, "key", "left_semi").withColumn("period", number(F.col("fetched_at")))
+    began = iv.join(listed, "key", "left_semi").withColumn("period", number(F.col("valid_from")))
+    interval = F.struct("valid_from", "valid_to")
+    periods = asked.select("key", "period", F.lit(True).alias("is_asked"), F.lit(None).cast(began.select(interval.alias("i")).schema["i"].dataType).alias("last"))
+    periods = periods.unionByName(began.select("key", "period", F.lit(False).alias("is_asked"), interval.alias("last"))).groupBy("key", "period").agg(F.max("is_asked").alias("is_asked"), F.max("last").alias("last"))
+    along = Window.partitionBy("key").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    periods = periods.withColumn("carried", F.last("last", ignorenulls=True).over(along)).where("is_asked")
+    held = periods.where("carried is not null").select("key", "period", "carried.valid_from", "carried.valid_to").unionByName(began.join(periods.select("key", "period"), ["key", "period"], "left_semi").select("key", "period", "valid_from", "valid_to"))
+    hit = asked.join(held, ["key", "period"]).where("fetched_at >= valid_from and fetched_at < valid_to")
     best = hit.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("fetched_at").alias("b_at")).agg(F.max_by("key", F.struct(F.length("key"), F.col("valid_from"))).alias("matched_key"), F.max_by("valid_from", F.struct(F.length("key"), F.col("valid_from"))).alias("listed_since"))
     out = c.join(best, (c["host"] == best["b_host"]) & (c["path"] == best["b_path"]) & (c["fetched_at"] == best["b_at"]), "left")
     return out.select(id_col, "url", "host", "fetched_at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", "listed_since")
