@@ -201,6 +201,40 @@ def test_contamination(spark, seeds):
     assert dc.contamination(docs(spark, []), bench).count() == 0
 
 
+def best_windows(text, item):
+    """Most equal tokens in 13 aligned ones, by all alignments; of a short item all of it."""
+    a, b, most = text.lower().split(), item.lower().split(), 0
+    wide = min(13, len(b))
+    for d in range(-len(b), len(a) + 1):
+        same = [a[d + j] == b[j] for j in range(len(b)) if 0 <= d + j < len(a)]
+        most = max([most, *(sum(same[i : i + wide]) for i in range(len(same) - wide + 1))])
+    return most if most >= (10 if len(b) >= 13 else len(b)) else 0
+
+
+@pytest.mark.parametrize("seeds", [dc.BROADCAST_SEEDS, 0])
+def test_contamination_of_texts_that_repeat_themselves(spark, seeds):
+    rng = random.Random(8)
+    some = lambda n, k: " ".join(rng.choice("abcd"[:k]) for _ in range(n))
+    items = [(1, "a " * 40), (2, "a b " * 12), (3, some(30, 2)), (4, "a a a b a a a c a a a d a a"), (5, "b b"), (6, some(14, 3))]
+    texts = [(i, some(rng.randrange(1, 60), rng.randrange(1, 5)), "s") for i in range(60)] + [(100, "a " * 300, "s"), (101, "b a " * 90, "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["best"]) for r in dc.contamination(docs(spark, texts), bench, broadcast_seeds=seeds).where("contaminated").collect()}
+    want = {i: {k: b for k, t in items if (b := best_windows(x, t))} for i, x, _ in texts}
+    assert got == {i: (sorted(w), max(w.values())) for i, w in want.items() if w}
+    place = {(r["__id"], r["item_id"]): (r["place"], r["best"]) for r in dc.benchmark_overlaps(docs(spark, texts), bench, broadcast_seeds=seeds).collect()}
+    words = {i: t.split() for i, t in items}
+    for (i, k), (at, best) in place.items():
+        own, wide = dict((a, b) for a, b, _ in texts)[i].split(), min(13, len(words[k]))
+        assert max(sum(x == y for x, y in zip(own[at : at + wide], words[k][j : j + wide], strict=False)) for j in range(len(words[k]) - wide + 1)) >= best
+
+
+def test_contamination_of_one_word_a_hundred_thousand_times(spark):
+    bench = spark.createDataFrame([(1, "spam " * 1000), (2, "spam " * 12 + "x " + "spam " * 12)], "item_id long, text string")
+    d = docs(spark, [(1, "spam " * 100_000, "s"), (2, "spam " * 11, "s"), (3, "ham " * 100_000, "s")])
+    got = {r["doc_id"]: (r["items"], r["best"]) for r in dc.contamination(d, bench).collect()}
+    assert got == {1: ([1, 2], 13), 2: (None, 0), 3: (None, 0)}
+
+
 # ---- near-dedup -----------------------------------------------------------------------
 
 
@@ -464,6 +498,40 @@ def test_urls(spark):
     assert uf.filter_urls(c.limit(0), e).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_urls_by_all_entries(spark, monkeypatch, most):
+    """Random histories and times against a walk through all entries, with the list broadcast and not."""
+    if most is not None:
+        monkeypatch.setattr(uf, "BROADCAST_KEYS", most)
+    rng = random.Random(3)
+    day = lambda: f"{rng.choice((1970, 2023, 2024, 2024, 9998))}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    hosts = [f"h{i}.com" for i in range(6)] + ["com", "a.h1.com"]
+    entries = [(rng.choice(hosts), rng.choice(("add", "add", "remove")), day()) for _ in range(80)]
+    rows = [(i, f"http://{rng.choice(('', 'a.', 'b.a.'))}{rng.choice(hosts)}/p", day()) for i in range(150)]
+
+    def blocks(url, at):
+        host = url.split("/")[2]
+        for key in sorted({x for x, _, _ in entries if host == x or host.endswith("." + x)}, key=len, reverse=True):
+            days = {}
+            for k, action, since in entries:
+                if k == key and since <= at:
+                    days[since] = "add" if "add" in (days.get(since), action) else action
+            if days and days[max(days)] == "add":
+                return key, max(days)
+        return None, None
+
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_at string")
+    got = uf.filter_urls(c, spark.createDataFrame(entries, "key string, action string, since string"), period_days=10)
+    assert {r["page_id"]: (r["matched_key"], r["listed_since"] and str(r["listed_since"])[:10]) for r in got.collect()} == {i: blocks(u, t) for i, u, t in rows}
+
+
+def test_far_dates_add_no_rows(spark):
+    """Three captures of three ages against a large list."""
+    e = spark.range(100_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("key"), F.lit("add").alias("action"), F.lit("2001-01-01").alias("since"))
+    c = spark.createDataFrame([(1, "http://h7.com/", "1970-01-02"), (2, "http://x.h8.com/", "2024-01-01"), (3, "http://h99999.com/", "9998-12-31"), (4, "http://other.com/", "9998-12-31")], "page_id long, url string, fetched_at string")
+    assert collect(uf.filter_urls(c, e), "page_id", "matched_key") == [(1, None), (2, "h8.com"), (3, "h99999.com"), (4, None)]
+
+
 # ---- WARC ----------------------------------------------------------------------------------------
 
 
