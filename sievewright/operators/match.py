@@ -7,7 +7,6 @@ kernel, or, for fixed texts and on request, as a join.
 
 from __future__ import annotations
 
-import zlib
 from functools import partial
 
 import pyarrow as pa
@@ -16,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewright.patterns import PatternSet
-from sievewright.plans.router import ARROW, JOIN, route
+from sievewright.plans.router import ARROW, JOIN, NATIVE, route
 from sievewright.shipping import ship
 
 from .bloom import ACTIVATION_PATTERNS, GramGate
 from .dfa_kernel import counted_batches, match_batches, rows_with_match
 from .literal_join import literal_matches, per_pattern
+from .native import native_matches
 from .prefilter import row_filter
+from .shards import EVERY_BYTE, dealt_matches, tables_for
 
 TEXT = "__text"
 
@@ -38,9 +39,9 @@ def gate_of(patterns: PatternSet, ids: list[int], bloom: str = "auto") -> GramGa
 
 
 def _texts(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, columns: list[str], prefilter: bool) -> DataFrame:
-    """The columns and, last, the text, of rows that may hold a match."""
+    """The columns, named c0, c1, ..., and, last, the text, of rows that may hold a match."""
     ship(df.sparkSession)
-    rows = df.select(*[F.col(_quoted_name(c)) for c in columns], F.col(text_col).alias(TEXT))
+    rows = df.select(*[F.col(_quoted_name(c)).alias(f"c{i}") for i, c in enumerate(columns)], F.col(_quoted_name(text_col)).alias(TEXT))
     if prefilter:
         part = PatternSet(tuple(patterns.sources[i] for i in ids), tuple(patterns.actions[i] for i in ids))
         cond = row_filter(part, F.col(TEXT))
@@ -52,16 +53,17 @@ def _quoted_name(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
-def _kernel(df: DataFrame, patterns: PatternSet, ids: list[int], text_col: str, keys: list[str], prefilter: bool, bloom: str, matched_text: bool, counters) -> DataFrame:
-    rows = _texts(df, patterns, ids, text_col, keys, prefilter)
+def _kernel(rows: DataFrame, patterns: PatternSet, ids: list[int], shards: int | str, bloom: str, matched_text: bool, counters) -> DataFrame:
     fields = [*rows.schema.fields[:-1], T.StructField("pattern_id", T.IntegerType()), T.StructField("pattern", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
     fields += [T.StructField("matched_text", T.StringType())] * matched_text
-    tables = patterns.tables(ids)
+    tables, gate = tables_for(rows.sparkSession, patterns, ids, shards), gate_of(patterns, ids, bloom)
+    if isinstance(tables, DataFrame):
+        return dealt_matches(rows, tables, patterns, fields, gate, matched_text)
     if counters is not None:
         for t in tables:
             counters.inc("dfa_states", len(t.trans))
             counters.inc("dfa_edges", int((t.trans > 0).sum()))
-    fn = partial(match_batches, tables=tables, names=pa.array(patterns.sources, pa.string()), gate=gate_of(patterns, ids, bloom), with_text=matched_text, counters=counters)
+    fn = partial(match_batches, tables=tables, names=pa.array(patterns.sources, pa.string()), gate=gate, with_text=matched_text, counters=counters)
     return rows.mapInArrow(fn, T.StructType(fields))
 
 
@@ -69,41 +71,33 @@ def match_all(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys:
     """(keys..., pattern_id, pattern, start_pos, end_pos): all matches of all
     patterns at all starts; places are code points from 0, both ends included.
 
-    strategy: auto, join (fixed texts only) or dfa.  shards: split the
-    patterns by a hash of their text and scan for each part on its own (the
-    tables of a very large set); ``auto`` takes as many as the cluster's cores
-    ask for.  bloom: see ``gate_of``.  matched_text: adds what matched.
+    strategy: auto, join (fixed texts only), native or dfa.  shards: tables that
+    the patterns are split into, by a hash of their text; ``auto`` takes as many as
+    the cluster's cores ask for and the set has use for.  The texts are read once
+    for all of them (see ``shards``).  bloom: see ``gate_of``.  matched_text: adds what matched.
     counters: ``stats.ObjectCounters`` to count states, scans and matches.
     Null texts match nothing.
     """
     keys = keys or [c for c in df.columns if c != text_col]
-    if shards == "auto":
-        shards = default_shards(df.sparkSession.sparkContext.defaultParallelism)
-    parts = []
-    for shard in range(shards):
-        own = [i for i, s in enumerate(patterns.sources) if shards == 1 or _shard(s, shards) == shard]
-        routed = route(patterns, own, strategy)
-        if routed[JOIN]:
-            lits = [(i, x) for i in routed[JOIN] for x in patterns.parsed[i].literals()]
-            parts.append(with_pattern(literal_matches(df.select(*keys, text_col), lits, text_col, keys, matched_text), patterns, keys, matched_text))
-        if routed[ARROW]:
-            parts.append(_kernel(df, patterns, routed[ARROW], text_col, keys, prefilter, bloom, matched_text, counters))
+    parts, routed = [], route(patterns, list(range(len(patterns))), strategy)
+    short = [f"c{i}" for i in range(len(keys))]
+    if routed[JOIN]:
+        lits = [(i, x) for i in routed[JOIN] for x in patterns.parsed[i].literals()]
+        rows = _texts(df, patterns, routed[JOIN], text_col, keys, False)
+        parts.append(with_pattern(literal_matches(rows, lits, TEXT, short, matched_text), patterns, short, matched_text))
+    if routed[NATIVE]:
+        rows = _texts(df, patterns, routed[NATIVE], text_col, keys, prefilter)
+        parts += [with_pattern(m, patterns, short, matched_text) for m in native_matches(rows, patterns, routed[NATIVE], TEXT, short, matched_text)]
+    if routed[ARROW]:
+        rows = _texts(df, patterns, routed[ARROW], text_col, keys, prefilter)
+        parts.append(_kernel(rows, patterns, routed[ARROW], shards, bloom, matched_text, counters))
     if not parts:
-        none = df.select(*keys, F.lit(0).alias("pattern_id"), F.lit("").alias("pattern"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
+        none = df.select(*[F.col(_quoted_name(k)) for k in keys], F.lit(0).alias("pattern_id"), F.lit("").alias("pattern"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
         return (none.withColumn("matched_text", F.lit("")) if matched_text else none).where(F.lit(False))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
-
-
-def default_shards(cpus: int) -> int:
-    """Parts of a pattern set for that many CPUs: half as many more, or one for up to two."""
-    return cpus * 3 // 2 if cpus > 2 else 1
-
-
-def _shard(source: str, shards: int) -> int:
-    return zlib.crc32(source.encode()) % shards
+    return out.toDF(*keys, *out.columns[len(keys) :])
 
 
 def with_pattern(matches: DataFrame, patterns: PatternSet, keys: list[str], matched_text: bool = False) -> DataFrame:
@@ -126,11 +120,13 @@ def match_counts(df: DataFrame, patterns: PatternSet, text_col: str = "text", st
     """(pattern, n): matches of each pattern, 0 included; no row per match is made."""
     ids = list(range(len(patterns)))
     names = patterns.to_df(df.sparkSession).select("pattern_id", "pattern")
-    if route(patterns, ids, strategy)[JOIN]:
+    routed = route(patterns, ids, strategy)
+    tables = tables_for(df.sparkSession, patterns, ids) if routed[ARROW] else None
+    if not isinstance(tables, list):
         n = match_all(df.select(F.lit(0).alias("k"), F.col(text_col)), patterns, text_col, ["k"], strategy).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
     else:
         rows = _texts(df, patterns, ids, text_col, [], prefilter)
-        fn = partial(counted_batches, tables=patterns.tables(ids), n_patterns=len(patterns), gate=gate_of(patterns, ids, bloom))
+        fn = partial(counted_batches, tables=tables, n_patterns=len(patterns), gate=gate_of(patterns, ids, bloom))
         n = rows.mapInArrow(fn, "pattern_id int, n long").groupBy("pattern_id").agg(F.sum("n").alias("n"))
     return names.join(n, "pattern_id", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -144,8 +140,10 @@ def match_any(df: DataFrame, patterns: PatternSet, text_col: str = "text", keys:
     """The rows of ``df`` in which some pattern matches, each as often as it is
     there: all their columns, or just ``keys``."""
     ids = list(range(len(patterns)))
-    rows = _texts(df, patterns, ids, text_col, keys or df.columns, prefilter)
-    return rows.mapInArrow(partial(rows_with_match, tables=patterns.tables(ids), gate=gate_of(patterns, ids, bloom)), T.StructType(rows.schema.fields[:-1]))
+    keys = keys or df.columns
+    rows = _texts(df, patterns, ids, text_col, keys, prefilter)
+    fn = partial(rows_with_match, tables=tables_for(df.sparkSession, patterns, ids, most_bytes=EVERY_BYTE), gate=gate_of(patterns, ids, bloom))
+    return rows.mapInArrow(fn, T.StructType(rows.schema.fields[:-1])).toDF(*keys)
 
 
 def is_single(start: str = "start_pos", end: str = "end_pos"):

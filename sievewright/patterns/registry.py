@@ -28,21 +28,26 @@ def _dfa(source: str) -> Dfa:
     return compile_dfa(_parsed(source))
 
 
-@lru_cache(8)
-def _tables(patterns: tuple[tuple[str, int], ...], entries: int) -> tuple[Table, ...]:
-    """Tables of (text, id) in order of the text; the last few sets are kept, as one set is matched with often."""
+def tables_of(patterns: Iterable[tuple[str, int]], entries: int, dfa, build) -> list[Table]:
+    """Tables of (text, id) in order of the text, each of at most about so many entries."""
     out, part, states, cuts = [], [], 2, set()
     for source, i in patterns:
-        d = _dfa(source)
+        d = dfa(source)
         n, c = states + len(d.trans), cuts | set(d.starts)
         if part and n * len(c) > entries:
-            out.append(build_table(part))
+            out.append(build(part))
             part, n, c = [], 2 + len(d.trans), set(d.starts)
         part.append((i, d))
         states, cuts = n, c
     if part:
-        out.append(build_table(part))
-    return tuple(out)
+        out.append(build(part))
+    return out
+
+
+@lru_cache(8)
+def _tables(patterns: tuple[tuple[str, int], ...], entries: int) -> tuple[Table, ...]:
+    """The same, made on the driver; the last few sets are kept, as one set is matched with often."""
+    return tuple(tables_of(patterns, entries, _dfa, build_table))
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from sievewright.operators.native import scan_of
 from sievewright.patterns import PatternSet
 
-JOIN, ARROW = "join", "dfa"
+JOIN, NATIVE, ARROW = "join", "native", "dfa"
 
 
 def route(patterns: PatternSet, ids: list[int], strategy: str = "auto") -> dict[str, list[int]]:
@@ -15,16 +16,21 @@ def route(patterns: PatternSet, ids: list[int], strategy: str = "auto") -> dict[
     join on six fixed texts (README).  ``join`` runs without Python on the
     executors; only patterns whose alternatives are all fixed texts, none a
     proper prefix of another, can be a join - for others a match depends on
-    what follows it.
+    what follows it.  ``native`` runs patterns as expressions of the JVM, all
+    but those that are unbounded without a character that ends them.
     """
-    if strategy not in ("auto", JOIN, ARROW):
-        raise ValueError(f"strategy {strategy!r} is not one of auto, join, dfa")
+    if strategy not in ("auto", JOIN, NATIVE, ARROW):
+        raise ValueError(f"strategy {strategy!r} is not one of auto, join, native, dfa")
+    if strategy == NATIVE:
+        for i in ids:
+            scan_of(patterns.sources[i])  # raises if there is none
+        return {JOIN: [], NATIVE: list(ids), ARROW: []}
     if strategy == JOIN:
         for i in ids:
             if patterns.parsed[i].literals() is None:
                 raise ValueError(f"{patterns.sources[i]!r} is no fixed text, so it can't run as a join")
-        return {JOIN: list(ids), ARROW: []}
-    return {JOIN: [], ARROW: list(ids)}
+        return {JOIN: list(ids), NATIVE: [], ARROW: []}
+    return {JOIN: [], NATIVE: [], ARROW: list(ids)}
 
 
 def explain_route(patterns: PatternSet, strategy: str = "auto") -> list[tuple[str, str]]:

@@ -7,7 +7,8 @@ from sievewright.functions.udtf import register_array, register_udtf
 from sievewright.operators.baseline import find_standard
 from sievewright.operators.bloom import BloomFilter, GramGate, beginnings
 from sievewright.operators.lines import from_position, split_lines
-from sievewright.operators.match import count_rollup, default_shards, gate_of, match_all, match_any, match_counts, with_actions
+from sievewright.operators.match import count_rollup, gate_of, match_all, match_any, match_counts, with_actions
+from sievewright.operators.shards import default_shards
 from sievewright.patterns import PatternSet
 from sievewright.plans.graph import dfa_graph, graphviz, nfa_graph
 from sievewright.plans.router import explain_route
