@@ -269,8 +269,8 @@ def cut_groups(scans: list[tuple[int, Scan]]) -> list[tuple[list[Interval], list
 
 def _found(piece: Column, pattern_id: int, expression: str) -> Column:
     """Array of (pattern_id, place in the piece, matched text) of all starts."""
-    # a character before the piece, so that a gap is never empty
-    walk, text = f"(?s:.)+?(?=({expression}))", F.concat(F.lit(" "), piece)
+    # a character before the piece, so that a gap is never empty; \G, so that what has no more matches is walked once
+    walk, text = f"\\G(?s:.)+?(?=({expression}))", F.concat(F.lit(" "), piece)
     gaps = F.regexp_extract_all(text, F.lit(walk), F.lit(0))
     sums = F.aggregate(gaps, F.array(F.lit(-1)), lambda a, g: F.array_append(a, F.element_at(a, -1) + F.length(g)))
     return F.zip_with(F.slice(sums, F.lit(2), F.size(gaps)), F.regexp_extract_all(text, F.lit(walk), F.lit(1)), lambda at, x: F.struct(F.lit(pattern_id).alias("pattern_id"), at.alias("at"), x.alias("text")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sievewright.patterns import PatternSet
 from sievewright.patterns.ast import Lit, Pattern
 
+from .anchors import anchored_matches
 from .literal_join import literal_matches, per_pattern
 
 # Scores and word list of the literal selection.
@@ -147,15 +148,17 @@ def hints_df(spark: SparkSession, patterns: list[str], options: HintOptions = Hi
     return spark.createDataFrame(rows, "pattern_id int, literal string, offset_in_regex int, anchored_prefix boolean, case_insensitive boolean, literal_offset_in_match int, safe boolean")
 
 
-def candidates(df: DataFrame, hints: list[LiteralHint], text_col: str, keys: list[str]) -> DataFrame:
+def candidates(df: DataFrame, hints: list[LiteralHint], text_col: str, keys: list[str], sketch: DataFrame | None = None) -> DataFrame:
     """(keys..., pattern_id, end_index_exclusive, literal_length, literal_offset_in_match,
-    start_pos): every place of every hint; case-insensitive ones also in lower and upper case."""
+    start_pos): every place of every hint; case-insensitive ones also in lower and upper case.
+
+    With a sketch of the corpus' grams, places are found from each hint's rarest gram."""
     forms = []
     for h in hints:
         for x in dict.fromkeys([h.literal, h.literal.lower(), h.literal.upper()] if h.case_insensitive else [h.literal]):
             forms.append((h.pattern_id, x))
     off = {h.pattern_id: (len(h.literal), h.literal_offset_in_match) for h in hints}
-    got = literal_matches(df, forms, text_col, keys)
+    got = literal_matches(df, forms, text_col, keys) if sketch is None else anchored_matches(df, forms, sketch, text_col, keys)
     extra = df.sparkSession.createDataFrame([(i, n, o) for i, (n, o) in off.items()], "pattern_id int, literal_length int, literal_offset_in_match int")
     got = got.join(per_pattern(extra, len(off)), "pattern_id").withColumn("end_index_exclusive", F.col("end_pos") + 1)
     got = got.withColumn("start_pos", F.col("end_index_exclusive") - F.col("literal_length") - F.col("literal_offset_in_match")).where("start_pos >= 0")

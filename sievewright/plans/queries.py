@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sievewright.functions import charclass as cc
 from sievewright.functions.udtf import register_array, register_udtf
-from sievewright.operators import compare, lines, prefilter, stats
+from sievewright.operators import anchors, compare, gram_index, lines, prefilter, stats
 from sievewright.operators.baseline import count_standard, find_standard
 from sievewright.operators.match import count_rollup, is_single, match_all, match_any, match_counts, with_actions
 from sievewright.patterns import PatternSet, try_parse
@@ -82,10 +82,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_documents(pattern: str, viable: str, full: str, name: str) -> None:
-    """Registers a query that matches one pattern in all documents."""
+    """Registers a query that matches one pattern in all documents, without Python."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return match_all(documents(spark, sf_dir), PatternSet.of([pattern]), keys=["doc_id"])
+        return match_all(documents(spark, sf_dir), PatternSet.of([pattern]), keys=["doc_id"], strategy="native")
 
     QUERIES[name] = f
     ORACLES[name] = f"with {run_sql(pattern, viable, full)} select {ALL} from m"
@@ -193,7 +193,7 @@ def benchmark_contamination(spark, sf_dir):
 
 # ---- the language ----------------------------------------------------------------
 
-for _name, _args in {
+_LANGUAGE = {
     "overlap_self": ("e+", "e+", "e+"),
     "alternation_simple": ("the|and|qu", "the|and|qu|th|an|t|a|q", "the|and|qu"),
     "alternation_prefix_trap": ("a|and", "and|an|a", "a|and"),
@@ -211,10 +211,31 @@ for _name, _args in {
     "negated_inner": ("e[^aeiou ]s", "e(?:[^aeiou ]s?)?", "e[^aeiou ]s"),
     "class_plus_between": ("th[a-z]+ed", "th[a-z]*|t", "th[a-z]+ed"),
     "digits_dashes": ("[0-9]+-[0-9]+", "[0-9]+(?:-[0-9]*)?", "[0-9]+-[0-9]+"),
-}.items():
+}
+for _name, _args in _LANGUAGE.items():
     on_documents(*_args, _name)
 
 
+def _language_counts(spark, sf_dir, **kw) -> DataFrame:
+    d, ps = table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), PatternSet.of(p for p, _, _ in _LANGUAGE.values())
+    return match_all(d, ps, keys=["conv_id", "turn"], **kw).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("places"))
+
+
+_LANGUAGE_SQL = " union all ".join(f"(with {run_sql(*args, 'conversations', 'conv_id, turn', 'text')} select pattern, count(*)::bigint as n, sum(end_pos - start_pos)::bigint as places from m group by pattern)" for args in _LANGUAGE.values())
+
+
+@query(_LANGUAGE_SQL)
+def native_language(spark, sf_dir):
+    """All patterns of the language queries at once, as expressions of the JVM."""
+    return _language_counts(spark, sf_dir, strategy="native")
+
+
+@query(_LANGUAGE_SQL)
+def kernel_language(spark, sf_dir):
+    """The same in the automaton kernel, its patterns in three tables."""
+    return _language_counts(spark, sf_dir, strategy="dfa", shards=3)
+
+
 @query(
     """with w as (select conv_id, turn, text, unnest(range(1, length(text) - 1)) as p from conversations where length(text) >= 3)
 select conv_id, turn, 0 as pattern_id, 'the.*' as pattern, (p - 1)::int as start_pos, (length(text) - 1)::int as end_pos from w where substr(text, p::int, 3) = 'the'"""
@@ -237,13 +258,13 @@ def dotstar_suffix(spark, sf_dir):
 @query(f"with {run_sql('view|click|up', 'view|click|up|vie|vi|v|clic|cli|cl|c|u', 'view|click|up', 'events', 'event_id', 'event_type', 16)} select event_id, pattern, start_pos, end_pos from m")
 def event_type_scan(spark, sf_dir):
     d = table(spark, sf_dir, "events", "event_id", "event_type")
-    return match_all(d, PatternSet.of(["view|click|up"]), "event_type", ["event_id"]).select("event_id", "pattern", "start_pos", "end_pos")
+    return match_all(d, PatternSet.of(["view|click|up"]), "event_type", ["event_id"], strategy="native").select("event_id", "pattern", "start_pos", "end_pos")
 
 
 @query(f"with {run_sql('[0-9]+', '[0-9]+', '[0-9]+', 'events', 'event_id', 'props', 32)} select event_id, pattern, start_pos, end_pos from m")
 def props_scan(spark, sf_dir):
     d = table(spark, sf_dir, "events", "event_id", "props")
-    return match_all(d, PatternSet.of(["[0-9]+"]), "props", ["event_id"]).select("event_id", "pattern", "start_pos", "end_pos")
+    return match_all(d, PatternSet.of(["[0-9]+"]), "props", ["event_id"], strategy="native").select("event_id", "pattern", "start_pos", "end_pos")
 
 
 @query(f"with {literal_sql(['https://', 'example.com', 'utm_source'], 'pages', 'page_id', 'url')} select page_id, pattern, start_pos, end_pos from m")
@@ -255,7 +276,7 @@ def url_scan(spark, sf_dir):
 @query(f"with {run_sql('<[a-z]+>', '<(?:[a-z]+>?)?', '<[a-z]+>', 'pages', 'page_id', 'html', 40)} select page_id, pattern, start_pos, end_pos from m")
 def html_tag_scan(spark, sf_dir):
     d = table(spark, sf_dir, "pages", "page_id", "html")
-    return match_all(d, PatternSet.of(["<[a-z]+>"]), "html", ["page_id"]).select("page_id", "pattern", "start_pos", "end_pos")
+    return match_all(d, PatternSet.of(["<[a-z]+>"]), "html", ["page_id"], strategy="native").select("page_id", "pattern", "start_pos", "end_pos")
 
 
 # ---- prefilters and indexes --------------------------------------------------------
@@ -306,6 +327,72 @@ def ngram_semi(spark, sf_dir):
     return prefilter.ngram_semi_join(d, pats, "text", ["conv_id", "turn"])
 
 
+_NAMES = "select distinct unnest(string_split(p_name, ' ') || [p_type]) as literal from part"
+
+
+def _names(spark, sf_dir) -> list[tuple[int, str]]:
+    """Words and types of the parts, from four characters on, in order."""
+    p = table(spark, sf_dir, "part").select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("x")).distinct()
+    return list(enumerate(sorted(r[0] for r in PatternSet.from_df(p.where(F.length("x") >= 4), "x").to_df(spark).select("pattern").collect())))
+
+
+@query(
+    f"""with l as (select literal from ({_NAMES}) where length(literal) >= 4),
+{_places('documents', 'doc_id', 'text', 40)}
+select doc_id, literal, start_pos, (start_pos + length(literal) - 1)::int as end_pos from o join l on starts_with(rest, literal)"""
+)
+def anchored_literals(spark, sf_dir):
+    """Every place of the parts' words, found from each one's rarest gram in the documents."""
+    names = _names(spark, sf_dir)
+    m = anchors.anchored_matches(documents(spark, sf_dir), names)
+    return m.join(spark.createDataFrame(names, "pattern_id int, literal string"), "pattern_id").drop("pattern_id")
+
+
+@query(
+    f"""with l as (select literal from ({_NAMES}) where length(literal) >= 4),
+{_places('documents', 'doc_id', 'text', 3)},
+g as materialized (select rest as gram, count(*)::bigint as n from o where length(rest) = 3 group by rest),
+c as (select literal, i, substr(literal, (i + 1)::int, 3) as gram from (select literal, unnest(range(0, length(literal) - 2)) as i from l))
+select literal, coalesce(max(n) filter (where i = 0), 0)::bigint as first_hits, min(coalesce(n, 0))::bigint as anchor_hits from c left join g using (gram) group by literal"""
+)
+def anchor_hits(spark, sf_dir):
+    """Places met by each literal's first gram and by its anchor, from a sketch of two halves added up."""
+    d = documents(spark, sf_dir)
+    halves = [anchors.gram_sketch(d.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    return anchors.anchor_hits(d, _names(spark, sf_dir), anchors.merged(*halves)).drop("pattern_id")
+
+
+@query(f"with {literal_sql(['foo', 'the'])} select doc_id, pattern_id, (end_pos + 1)::int as end_index_exclusive, 3 as literal_length, 0 as literal_offset_in_match, start_pos from m")
+def anchored_candidates(spark, sf_dir):
+    d, hints = documents(spark, sf_dir), [prefilter.extract_hint(0, "foo[a-z]+"), prefilter.extract_hint(1, "the.+")]
+    return prefilter.candidates(d, hints, "text", ["doc_id"], anchors.gram_sketch(d))
+
+
+def _index(spark, sf_dir, name: str):
+    return gram_index.build_index(documents(spark, sf_dir).repartition(4), scratch_path(spark, name), block_rows=8)
+
+
+@query(
+    f"""with a as (with {literal_sql(['license'])} select doc_id, pattern, start_pos, end_pos from m),
+b as (with {run_sql('[QX][a-z]+d', '[QX][a-z]*', '[QX][a-z]+d')} select doc_id, pattern, start_pos, end_pos from m)
+select * from a union all select * from b"""
+)
+def indexed_match(spark, sf_dir):
+    """Matches by way of the gram index: only candidate blocks are read."""
+    return gram_index.indexed_match(_index(spark, sf_dir, "gram-index"), PatternSet.of(["license", "[QX][a-z]+d"]), ["doc_id"]).drop("pattern_id")
+
+
+@query(
+    f"""with {_places('documents', 'doc_id', 'text', 3)},
+g as (select distinct doc_id, substr(rest, 1, k) as gram from o, (values (1), (2), (3)) t(k) where length(rest) >= k)
+select gram, count(*)::bigint as n from g group by gram"""
+)
+def gram_documents(spark, sf_dir):
+    """How many documents have each gram, from the postings of an index of one document a block."""
+    i = gram_index.build_index(documents(spark, sf_dir), scratch_path(spark, "gram-documents"), block_rows=1)
+    return i.table("postings").groupBy("gram").agg(F.sum(F.size("blocks")).alias("n"))
+
+
 def _score_sql(x: str) -> str:
     n = lambda cls: f"(length({x}) - length(regexp_replace({x}, '{cls}', '', 'g')))"
     punct = r"[!@#$%^&*()_+\-=\[\]{}|;'':,.<>?/~`]"
@@ -337,9 +424,9 @@ def standard_find(spark, sf_dir):
 
 
 A, B = ["the", "ing", "tion"], ["the", "on", "io"]
-_AB = f"""with {literal_sql(sorted(set(A + B)))},
-a as (select doc_id, start_pos, pattern, end_pos from m where pattern in ({', '.join(map(q, A))})),
-b as (select doc_id, start_pos, pattern, end_pos from m where pattern in ({', '.join(map(q, B))}))"""
+_AB = f"""with {literal_sql(sorted(set(A + B))).replace(" as (select", " as materialized (select")},
+a as materialized (select doc_id, start_pos, pattern, end_pos from m where pattern in ({', '.join(map(q, A))})),
+b as materialized (select doc_id, start_pos, pattern, end_pos from m where pattern in ({', '.join(map(q, B))}))"""
 
 
 def _ab(spark, sf_dir):
