@@ -5,13 +5,14 @@ line breaks.  Every phrase is counted where its rarest word is:
 
 1. Blocks of texts of one language keep their distinct words once and the texts
    as numbers of those, written once.  Adding up the blocks gives the frequent
-   words of each language, ranked by falling count; ranks go back to the blocks.
+   words of each language, ranked by falling count; blocks ask for the ranks of
+   their distinct words, dealt out by a hash with the frequent words.
 2. A text is rewritten once for each place of a frequent word, its pivot: the run
    of words around it that are commoner than the pivot (to its right also the
    pivot itself), no longer than a phrase can reach.  Rarer words end the run.  So
    a phrase is in the fragment of one place only, the first of its rarest word.
    Equal fragments of a block become one with a count.
-3. Fragments go to their pivot's partition, where phrases grow from the pivot to
+3. Fragments go to their pivot's partition, packed by ranges of a hash, where phrases grow from the pivot to
    the left and then to the right, and what is too rare is not grown on.  A pivot
    with more than half of a partition's share of all words is split by a hash of
    the fragments; its counts are added up afterwards.
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,14 @@ from pyspark.sql.window import Window
 
 from sievewright.shipping import ship
 
-from .common import BROADCAST_KEYS, partitions, quoted, stash, text_or_empty
-from .packing import coded, squeeze, unsqueeze
+from .common import ARROW_BYTES, arrow_bytes, partitions, quoted, stash, text_or_empty
+from .packing import coded, squeeze, squeeze_words, unsqueeze, unsqueeze_words
 from .tokens import _LOW, blocks, mix
 
 #: Bytes of text whose distinct words are kept together, and that are split at once.
-BLOCK, PIECE = 8 << 20, 2 << 20
+BLOCK, PIECE = 4 << 20, 1 << 20
+#: Words of blocks, and words of the texts, for one range of a hash: what a task holds at once.
+RANGE_ROWS = 500_000
 #: Groups of a language that each pick their best before the best of all are picked.
 TOP_GROUPS = 64
 #: What a byte is: of a word, between words, between pieces.
@@ -106,34 +110,64 @@ def _phrase_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa
         k += 1
 
 
-def _fragments(batches: Iterator[pa.RecordBatch], reach: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(codes, known: numbers and ranks) to (key, fragment): key is the pivot's rank and its part,
-    a fragment its count (4 bytes), words to the left and right (1 byte each), and their ranks, the nearest first."""
+def _dealt(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A block's (block, lang, words) to a row for each range of a hash: (range, block, lang, nos, words)."""
+    for b in batches:
+        for block, lang, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            words = words.values.cast(pa.binary()).to_pylist()
+            part = np.fromiter((crc32(w) % ranges for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            for nos in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([part[nos[0]]], pa.int32()), pa.array([block], pa.int64()), pa.array([lang]), pa.array([squeeze(np.diff(nos, prepend=0))], pa.binary()), pa.array([squeeze_words([words[i] for i in nos.tolist()])], pa.binary())], ["range", "block", "lang", "nos", "words"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, block, lang, nos, words, rank), a range's frequent words (with a rank) before
+    its blocks' words, to (block, nos, ranks) of those that are frequent."""
+    known, at = {}, None
+    for b in batches:
+        for r, block, lang, nos, words, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r != at:
+                known, at = {}, r
+            if rank is not None:
+                known[lang, words] = rank
+                continue
+            ranks = np.fromiter((known.get((lang, w), 0) for w in unsqueeze_words(words)), np.int64)
+            on = np.flatnonzero(ranks)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeeze(np.diff(np.cumsum(unsqueeze(nos))[on], prepend=0))], pa.binary()), pa.array([squeeze(ranks[on])], pa.binary())], ["block", "nos", "ranks"])
+
+
+def _fragments(batches: Iterator[pa.RecordBatch], reach: int, hot: dict[int, int], ranges: int) -> Iterator[pa.RecordBatch]:
+    """(codes, known: numbers and ranks) to a row for each range of the keys' hash:
+    (range, keys, counts, sizes, words).  A key is a pivot's rank and its part; sizes are 16 times
+    the words to the left and those to the right, words their ranks, the nearest first."""
     parts = np.ones(max(hot, default=0) + 1, np.uint64)
     for rank, n in hot.items():
         parts[rank] = n
     for b in batches:
         for i in range(b.num_rows):
-            codes, known = unsqueeze(b.column(0)[i].as_buffer()), b.column(1)[i].values
+            codes = unsqueeze(b.column(0)[i].as_buffer())
             rank_of = np.zeros(int(codes.max()) + 1, np.int64)
-            rank_of[np.asarray(known.field("no")) + 1] = np.asarray(known.field("rank"))
-            yield from _block_fragments(rank_of[codes], reach, parts)
+            for p in b.column(1)[i].as_py():
+                rank_of[np.cumsum(unsqueeze(p["nos"])) + 1] = unsqueeze(p["ranks"])
+            yield from _block_fragments(rank_of[codes], reach, parts, ranges)
 
 
-def _block_fragments(r: np.ndarray, reach: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = len(r)
-    pad = np.concatenate([np.zeros(reach, np.int64), r, np.zeros(reach, np.int64)])
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+def _block_fragments(r: np.ndarray, reach: int, parts: np.ndarray, ranges: int = 1) -> Iterator[pa.RecordBatch]:
+    n, r = len(r), r.astype(np.int32)
+    pad = np.concatenate([np.zeros(reach, np.int32), r, np.zeros(reach, np.int32)])
+    left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
     on_left, on_right = r > 0, r > 0
     for j in range(1, reach + 1):
         x, y = pad[reach - j : reach - j + n], pad[reach + j : reach + j + n]
         on_left, on_right = on_left & (x > 0) & (x < r), on_right & (y > 0) & (y <= r)
         left += on_left
         right += on_right
-    at = np.flatnonzero(left + right)
+    at = np.flatnonzero((left + right) > 0)
     if not len(at):
         return
-    rows = np.zeros((len(at), 1 + 2 * reach), np.int64)
+    rows = np.zeros((len(at), 1 + 2 * reach), np.int32)
     rows[:, 0] = r[at]
     for j in range(1, reach + 1):
         rows[:, j] = np.where(left[at] >= j, pad[at + reach - j], 0)
@@ -146,36 +180,34 @@ def _block_fragments(r: np.ndarray, reach: int, parts: np.ndarray) -> Iterator[p
     begin = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1)))
     count = np.diff(np.append(begin, len(rows)))
     rows, h = rows[begin], h[begin]
-    pivot = rows[:, 0]
+    pivot = rows[:, 0].astype(np.int64)
     n_parts = np.where(pivot < len(parts), parts[np.minimum(pivot, len(parts) - 1)], np.uint64(1))
     key = pivot << 20 | (h % n_parts).astype(np.int64)
-    words = rows[:, 1:]
+    where = (mix(key.astype(np.uint64), 5) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((key, where))
+    key, where, count, words = key[order], where[order], count[order], rows[order, 1:]
     used = words > 0
-    m = np.zeros((len(rows), 6 + 4 * words.shape[1]), np.uint8)
-    m[:, :4] = count.astype(np.uint32).view(np.uint8).reshape(-1, 4)
-    m[:, 4], m[:, 5] = used[:, :reach].sum(1), used[:, reach:].sum(1)
-    m[:, 6:] = words.astype(np.uint32).reshape(-1).view(np.uint8).reshape(len(rows), -1)
-    mask = np.concatenate([np.ones((len(rows), 6), bool), np.repeat(used, 4, axis=1)], axis=1)
-    size = mask.sum(1)
-    out = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(m[mask])])
-    for s in range(0, len(rows), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000]), out.slice(s, 100_000)], ["key", "fragment"])
-
-
-def _unpacked(fragments: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, and the ranks to the left and right (0: none), the nearest first."""
-    off = np.frombuffer(fragments.buffers()[1], np.int32)[fragments.offset : fragments.offset + len(fragments) + 1].astype(np.int64)
-    raw = np.frombuffer(fragments.buffers()[2], np.uint8)
-    take = lambda at: (raw[at[:, None] + np.arange(4)].astype(np.int64) << np.array([0, 8, 16, 24])).sum(1)
-    begin = off[:-1]
-    n_left, n_right = raw[begin + 4].astype(np.int64), raw[begin + 5].astype(np.int64)
-    left, right = np.zeros((len(begin), reach), np.int64), np.zeros((len(begin), reach), np.int64)
+    size = used[:, :reach].sum(1) * 16 + used[:, reach:].sum(1)
+    begin = np.append(0, np.cumsum(used.sum(1)))
+    flat = words[used]
+    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)).tolist()), strict=True):
+        cols = [np.diff(key[lo:hi], prepend=0), count[lo:hi], size[lo:hi], flat[begin[lo] : begin[hi]]]
+        yield pa.RecordBatch.from_arrays([pa.array([where[lo]], pa.int32()), *(pa.array([squeeze(c)], pa.binary()) for c in cols)], ["range", "keys", "counts", "sizes", "words"])
+
+
+def _unpacked(rows: list[tuple[bytes, bytes, bytes, bytes]], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts, and the ranks to the left and right (0: none), the nearest first."""
+    key = np.concatenate([np.cumsum(unsqueeze(r[0])) for r in rows])
+    count, size, flat = (np.concatenate([unsqueeze(r[i]) for r in rows]) for i in (1, 2, 3))
+    n_left, n_right = size >> 4, size & 15
+    begin = np.cumsum(n_left + n_right) - n_left - n_right
+    left, right = np.zeros((len(key), reach), np.int64), np.zeros((len(key), reach), np.int64)
     for j in range(reach):
         on = n_left > j
-        left[on, j] = take(begin[on] + 6 + 4 * j)
+        left[on, j] = flat[begin[on] + j]
         on = n_right > j
-        right[on, j] = take(begin[on] + 6 + 4 * (n_left[on] + j))
-    return take(begin), left, right
+        right[on, j] = flat[begin[on] + n_left[on] + j]
+    return key, count, left, right
 
 
 def grown(key: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, longest: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,13 +242,13 @@ def grown(key: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarra
 
 
 def _mined(batches: Iterator[pa.RecordBatch], longest: int, min_count: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Fragments in order of their key to (gram, f, whole): frequent phrases of whole pivots, all phrases of parts of one."""
-    reach, held = longest - 1, []
+    """Rows of fragments, a range's together, to (gram, f, whole): frequent phrases of whole pivots, all phrases of parts of one."""
     split = np.array(sorted(hot), np.int64)
+    held: list[tuple[bytes, bytes, bytes, bytes]] = []
+    at = None
 
-    def mine(chunks: list) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([c[0] for c in chunks])
-        count, left, right = _unpacked(pa.chunked_array([c[1] for c in chunks]).combine_chunks(), reach)
+    def mine() -> Iterator[pa.RecordBatch]:
+        key, count, left, right = _unpacked(held, longest - 1)
         parted = np.isin(key >> 20, split)
         for words, one, total in grown(key, count, left, right, longest, np.where(parted, 1, min_count)):
             n, m = words.shape
@@ -225,19 +257,14 @@ def _mined(batches: Iterator[pa.RecordBatch], longest: int, min_count: int, hot:
                 yield pa.RecordBatch.from_arrays([grams, pa.array(total), pa.array(~parted[one])], ["gram", "f", "whole"])
 
     for b in batches:
-        key, fragments = np.asarray(b.column(0)), b.column(1)
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1]))  # what stands before the last key is complete
-        if held and held[-1][0][-1] != key[0]:
-            yield from mine(held)
-            held = []
-        if cut:
-            yield from mine([*held, (key[:cut], fragments.slice(0, cut))])
-            held = []
-        held.append((key[cut:], fragments.slice(cut)))
+        for r, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and r != at:
+                yield from mine()
+                held.clear()
+            at = r
+            held.append(tuple(row))
     if held:
-        yield from mine(held)
+        yield from mine()
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,7 +273,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
-    b = stash(rows.mapInArrow(partial(_phrase_blocks, block=block), "block long, lang string, n long, codes binary, words array<string>, counts array<long>"), "phrase-blocks")
+    with arrow_bytes(spark, ARROW_BYTES):
+        b = stash(rows.mapInArrow(partial(_phrase_blocks, block=block), "block long, lang string, n long, codes binary, words array<string>, counts array<long>"), "phrase-blocks")
     totals = b.groupBy("lang").agg(F.sum("n").alias("n"))
     counted = b.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     counted = counted.where(F.col("f") >= min_count).orderBy(F.desc("f"), "lang", "word").withColumn("g", F.monotonically_increasing_id())
@@ -258,14 +286,20 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         done += size[p][0]
     before = spark.createDataFrame(before, "p long, before long")
     words = counted.join(F.broadcast(before), F.shiftright("g", 33) == F.col("p")).select("lang", "word", "f", (F.col("before") + F.col("g").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("rank"))
-    near = F.broadcast(words) if done <= BROADCAST_KEYS else words
     n, total = partitions(spark), sum(f for _, f in size.values())
     hot = {r["rank"]: -(-r["f"] * 2 * n // total) for r in words.where(F.col("f") * (2 * n) > F.lit(total)).select("rank", "f").collect()}  # fewer than 2n rows
-    known = b.select("block", "lang", F.posexplode("words").alias("no", "word")).join(near.select("lang", "word", "rank"), ["lang", "word"])
-    known = known.groupBy("block").agg(F.collect_list(F.struct("no", "rank")).alias("known"))  # of one block's words
-    fragments = b.select("block", "codes").join(known, "block").select("codes", "known").mapInArrow(partial(_fragments, reach=longest - 1, hot=hot), "key long, fragment binary")
-    dealt = fragments.repartition(n, "key").sortWithinPartitions("key")
-    mined = stash(dealt.mapInArrow(partial(_mined, longest=longest, min_count=min_count, hot=hot), "gram array<int>, f long, whole boolean"), "phrases")
+    sums = b.agg(F.sum("n").alias("n"), F.sum(F.size("words")).alias("words")).first()
+    by_word, by_key = (max(4 * n, (x or 0) // RANGE_ROWS) for x in (sums["words"], sums["n"]))
+    kind = "range int, block long, lang string, nos binary, words binary"
+    asks = b.select("block", "lang", "words").mapInArrow(partial(_dealt, ranges=by_word), kind).withColumn("rank", F.lit(None).cast("int"))
+    told = words.select(F.pmod(F.crc32("word"), F.lit(by_word)).cast("int").alias("range"), F.lit(None).cast("long").alias("block"), "lang", F.lit(None).cast("binary").alias("nos"), F.col("word").cast("binary").alias("words"), "rank")
+    asks = told.unionByName(asks).repartition(n, "range").sortWithinPartitions("range", F.col("rank").isNull())
+    known = asks.mapInArrow(_answered, "block long, nos binary, ranks binary").groupBy("block").agg(F.collect_list(F.struct("nos", "ranks")).alias("known"))  # of one block's words
+    fragments = b.select("block", "codes").repartition(n, "block").join(known, "block").select("codes", "known")
+    fragments = fragments.mapInArrow(partial(_fragments, reach=longest - 1, hot=hot, ranges=by_key), "range int, keys binary, counts binary, sizes binary, words binary")
+    dealt = fragments.repartition(n, "range").sortWithinPartitions("range")
+    with arrow_bytes(spark, ARROW_BYTES):
+        mined = stash(dealt.mapInArrow(partial(_mined, longest=longest, min_count=min_count, hot=hot), "gram array<int>, f long, whole boolean"), "phrases")
     added = mined.where("not whole").groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
     return words, mined.where("whole").select("gram", "f").unionByName(added), totals
 
