@@ -1,7 +1,13 @@
 """The standard regular-expression matcher, to compare with.
 
 Leftmost, not overlapping, greedy, and it remembers earlier accepts - unlike
-``match_all``.  Patterns are in the standard syntax of Python's ``re``.
+``match_all``.  Patterns are in the syntax of the JVM; ``.`` takes line breaks.
+
+Places come from two walks of the JVM over a text: the matches, and each match
+with what lies between it and the one before.  The running sum of the latter's
+lengths is where matches end.  A pattern that fits the empty text has its walk
+broken by empty matches, which the JVM and Python also order differently; such
+patterns run in Python, row by row.
 """
 
 from __future__ import annotations
@@ -11,12 +17,14 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewright.shipping import ship
 
+from .native import running_sums
+
 
 def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
     compiled = [(i, re.compile(p, re.S)) for i, p in patterns]
@@ -34,13 +42,35 @@ def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -
         yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:-1]), *(pa.array(x, pa.int32()) for x in (ids, starts, ends))], [*b.schema.names[:-1], "pattern_id", "start_pos", "end_pos"])
 
 
+def _places(text: Column, pattern_id: int, pattern: str) -> Column:
+    """Array of (pattern_id, start_pos, end_pos)."""
+    walk = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.length)
+    ends, sizes = running_sums(walk(f"\\G(?s:.)*?(?s:{pattern})")), walk(f"(?s:{pattern})")
+    return F.zip_with(ends, sizes, lambda e, n: F.struct(F.lit(pattern_id).alias("pattern_id"), (e - n).alias("start_pos"), (e - 1).alias("end_pos")))
+
+
+def _may_be_empty(pattern: str) -> bool:
+    try:
+        return re.search(pattern, "", re.S) is not None
+    except re.error:  # not in Python's syntax
+        return False
+
+
 def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """(keys..., pattern_id, pattern, start_pos, end_pos) of non-empty matches."""
     keys = keys or [c for c in df.columns if c != text_col]
-    ship(df.sparkSession)
     rows = df.select(*keys, F.col(text_col).alias("__text"))
-    fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start_pos", "end_pos")]
-    out = rows.mapInArrow(partial(_found, patterns=list(enumerate(patterns))), T.StructType(fields))
+    empty = [(i, p) for i, p in enumerate(patterns) if _may_be_empty(p)]
+    plain = [(i, p) for i, p in enumerate(patterns) if not _may_be_empty(p)]
+    parts = []
+    if plain:
+        m = rows.where("__text is not null").select(*keys, F.explode(F.flatten(F.array(*[_places(F.col("__text"), i, p) for i, p in plain]))).alias("__m"))
+        parts.append(m.select(*keys, "__m.*").where("end_pos >= start_pos"))
+    if empty:
+        ship(df.sparkSession)
+        fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start_pos", "end_pos")]
+        parts.append(rows.mapInArrow(partial(_found, patterns=empty), T.StructType(fields)))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = F.array(*[F.lit(p) for p in patterns])
     return out.select(*keys, "pattern_id", F.element_at(names, F.col("pattern_id") + 1).alias("pattern"), "start_pos", "end_pos")
 

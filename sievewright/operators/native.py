@@ -267,13 +267,25 @@ def cut_groups(scans: list[tuple[int, Scan]]) -> list[tuple[list[Interval], list
 # ---- running it --------------------------------------------------------------------
 
 
+#: Numbers that are added up one after the other before they are put together.
+_SUMMED = 512
+
+
+def running_sums(sizes: Column) -> Column:
+    """Array of the sums of the first 1, 2, ... numbers; in blocks, as an array that grows by one is copied each time."""
+    grown = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(_SUMMED)), lambda i: i <= F.size(sizes))
+    blocks = F.transform(starts, lambda i: F.slice(sizes, i, F.lit(_SUMMED)))
+    before = grown(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, first: F.slice(grown(b, first), F.lit(2), F.size(b))))
+
+
 def _found(piece: Column, pattern_id: int, expression: str) -> Column:
     """Array of (pattern_id, place in the piece, matched text) of all starts."""
     # a character before the piece, so that a gap is never empty; \G, so that what has no more matches is walked once
     walk, text = f"\\G(?s:.)+?(?=({expression}))", F.concat(F.lit(" "), piece)
-    gaps = F.regexp_extract_all(text, F.lit(walk), F.lit(0))
-    sums = F.aggregate(gaps, F.array(F.lit(-1)), lambda a, g: F.array_append(a, F.element_at(a, -1) + F.length(g)))
-    return F.zip_with(F.slice(sums, F.lit(2), F.size(gaps)), F.regexp_extract_all(text, F.lit(walk), F.lit(1)), lambda at, x: F.struct(F.lit(pattern_id).alias("pattern_id"), at.alias("at"), x.alias("text")))
+    gaps = F.transform(F.regexp_extract_all(text, F.lit(walk), F.lit(0)), F.length)
+    return F.zip_with(running_sums(gaps), F.regexp_extract_all(text, F.lit(walk), F.lit(1)), lambda at, x: F.struct(F.lit(pattern_id).alias("pattern_id"), (at - 1).alias("at"), x.alias("text")))
 
 
 def _matches(pieces: DataFrame, keys: list[str], found: list[Column], most: int | None, matched_text: bool) -> DataFrame:
@@ -306,8 +318,8 @@ def native_matches(df: DataFrame, patterns: PatternSet, ids: list[int], text_col
         goes_on = others(cut)
         pieces = F.regexp_extract_all(F.col("__text"), F.lit(f"(?s:.{{1,{chunk}}})" + (one_of(goes_on).text + "*+" if goes_on else "")), F.lit(0))
         w = rows.select(*keys, pieces.alias("__pieces"))
-        sums = F.aggregate("__pieces", F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
-        w = w.select(*keys, F.explode(F.zip_with("__pieces", F.slice(sums, F.lit(1), F.size("__pieces")), lambda p, a: F.struct(p.alias("piece"), a.alias("at")))).alias("__p"))
+        sums = running_sums(F.transform("__pieces", F.length))
+        w = w.select(*keys, F.explode(F.zip_with("__pieces", sums, lambda p, a: F.struct(p.alias("piece"), (a - F.length(p)).alias("at")))).alias("__p"))
         w = w.select(*keys, F.col("__p.at").alias("__at"), F.col("__p.piece").alias("__piece"))
         out.append(_matches(w, keys, [_found(F.col("__piece"), i, s.ended) for i, s in members], None, matched_text))
     return out

@@ -417,10 +417,15 @@ def standard_counts(spark, sf_dir):
     return count_standard(documents(spark, sf_dir), STANDARD)
 
 
-@query(" union all ".join(f"select doc_id, {q(p)} as pattern, len(regexp_extract_all(text, {q(p)}))::bigint as n from documents where len(regexp_extract_all(text, {q(p)})) > 0" for p in STANDARD))
+def _standard_sql(p: str) -> str:
+    """Places of standard matches: the pieces between them, whose lengths and those of the matches add up."""
+    return f"""select doc_id, {q(p)} as pattern, (sum(length(gap) + length(x)) over (partition by doc_id order by i) - length(x))::int as start_pos, (sum(length(gap) + length(x)) over (partition by doc_id order by i) - 1)::int as end_pos
+from (select doc_id, unnest(regexp_extract_all(text, {q('(?s)' + p)})) as x, unnest(string_split_regex(text, {q('(?s)' + p)})[:len(regexp_extract_all(text, {q('(?s)' + p)}))]) as gap, generate_subscripts(regexp_extract_all(text, {q('(?s)' + p)}), 1) as i from documents)"""
+
+
+@query(" union all ".join(_standard_sql(p) for p in STANDARD))
 def standard_find(spark, sf_dir):
-    got = find_standard(documents(spark, sf_dir), STANDARD, keys=["doc_id"])
-    return got.groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return find_standard(documents(spark, sf_dir), STANDARD, keys=["doc_id"]).drop("pattern_id")
 
 
 A, B = ["the", "ing", "tion"], ["the", "on", "io"]

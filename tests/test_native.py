@@ -1,11 +1,15 @@
 """The native way against the rules of the language and the kernel."""
 
+import itertools
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from sievewright.operators.baseline import find_standard
 from sievewright.operators.match import match_all
-from sievewright.operators.native import CHUNK, NoNativeWay, cut_groups, has_native_way, native_matches, scan_of
+from sievewright.operators.native import CHUNK, NoNativeWay, cut_groups, has_native_way, native_matches, running_sums, scan_of
 from sievewright.patterns import PatternSet
 from sievewright.sources.text import from_strings
 from tests.simulator import matches
@@ -82,3 +86,22 @@ def test_fuzzed_shapes(spark):
     assert len(patterns) > 20
     assert got(match_all(from_strings(spark, texts), PatternSet.of(patterns), strategy="native")) == want(patterns, texts)
     assert list(matches("ab", "ab")) == [(0, 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_standard_matches_have_their_places(spark, seed):
+    """The JVM's walk against Python's, with characters of two units, long runs and a tail without matches."""
+    rng = random.Random(seed)
+    patterns = ["a+", "b|bc", "(a)b?", ".c", "[^a]", "😀|é+", "(?:ab)+", "c*", "zz"]
+    texts = ["".join(rng.choice("aabbcé d\n😀") for _ in range(rng.randint(0, 60))) for _ in range(20)] + ["ab" * 3000 + "x" * 2000, "", "c"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    found = {(r["doc_id"], r["pattern"], r["start_pos"], r["end_pos"]) for r in find_standard(df, patterns).collect()}
+    assert found == {(i, p, m.start(), m.end() - 1) for i, t in enumerate(texts) for p in patterns for m in re.finditer(p, t, re.S) if m.end() > m.start()}
+    plan = find_standard(df, patterns[:7])._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 511, 512, 513, 2000)], "x array<int>")
+    for r in df.select("x", running_sums(F.col("x")).alias("s")).collect():
+        assert r["s"] == list(itertools.accumulate(r["x"]))
