@@ -48,31 +48,93 @@ def pair_counts(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> Da
     return g.agg(F.coalesce(F.sum(F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_matches"), F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_mismatches"))
 
 
-def overlap_classes(a: DataFrame, b: DataFrame, keys: list[str], first: int | None = None, span: int = 256) -> DataFrame:
+#: Places of a cell of each level, as powers of two; a match lies in the cells of one level alone.
+LEVELS = (8, 12, 16, 20, 24, 28)
+#: Cells that a match touches at most.
+MOST_CELLS = 16
+
+
+def _level(start: str, end: str) -> Column:
+    """The finest level at which the match touches few cells."""
+    out = F.lit(LEVELS[-1])
+    for n in reversed(LEVELS[:-1]):
+        out = F.when(F.shiftright(end, n) - F.shiftright(start, n) <= MOST_CELLS, F.lit(n)).otherwise(out)
+    return out
+
+
+def _starts_inside(points: DataFrame, spans: DataFrame, keys: list[str], p: str, lo: str, hi: str, strict: bool) -> DataFrame:
+    """Rows of ``points`` with the rows of ``spans`` of the same keys in which their ``p`` lies (``strict``: not at ``lo``).
+
+    A span stands in the cells of the one level that suits its length, a point in
+    one cell of each level in use: neither is unfolded by its length.
+    """
+    spans = spans.withColumn("__level", _level(lo, hi))
+    used = sorted(r[0] for r in spans.select("__level").distinct().collect())  # at most as many as there are levels
+    cell = F.expr(f"sequence(shiftright({lo}, __level), shiftright({hi}, __level))")
+    s = spans.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in spans.columns if c not in keys], F.explode(cell).alias("__cell"))
+    at = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(p, n).alias("cell")) for n in used]) if used else F.array().cast("array<struct<level:int,cell:int>>")
+    q = points.select("*", F.explode(at).alias("__at"))
+    on = [(F.col("__at.level") == F.col("__level")) & (F.col("__at.cell") == F.col("__cell"))]
+    on += [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    j = q.join(s, on).where((F.col(p) > F.col(lo) if strict else F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi)))
+    return j.drop("__at", "__cell", "__level", *[f"__k{i}" for i in range(len(keys))])
+
+
+def overlap_classes(a: DataFrame, b: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
     """Matches of ``a`` alone with the matches of ``b`` they overlap, and how.
 
     Six predicates: a_contains_b, a_start_in_b, a_end_in_b, b_contains_a,
     b_start_in_a, b_end_in_a.  ``first`` keeps the first mismatches by start,
-    pattern and end (a report).  The range join runs on buckets of ``span``
-    places that a match touches, so only neighbours meet.
+    pattern and end (a report).  Of two that overlap one starts in the other, so
+    starts are looked up among spans, whichever side has the long ones.
     """
     miss = only_in(a, b, keys)
     if first is not None:
         miss = miss.orderBy(*keys, *ORDER).limit(first)
-    buckets = lambda s, e: F.sequence(F.floor(F.col(s) / span), F.floor(F.col(e) / span))
     x = miss.select(*keys, F.col("pattern").alias("a_pattern"), F.col("start_pos").alias("a_start"), F.col("end_pos").alias("a_end"))
     y = b.select(*keys, F.col("pattern").alias("b_pattern"), F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
-    x = x.withColumn("bucket", F.explode(buckets("a_start", "a_end")))
-    y = y.withColumn("bucket", F.explode(buckets("b_start", "b_end")))
-    # a pair is met in the bucket where their overlap begins
-    z = y.select(*[F.col(k).alias(f"b_key{i}") for i, k in enumerate(keys)], F.col("bucket").alias("b_bucket"), "b_pattern", "b_start", "b_end")
-    on = F.col("bucket") == F.col("b_bucket")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"b_key{i}"))
-    j = x.join(z, on).where("a_start <= b_end and b_start <= a_end").where(F.col("bucket") == F.floor(F.greatest("a_start", "b_start") / span))
+    cols = [*keys, "a_pattern", "a_start", "a_end", "b_pattern", "b_start", "b_end"]
+    j = _starts_inside(y, x, keys, "b_start", "a_start", "a_end", False).select(*cols).unionByName(_starts_inside(x, y, keys, "a_start", "b_start", "b_end", True).select(*cols))
     inside = lambda p, lo, hi: (F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi))
     a_start, a_end, b_start, b_end = inside("a_start", "b_start", "b_end"), inside("a_end", "b_start", "b_end"), inside("b_start", "a_start", "a_end"), inside("b_end", "a_start", "a_end")
-    return j.select(*keys, "a_pattern", "a_start", "a_end", "b_pattern", "b_start", "b_end", (b_start & b_end).alias("a_contains_b"), a_start.alias("a_start_in_b"), a_end.alias("a_end_in_b"), (a_start & a_end).alias("b_contains_a"), b_start.alias("b_start_in_a"), b_end.alias("b_end_in_a"))
+    return j.select(*cols, (b_start & b_end).alias("a_contains_b"), a_start.alias("a_start_in_b"), a_end.alias("a_end_in_b"), (a_start & a_end).alias("b_contains_a"), b_start.alias("b_start_in_a"), b_end.alias("b_end_in_a"))
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str], span: int = 1 << 16) -> DataFrame:
+    """Each match of ``a`` (keys..., pattern, start_pos, end_pos) with how many of ``b`` it
+    overlaps, start or end in it, and hold its start or end: n_overlaps,
+    n_b_start_in_a, n_b_end_in_a, n_a_start_in_b, n_a_end_in_b.
+
+    A sweep over the places of a key, with no pairs: how many of ``b`` have started
+    and ended before a place are running sums, carried over ranges of ``span``
+    places, so a key with many matches is swept in many tasks.
+    """
+    side = lambda df, p, after, started, ended: df.select(*keys, F.col(p).cast("long").alias("at"), F.lit(after).alias("after"), F.lit(started).alias("started"), F.lit(ended).alias("ended"))
+    # at one place: what has started and ended before it is asked first, then what starts there, is asked, ends there
+    events = side(b, "start_pos", 1, 1, 0).unionByName(side(b, "end_pos", 3, 0, 1)).groupBy(*keys, "at", "after").agg(F.sum("started").alias("started"), F.sum("ended").alias("ended"))
+    asked = a.select(*keys, F.explode(F.array(F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))).alias("at")).distinct()
+    zero = [F.lit(0).cast("long").alias(c) for c in ("started", "ended")]
+    both = events.unionByName(asked.select(*keys, "at", F.lit(0).alias("after"), *zero)).unionByName(asked.select(*keys, "at", F.lit(2).alias("after"), *zero)).unionByName(asked.select(*keys, "at", F.lit(4).alias("after"), *zero))
+    both = both.withColumn("range", F.floor(F.col("at") / span))
+    whole = both.groupBy(*keys, "range").agg(F.sum("started").alias("s"), F.sum("ended").alias("e"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("range").alias("__range"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("s", "e")])
+    along = Window.partitionBy(*keys, "range").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, 0)
+    ran = both.select(*keys, "range", "at", "after", F.sum("started").over(along).alias("started"), F.sum("ended").over(along).alias("ended")).where("after in (0, 2, 4)")
+    on = [F.col("range") == F.col("__range"), *[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]]
+    ran = ran.join(whole, on).select(*keys, "at", "after", (F.col("started") + F.col("s")).alias("started"), (F.col("ended") + F.col("e")).alias("ended"))
+    pick = lambda c, n: F.max(F.when(F.col("after") == n, F.col(c)))
+    told = ran.groupBy(*keys, "at").agg(pick("started", 0).alias("s_lt"), pick("started", 2).alias("s_le"), pick("ended", 0).alias("e_lt"), pick("ended", 4).alias("e_le"))
+    out = a
+    for p, name in (("start_pos", "x"), ("end_pos", "y")):
+        t = told.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("at").alias("__at"), *[F.col(c).alias(f"{name}_{c}") for c in ("s_lt", "s_le", "e_lt", "e_le")])
+        out = out.join(t, [F.col(p) == F.col("__at"), *[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]]).drop("__at", *[f"__k{i}" for i in range(len(keys))])
+    c = F.col
+    return out.select(
+        *keys, "pattern", "start_pos", "end_pos",
+        (c("y_s_le") - c("x_e_lt")).alias("n_overlaps"), (c("y_s_le") - c("x_s_lt")).alias("n_b_start_in_a"), (c("y_e_le") - c("x_e_lt")).alias("n_b_end_in_a"),
+        (c("x_s_le") - c("x_e_lt")).alias("n_a_start_in_b"), (c("y_s_le") - c("y_e_lt")).alias("n_a_end_in_b"),
+    )
 
 
 def dominates(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -462,6 +462,42 @@ def compare_overlap_class(spark, sf_dir):
     return compare.overlap_classes(*_ab(spark, sf_dir), ["doc_id"])
 
 
+_LONG = f"""with {literal_sql(['the', 'tion', 'en'], 'conversations', 'conv_id, turn').replace(" as (select", " as materialized (select")},
+a as materialized (select conv_id, turn, pattern || '.*' as pattern, start_pos, (length(text) - 1)::int as end_pos from m join conversations using (conv_id, turn) where pattern in ('the', 'tion')),
+b as materialized (select conv_id, turn, pattern, start_pos, end_pos from m where pattern = 'en' union all select conv_id, turn, pattern, start_pos, end_pos from a where pattern = 'tion.*')"""
+
+
+def _long(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    m = lambda *p: match_all(d, PatternSet.of(p), keys=["conv_id", "turn"]).drop("pattern_id")
+    return m("the.*", "tion.*"), m("en", "tion.*")
+
+
+@query(
+    _LONG
+    + """, x as (select * from a except select * from b)
+select x.conv_id, x.turn, x.pattern as a_pattern, count(*)::bigint as pairs, count(*) filter (where b.start_pos >= x.start_pos and b.end_pos <= x.end_pos)::bigint as a_contains_b, count(*) filter (where b.start_pos <= x.start_pos)::bigint as a_start_in_b
+from x join b on x.conv_id = b.conv_id and x.turn = b.turn and x.start_pos <= b.end_pos and b.start_pos <= x.end_pos group by all"""
+)
+def compare_overlap_long(spark, sf_dir):
+    """Overlaps where matches go on to the end of their text."""
+    j = compare.overlap_classes(*_long(spark, sf_dir), ["conv_id", "turn"])
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return j.groupBy("conv_id", "turn", "a_pattern").agg(F.count(F.lit(1)).alias("pairs"), n("a_contains_b").alias("a_contains_b"), n("a_start_in_b").alias("a_start_in_b"))
+
+
+@query(
+    _LONG
+    + """ select a.conv_id, a.turn, a.pattern, a.start_pos, a.end_pos, count(*) filter (where b.start_pos <= a.end_pos and a.start_pos <= b.end_pos)::bigint as n_overlaps,
+  count(*) filter (where b.start_pos between a.start_pos and a.end_pos)::bigint as n_b_start_in_a, count(*) filter (where b.end_pos between a.start_pos and a.end_pos)::bigint as n_b_end_in_a,
+  count(*) filter (where a.start_pos between b.start_pos and b.end_pos)::bigint as n_a_start_in_b, count(*) filter (where a.end_pos between b.start_pos and b.end_pos)::bigint as n_a_end_in_b
+from a left join b on a.conv_id = b.conv_id and a.turn = b.turn group by all"""
+)
+def overlap_counts(spark, sf_dir):
+    """How many overlap each long match, by a sweep."""
+    return compare.overlap_counts(*_long(spark, sf_dir), ["conv_id", "turn"])
+
+
 @query(
     _AB
     + """, c as (select (select count(*) from (select * from a intersect select * from b)) as same, (select count(*) from a) as na, (select count(*) from b) as nb)

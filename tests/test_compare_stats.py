@@ -1,7 +1,13 @@
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import charclass as cc
 from sievewright.operators import compare, stats
+from sievewright.plans.queries import ORACLES, QUERIES
+from tests.oracle import same
 
 M = "doc_id long, pattern string, start_pos int, end_pos int"
 
@@ -14,7 +20,7 @@ def test_sets(spark):
     assert compare.symmetric_difference(a, b, k).count() == 4
     assert tuple(compare.pair_counts(a, b, k).first()) == (1, 4)
     assert tuple(compare.pair_counts(a.limit(0), b.limit(0), k).first()) == (0, 0)
-    over = {(r["a_pattern"], r["b_pattern"]): (r["a_contains_b"], r["b_contains_a"]) for r in compare.overlap_classes(a, b, k, span=4).collect()}
+    over = {(r["a_pattern"], r["b_pattern"]): (r["a_contains_b"], r["b_contains_a"]) for r in compare.overlap_classes(a, b, k).collect()}
     assert over == {("q", "r"): (True, False), ("q", "q"): (False, True)}
     assert compare.overlap_classes(a, b, k, first=1).count() == 2
     assert [r["start_pos"] for r in compare.ordered(compare.distinct_matches(a, k), k).collect()] == [1, 3, 0]
@@ -83,3 +89,28 @@ def test_null_keys_are_equal(spark):
     assert sorted((str(r["doc_id"]), r["start_pos"]) for r in compare.only_in(a, b, ["doc_id"]).collect()) == [("1", 0), ("None", 9)]
     got = compare.overlap_classes(a, b, ["doc_id"]).collect()
     assert [(r["doc_id"], r["a_pattern"], r["b_pattern"], r["b_contains_a"]) for r in got] == [(None, "y", "z", True)]
+
+
+def test_overlaps_of_any_length(spark):
+    """Pairs and counts against all pairs, with spans of every level, equal ends, null and repeated keys."""
+    rng = random.Random(6)
+    span = lambda: (s := rng.randrange(60) * rng.choice((1, 100, 5000)), s + rng.choice((0, 1, 5, 300, 70_000, 2_000_000)))
+    rows = lambda n: [(rng.choice((1, 1, 2, None)), rng.choice("pq"), *span()) for _ in range(n)]
+    a, b = rows(60), rows(60)
+    kind = "doc_id int, pattern string, start_pos int, end_pos int"
+    da, db = spark.createDataFrame(a, kind), spark.createDataFrame([*b, b[0]], kind)
+    meet = lambda x, y: x[0] == y[0] and x[2] <= y[3] and y[2] <= x[3]
+    got = compare.overlap_classes(da, db, ["doc_id"]).select("doc_id", "a_pattern", "a_start", "a_end", "b_pattern", "b_start", "b_end").collect()
+    want = [(*x, *y[1:]) for x in set(a) - set(b) for y in [*b, b[0]] if meet(x, y)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for size in (1 << 16, 64):
+        n = compare.overlap_counts(da, db, ["doc_id"], size).collect()
+        inside = lambda p, x: x[2] <= p <= x[3]
+        all_ = [[y for y in [*b, b[0]] if y[0] == x[0]] for x in a]
+        want_n = [(*x, sum(meet(x, y) for y in ys), sum(inside(y[2], x) for y in ys), sum(inside(y[3], x) for y in ys), sum(inside(x[2], y) for y in ys), sum(inside(x[3], y) for y in ys)) for x, ys in zip(a, all_, strict=True)]
+        assert sorted(map(str, map(tuple, n))) == sorted(map(str, want_n))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_overlap_classes_of_a_larger_table(spark):
+    same(spark, QUERIES["compare_overlap_class"], ORACLES["compare_overlap_class"], "/root/testdata/sf0.01")
