@@ -552,9 +552,12 @@ def seek_then_match(spark, sf_dir):
     return m.select("doc_id", (F.col("start_pos") + F.col("__offset")).alias("start_pos"), (F.col("end_pos") + F.col("__offset")).alias("end_pos"))
 
 
-@query("select p_partkey as pattern_no, p_name as pattern from part order by p_partkey limit 100")
+@query("select row_number() over (order by p_partkey) - 1 as pattern_no, p_name as pattern from part order by p_partkey limit 100")
 def pattern_load_limit(spark, sf_dir):
-    return load_patterns(table(spark, sf_dir, "part"), 100, "p_partkey", "p_name")
+    """The first patterns of a list in files, read by ranges of bytes and numbered in order."""
+    path = scratch_path(spark, "pattern-list")
+    table(spark, sf_dir, "part").repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey").select("p_name").write.text(path)
+    return load_patterns(text.read_lines_in_order(spark, path), 100)
 
 
 @query("select p_name as pattern, sha1(p_name) as sha1 from (select distinct p_name from part where length(trim(p_name)) > 0) order by 2 limit 39")

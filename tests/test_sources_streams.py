@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from sievewright.operators.compare import pair_summary
 from sievewright.operators.match import match_all
 from sievewright.patterns import PatternSet
@@ -21,7 +23,7 @@ def test_text_files(spark, tmp_path):
     assert text.load_patterns_clean(lines, 2, one_less=True).count() == 1
     assert text.load_patterns_clean(lines).count() == 2
     seen = []
-    assert text.push_lines(lines, seen.append) == 3 and seen == ["four", "", "five"]
+    assert text.push_lines(lines.orderBy("line_no"), seen.append) == 3 and seen == ["four", "", "five"]
     assert text.resolve("b.txt", [str(tmp_path)]) == b
     assert text.environment(spark).first()["cores"] > 0
 
@@ -71,3 +73,24 @@ def test_chunk_stream(spark, tmp_path):
     out = run_to_table(match_chunks(s, PatternSet.of(patterns)), "t_chunks", str(tmp_path / "ck"))
     want = {(i, k, a, b) for i, t in enumerate(texts) for k, p in enumerate(patterns) for a, b in matches(p, t)}
     assert {tuple(r) for r in out.select("doc_id", "pattern_id", "start_pos", "end_pos").collect()} == want
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_lines_in_order_by_ranges(spark, tmp_path, end, size):
+    """Ranges of a few bytes cut lines and their breaks anywhere; every line has its number."""
+    lines = [f"line {i} {'é' * (i % 9)}" if i % 4 else "" for i in range(90)]
+    (tmp_path / "a.txt").write_bytes((end.join(lines) + end).encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        df = text.read_lines_in_order(spark, str(tmp_path / "a.txt"))
+        assert sorted(map(tuple, df.collect())) == list(enumerate(lines))
+        assert df.rdd.getNumPartitions() >= 1 and (size > 100 or spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 5)
+        (tmp_path / "b.txt").write_text("last")
+        (tmp_path / "c.txt").write_text("")
+        assert [r["line"] for r in text.read_lines_in_order(spark, str(tmp_path)).orderBy("line_no").collect()] == [*lines, "last"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
