@@ -21,6 +21,7 @@ from sievewright.sources import sinks, text
 from sievewright.sources.scratch import scratch_path
 from sievewright.sources.text import load_patterns, load_patterns_clean
 from sievewright.streaming.stream import chunk_texts, match_chunks, match_stream, run_to_table
+from sievewright.streaming.timed import match_chunks_timed, run_timed_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -889,6 +890,22 @@ def stream_chunks(spark, sf_dir):
     return run_to_table(out, name)
 
 
+@query(
+    """with c as (select conv_id || '-' || turn as doc_id, text, greatest(ceil(length(text) / 50.0), 1)::int as n, turn % 5 = 3 as cut from conversations),
+d as (select doc_id, case when cut then substr(text, 1, 50 * (n - 1)) else text end as text from c),
+"""
+    + run_sql("th[a-z]+|[0-9]+", "th[a-z]*|t|[0-9]+", "th[a-z]+|[0-9]+", "d", "doc_id", "text").lstrip()
+    + " select doc_id, pattern_id, start_pos, end_pos, null as told from m union all select doc_id, null, n - 1, null, 'missing' from c where cut and n > 1"
+)
+def stream_chunks_timed(spark, sf_dir):
+    """Chunks with times, of which some texts' last ones never come: those are closed when their time is over."""
+    d = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text", "turn")
+    chunks = chunk_texts(d, 50).join(d.select("doc_id", "turn"), "doc_id").where("not (is_last and turn % 5 = 3)").drop("turn")
+    far = spark.sql("select 'far' as doc_id, 0L as seq, 'x' as text, true as is_last, timestamp'2030-01-01' as time")
+    stream = _as_stream(chunks.withColumn("time", F.lit("2024-01-01").cast("timestamp")).unionByName(far), "stream-chunks-timed")
+    return run_timed_to_table(match_chunks_timed(stream, PatternSet.of(["th[a-z]+|[0-9]+"]), "1 hour"), "stream_chunks_timed_out")
+
+
 @query(
     """select * from (values ('ab|ac', 0, 1, 'a'), ('ab|ac', 1, 2, 'b'), ('ab|ac', 1, 3, 'c'), ('x[0-9]+', 0, 1, 'x'), ('x[0-9]+', 1, 2, '0-9'), ('x[0-9]+', 2, 2, '0-9')) t(pattern, src, dst, label)"""
 )

@@ -92,10 +92,11 @@ def chunk_texts(df: DataFrame, size: int, key: str = "doc_id", text: str = "text
     return d.select(key, "seq", F.substring(F.col("__t"), (F.col("seq") * size + 1).cast("int"), F.lit(size)).alias("text"), (F.col("seq") == F.col("__n") - 1).alias("is_last"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs all that a stream has now into Parquet files of the scratch folder and gives them."""
+def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Runs all that a stream has now into Parquet files and gives them; ``path``: where, if not in the
+    scratch folder.  A stream that goes on from a checkpoint needs the path that it began with."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     w = stream.writeStream.outputMode("append").format("parquet").queryName(name).trigger(availableNow=True)
     w.option("path", path).option("checkpointLocation", checkpoint or scratch_path(spark, name + "-state")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
