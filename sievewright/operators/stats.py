@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sievewright.sources.scratch import written
 
 # Limits of the verdict.
 TIME_REGRESSION, TIME_IMPROVEMENT = -0.02, 0.05
@@ -84,8 +87,50 @@ def cpu_score(spark: SparkSession, runs: int = 3, loops: int = 200_000) -> float
     return float(median(scores))
 
 
-def median_score(scores: DataFrame, by: list[str], col: str = "score") -> DataFrame:
-    return scores.groupBy(*by).agg(F.median(col).alias("score"))
+#: Values of a group that are sorted in one task; more are narrowed down first.
+MEDIAN_ROWS = 100_000
+#: Of the quantile sketch: a value's rank is told to a share of 1 / ACCURACY.
+ACCURACY = 1000
+
+
+def median_score(scores: DataFrame, by: list[str], col: str = "score", most: int = MEDIAN_ROWS) -> DataFrame:
+    """(by..., score): the exact median of each group; nulls don't count, NaN is the largest, a group without values has null.
+
+    A group of any size: a mergeable sketch of its quantiles gives a range of values
+    that must hold the median, a count says how many are below it, and the
+    range is narrowed by another sketch until what is left can be sorted at once.
+    """
+    rows = scores.select(*by, F.col(col).cast("double").alias("__v"))
+    names = [f"__k{i}" for i in range(len(by))]
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names, strict=True)]
+    keys = [F.col(k).alias(n) for k, n in zip(by, names, strict=True)]
+    # of each group: how many values, how many below the range, and the range
+    known = written(rows.groupBy(*by).agg(F.count("__v").alias("n"), F.lit(0).cast("long").alias("below"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("__v").alias("inside")).select(*keys, "n", "below", "lo", "hi", "inside"), "median")
+    widest = lambda df: df.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside")))).first()[0] or 0
+    while (size := widest(known)) > most:
+        v = rows.join(known, same).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+        at = (F.floor((F.col("n") - 1) / 2) - F.col("below")) / F.col("inside")  # where in the range the lower middle is
+        # the range's own sketch, asked a little before and a little behind every possible place
+        sketch = v.groupBy(*names).agg(F.percentile_approx("__v", F.array(*[F.lit(i / 100) for i in range(101)]), F.lit(ACCURACY)).alias("q"))
+        step = lambda x, d: F.get(F.col("q"), F.greatest(F.least(F.floor(x * 100).cast("int") + d, F.lit(100)), F.lit(0)))
+        big = F.col("inside") > most
+        narrow = known.join(sketch.select(*[F.col(n).alias(f"{n}_") for n in names], "q"), [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], "left")
+        narrow = narrow.select(*names, "n", "below", "inside", F.when(big, F.when(F.floor(at * 100) < 2, F.col("lo")).otherwise(step(at, -2))).otherwise(F.col("lo")).alias("lo"), F.when(big, F.when(F.floor(at * 100) > 96, F.col("hi")).otherwise(step(at, 3))).otherwise(F.col("hi")).alias("hi"))
+        counts = rows.join(narrow, same).groupBy(*names, "n", "lo", "hi").agg(F.sum((F.col("__v") < F.col("lo")).cast("long")).alias("below"), F.sum(F.col("__v").between(F.col("lo"), F.col("hi")).cast("long")).alias("inside"))
+        counts = written(counts.select(*names, "n", "below", "lo", "hi", "inside"), "median")
+        lost = counts.where((F.col("n") > 0) & ((F.floor((F.col("n") - 1) / 2) < F.col("below")) | (F.floor(F.col("n") / 2) >= F.col("below") + F.col("inside")))).limit(1).count()
+        if lost or widest(counts) >= size:
+            break  # a few values fill the range: it can't be narrowed, and is counted by value below
+        known = counts
+    # by value, so that repeated values are one row
+    v = rows.join(known, same).where(F.col("__v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "n", "below", "__v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*names).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+    v = v.withColumn("upto", upto)
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    mid = v.groupBy(*names).agg(F.max(F.when(holds(lower), F.col("__v"))).alias("a"), F.max(F.when(holds(upper), F.col("__v"))).alias("b"))
+    mid = mid.select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("a") * 0.5 + F.col("b") * 0.5).alias("score"))
+    return known.join(mid, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], "left").select(*[F.col(n).alias(k) for k, n in zip(by, names, strict=True)], "score")
 
 
 def throughput(runs: DataFrame, bytes_col: str = "bytes", time_col: str = "duration_ms") -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,18 @@ def test_overlaps_of_any_length(spark):
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
 def test_overlap_classes_of_a_larger_table(spark):
     same(spark, QUERIES["compare_overlap_class"], ORACLES["compare_overlap_class"], "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("most", [stats.MEDIAN_ROWS, 500, 3])
+def test_exact_medians_of_hot_groups(spark, most):
+    rng = random.Random(4)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(20_000)] + [("same", 7.0)] * 3000 + [("two", float(i % 2)) for i in range(3001)] + [("skew", 2.0 ** (i % 40)) for i in range(4000)]
+    rows += [("odd", 3.0), ("odd", 1.0), ("odd", 2.0), ("even", 1.0), ("even", 2.0), ("even", None), (None, 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, score double").repartition(6)
+    got = {r["g"]: r["score"] for r in stats.median_score(df, ["g"], most=most).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = [x for k, x in rows if k == g and x is not None]
+        want[g] = statistics.median(v) if v else None
+    assert got == want
+    assert stats.median_score(df.limit(0), ["g"]).count() == 0
