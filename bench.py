@@ -65,8 +65,16 @@ def main() -> None:
         "all_6_literals": lambda: sink(match_all(docs, few, keys=["doc_id"])),
         "all_6_literal_counts": lambda: sink(match_counts(docs, few)),
         "all_47_mixed": lambda: sink(match_all(docs, mixed, keys=["doc_id"])),
+        "all_6_literals_native": lambda: sink(match_all(docs, few, keys=["doc_id"], strategy="native")),
+        "all_words_ending_native": lambda: sink(match_all(docs, PatternSet.of(["th[a-z]+ed"]), keys=["doc_id"], strategy="native")),
         "all_standard_engine_47": lambda: sink(find_standard(docs, list(mixed.sources), keys=["doc_id"])),
     }
+    try:
+        from sievewright.llm.queries import QUERIES
+
+        runs |= {name: lambda f=QUERIES[name]: sink(f(spark, SF)) for name in ("op2_source_mix", "op4_decontaminate", "op10_exact_dedup", "op11_phrases", "op12_byte_bpe", "op13_embedding_whitening")}
+    except ModuleNotFoundError:  # the corpus operators may be left out
+        pass
     times = {}
     sink(match_all(novel, few, keys=["doc_id"], strategy="dfa"))  # starts the Python workers
     for name, run in runs.items():

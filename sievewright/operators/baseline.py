@@ -42,11 +42,9 @@ def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -
         yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:-1]), *(pa.array(x, pa.int32()) for x in (ids, starts, ends))], [*b.schema.names[:-1], "pattern_id", "start_pos", "end_pos"])
 
 
-def _places(text: Column, pattern_id: int, pattern: str) -> Column:
-    """Array of (pattern_id, start_pos, end_pos)."""
-    walk = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.length)
-    ends, sizes = running_sums(walk(f"\\G(?s:.)*?(?s:{pattern})")), walk(f"(?s:{pattern})")
-    return F.zip_with(ends, sizes, lambda e, n: F.struct(F.lit(pattern_id).alias("pattern_id"), (e - n).alias("start_pos"), (e - 1).alias("end_pos")))
+def _walk(text: Column, pattern: str) -> Column:
+    """Lengths of all matches."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
 
 
 def _may_be_empty(pattern: str) -> bool:
@@ -64,7 +62,12 @@ def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", ke
     plain = [(i, p) for i, p in enumerate(patterns) if not _may_be_empty(p)]
     parts = []
     if plain:
-        m = rows.where("__text is not null").select(*keys, F.explode(F.flatten(F.array(*[_places(F.col("__text"), i, p) for i, p in plain]))).alias("__m"))
+        text = F.col("__text")
+        # columns before they are added up: what is used more than once is computed once
+        w = rows.where("__text is not null").select(*keys, *[c for i, p in plain for c in (_walk(text, f"\\G(?s:.)*?(?s:{p})").alias(f"__g{i}"), _walk(text, f"(?s:{p})").alias(f"__n{i}"))])
+        place = lambda i: lambda e, n: F.struct(F.lit(i).alias("pattern_id"), (e - n).alias("start_pos"), (e - 1).alias("end_pos"))
+        places = [F.zip_with(running_sums(F.col(f"__g{i}")), F.col(f"__n{i}"), place(i)) for i, _ in plain]
+        m = w.select(*keys, F.explode(F.flatten(F.array(*places))).alias("__m"))
         parts.append(m.select(*keys, "__m.*").where("end_pos >= start_pos"))
     if empty:
         ship(df.sparkSession)

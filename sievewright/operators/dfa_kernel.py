@@ -30,26 +30,36 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
 
 
-def scan(table: Table, texts: list[str], gate: GramGate | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Code points of texts laid end to end, where each text begins, and where a pattern may begin (None: anywhere).
+Laid = tuple[np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def laid_out(texts: list[str], gate: GramGate | None = None) -> Laid:
+    """What all tables need of the texts."""
+    codes, begin = code_points(texts)
+    return codes, begin, None if gate is None else gate.may_begin(codes)
+
+
+def scan(table: Table, texts: list[str], gate: GramGate | None = None, laid: Laid | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, pattern, start, end) of all matches; positions in the row, both included.
 
     gate: leaves out starts at which no pattern's beginning can be.
     """
-    return resume(table, texts, gate)[0]
+    return resume(table, texts, gate, laid=laid)[0]
 
 
 #: Scans that go on in the next chunk of a text: row, start (before 0 if it was in an earlier chunk), state.
 Open = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def resume(table: Table, texts: list[str], gate: GramGate | None = None, carry: Open | None = None, ends: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Open]:
+def resume(table: Table, texts: list[str], gate: GramGate | None = None, carry: Open | None = None, ends: np.ndarray | None = None, laid: Laid | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Open]:
     """Matches as ``scan`` gives them, and the scans still open.
 
     carry: scans that were open before these texts.  ends: whether a text ends
     here (all do, if not given); what is open at the end of one that does not
     goes on in its next chunk.  A match may end at -1, in the chunk before.
     """
-    codes, begin = code_points(texts)
+    codes, begin, may = laid or laid_out(texts, gate)
     n, k = len(codes), len(table.class_starts)
     ends = np.ones(len(texts), bool) if ends is None else ends
     none = np.zeros(0, np.int64)
@@ -67,8 +77,8 @@ def resume(table: Table, texts: list[str], gate: GramGate | None = None, carry:
     is_last[begin[1:][np.diff(begin) > 0] - 1] = True
     # every place whose character begins something
     count = np.diff(table.first_at)[cls[:n]]
-    if gate is not None:
-        count = np.where(gate.may_begin(codes), count, 0)
+    if may is not None:
+        count = np.where(may, count, 0)
     start = np.repeat(np.arange(n), count)
     fresh = len(start)
     pick = np.arange(fresh) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + np.repeat(table.first_at[cls[:n]], count)
@@ -192,8 +202,9 @@ def match_batches(batches: Iterator[pa.RecordBatch], tables: list[Table], names:
         for first, part in split_batches(b.column(b.num_columns - 1).to_pylist()):
             if counters is not None:
                 counters.inc("scans", len(part))
+            laid = laid_out(part, gate)
             for table in tables:
-                row, pattern, start, end = scan(table, part, gate)
+                row, pattern, start, end = scan(table, part, gate, laid)
                 if counters is not None:
                     counters.inc("matches", len(row))
                 if len(row):
@@ -224,7 +235,8 @@ def counted_batches(batches: Iterator[pa.RecordBatch], tables: list[Table], n_pa
     total = np.zeros(n_patterns, np.int64)
     for b in batches:
         for _, part in split_batches(b.column(0).to_pylist()):
+            laid = laid_out(part, gate)
             for table in tables:
-                total += np.bincount(scan(table, part, gate)[1], minlength=n_patterns)
+                total += np.bincount(scan(table, part, gate, laid)[1], minlength=n_patterns)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["pattern_id", "n"])

@@ -280,17 +280,21 @@ def running_sums(sizes: Column) -> Column:
     return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, first: F.slice(grown(b, first), F.lit(2), F.size(b))))
 
 
-def _found(piece: Column, pattern_id: int, expression: str) -> Column:
-    """Array of (pattern_id, place in the piece, matched text) of all starts."""
-    # a character before the piece, so that a gap is never empty; \G, so that what has no more matches is walked once
+def _walk(piece: Column, expression: str) -> tuple[Column, Column]:
+    """The gaps between all starts in a piece (lengths), and the matches there (texts)."""
+    # a character before the piece, so that a gap is never empty; \\G, so that what has no more matches is walked once
     walk, text = f"\\G(?s:.)+?(?=({expression}))", F.concat(F.lit(" "), piece)
-    gaps = F.transform(F.regexp_extract_all(text, F.lit(walk), F.lit(0)), F.length)
-    return F.zip_with(running_sums(gaps), F.regexp_extract_all(text, F.lit(walk), F.lit(1)), lambda at, x: F.struct(F.lit(pattern_id).alias("pattern_id"), (at - 1).alias("at"), x.alias("text")))
+    return F.transform(F.regexp_extract_all(text, F.lit(walk), F.lit(0)), F.length), F.regexp_extract_all(text, F.lit(walk), F.lit(1))
 
 
-def _matches(pieces: DataFrame, keys: list[str], found: list[Column], most: int | None, matched_text: bool) -> DataFrame:
-    """pieces (keys..., __at, __piece[, __last]) to matches; starts from ``most`` on belong to the next piece."""
-    m = pieces.select(*keys, "__at", F.explode(F.flatten(F.array(*found))).alias("__m"))
+def _matches(pieces: DataFrame, keys: list[str], walks: list[tuple[int, Column, Column]], most: int | None, matched_text: bool) -> DataFrame:
+    """pieces (keys..., __at, __piece[, __last]) and, for each pattern, its gaps and texts there to
+    matches; starts from ``most`` on belong to the next piece."""
+    # gaps are columns before they are added up: what is used more than once is computed once
+    w = pieces.select(*keys, "__at", *[c for i, g, x in walks for c in (g.alias(f"__g{i}"), x.alias(f"__x{i}"))])
+    match = lambda i: lambda at, x: F.struct(F.lit(i).alias("pattern_id"), (at - 1).alias("at"), x.alias("text"))
+    found = [F.zip_with(running_sums(F.col(f"__g{i}")), F.col(f"__x{i}"), match(i)) for i, _, _ in walks]
+    m = w.select(*keys, "__at", F.explode(F.flatten(F.array(*found))).alias("__m"))
     if most is not None:
         m = m.where(F.col("__m.at") < most)
     start = F.col("__at") + F.col("__m.at")
@@ -311,15 +315,18 @@ def native_matches(df: DataFrame, patterns: PatternSet, ids: list[int], text_col
         w = rows.select(*keys, "__text", F.explode(at).alias("__at"))
         w = w.select(*keys, "__at", F.substring(F.col("__text"), F.col("__at") + 1, F.lit(wide)).alias("__piece"), (F.col("__at") + wide >= F.length("__text")).alias("__last"))
         piece, last = F.col("__piece"), F.col("__last")
-        found = [_found(piece, i, s.ended) if s.ended == s.inner else F.when(last, _found(piece, i, s.ended)).otherwise(_found(piece, i, s.inner)) for i, s in bounded]
-        out.append(_matches(w, keys, found, chunk, matched_text))
+        walks = []
+        for i, s in bounded:
+            ended, inner = _walk(piece, s.ended), _walk(piece, s.inner)
+            walks.append((i, *ended) if s.ended == s.inner else (i, *(F.when(last, a).otherwise(b) for a, b in zip(ended, inner, strict=True))))
+        out.append(_matches(w, keys, walks, chunk, matched_text))
     for cut, members in cut_groups([(i, s) for i, s in scans if s.longest is None]):
         # up to the next character that ends all: no scan goes on behind it
         goes_on = others(cut)
         pieces = F.regexp_extract_all(F.col("__text"), F.lit(f"(?s:.{{1,{chunk}}})" + (one_of(goes_on).text + "*+" if goes_on else "")), F.lit(0))
         w = rows.select(*keys, pieces.alias("__pieces"))
-        sums = running_sums(F.transform("__pieces", F.length))
-        w = w.select(*keys, F.explode(F.zip_with("__pieces", sums, lambda p, a: F.struct(p.alias("piece"), (a - F.length(p)).alias("at")))).alias("__p"))
+        w = w.select(*keys, "__pieces", F.transform("__pieces", F.length).alias("__sizes"))
+        w = w.select(*keys, F.explode(F.zip_with("__pieces", running_sums(F.col("__sizes")), lambda p, a: F.struct(p.alias("piece"), (a - F.length(p)).alias("at")))).alias("__p"))
         w = w.select(*keys, F.col("__p.at").alias("__at"), F.col("__p.piece").alias("__piece"))
-        out.append(_matches(w, keys, [_found(F.col("__piece"), i, s.ended) for i, s in members], None, matched_text))
+        out.append(_matches(w, keys, [(i, *_walk(F.col("__piece"), s.ended)) for i, s in members], None, matched_text))
     return out

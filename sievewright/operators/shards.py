@@ -38,7 +38,7 @@ from .dfa_kernel import match_batches
 #: From so many patterns on they are compiled by tasks.
 COMPILE_BY_TASKS = 2_000
 #: Fewest patterns of a part.
-LEAST_PART = 500
+LEAST_PART = 2_500
 #: Bytes of all tables that every task may hold.
 MOST_BYTES = 512 << 20
 #: No bound: what needs one answer a row holds all tables in each task.

@@ -48,8 +48,8 @@ def test_null_keys_and_dotted_names_when_dealt(spark, monkeypatch):
 
 
 def test_parts(spark):
-    ps = PatternSet.of([f"p{i}" for i in range(1200)])
-    assert len(shards.parts_of(ps, list(range(1200)), "auto", 8)) == 2
-    assert len(shards.parts_of(ps, list(range(1200)), "auto", 2)) == 1
+    ps = PatternSet.of([f"p{i}" for i in range(6000)])
+    assert len(shards.parts_of(ps, list(range(6000)), "auto", 8)) == 2
+    assert len(shards.parts_of(ps, list(range(6000)), "auto", 2)) == 1
     by_hash = shards.parts_of(ps, list(range(1200)), 5, 8)
     assert len(by_hash) == 5 and sorted(i for p in by_hash for _, i in p) == list(range(1200))
