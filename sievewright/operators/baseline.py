@@ -7,7 +7,8 @@ Places come from two walks of the JVM over a text: the matches, and each match
 with what lies between it and the one before.  The running sum of the latter's
 lengths is where matches end.  A pattern that fits the empty text has its walk
 broken by empty matches, which the JVM and Python also order differently; such
-patterns run in Python, row by row.
+patterns run in Python, row by row.  So do sets of more than ``MOST_WALKS``
+patterns: each pattern walks all texts twice, and Python's one pass is then faster.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from sievewright.shipping import ship
 
 from .native import running_sums
 
+#: Patterns that are walked by the JVM.
+MOST_WALKS = 8
+
 
 def _found(batches: Iterator[pa.RecordBatch], patterns: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
     compiled = [(i, re.compile(p, re.S)) for i, p in patterns]
@@ -54,12 +58,14 @@ def _may_be_empty(pattern: str) -> bool:
         return False
 
 
-def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
+def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", keys: list[str] | None = None, most_walks: int = MOST_WALKS) -> DataFrame:
     """(keys..., pattern_id, pattern, start_pos, end_pos) of non-empty matches."""
     keys = keys or [c for c in df.columns if c != text_col]
     rows = df.select(*keys, F.col(text_col).alias("__text"))
-    empty = [(i, p) for i, p in enumerate(patterns) if _may_be_empty(p)]
-    plain = [(i, p) for i, p in enumerate(patterns) if not _may_be_empty(p)]
+    walked = [i for i, p in enumerate(patterns) if not _may_be_empty(p)]
+    walked = set(walked) if len(walked) <= most_walks else set()
+    plain = [(i, p) for i, p in enumerate(patterns) if i in walked]
+    in_python = [(i, p) for i, p in enumerate(patterns) if i not in walked]
     parts = []
     if plain:
         text = F.col("__text")
@@ -69,10 +75,10 @@ def find_standard(df: DataFrame, patterns: list[str], text_col: str = "text", ke
         places = [F.zip_with(running_sums(F.col(f"__g{i}")), F.col(f"__n{i}"), place(i)) for i, _ in plain]
         m = w.select(*keys, F.explode(F.flatten(F.array(*places))).alias("__m"))
         parts.append(m.select(*keys, "__m.*").where("end_pos >= start_pos"))
-    if empty:
+    if in_python:
         ship(df.sparkSession)
         fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start_pos", "end_pos")]
-        parts.append(rows.mapInArrow(partial(_found, patterns=empty), T.StructType(fields)))
+        parts.append(rows.mapInArrow(partial(_found, patterns=in_python), T.StructType(fields)))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = F.array(*[F.lit(p) for p in patterns])
     return out.select(*keys, "pattern_id", F.element_at(names, F.col("pattern_id") + 1).alias("pattern"), "start_pos", "end_pos")
