@@ -21,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import sievewright
 from sievewright.patterns import PatternSet
 from sievewright.patterns.automaton import Table
 from sievewright.shipping import ship
@@ -124,7 +126,12 @@ def match_chunks_timed(chunks: DataFrame, patterns: PatternSet, wait: str, late:
     wait_ms = chunks.sparkSession.sql(f"select cast(unix_millis(timestamp_seconds(0) + interval {wait}) as long)").first()[0]
     kind = dict(chunks.dtypes)[key]
     rows = chunks.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.col(text).alias("text"), F.col(last).alias("is_last"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
-    out = rows.groupBy("key").transformWithStateInPandas(ChunkScan(patterns.tables(), wait_ms), f"key {kind}, pattern_id int, start_pos int, end_pos int, told string", "append", "eventTime")
+    # the runner that starts the query on the driver doesn't get what is sent to executors
+    cloudpickle.register_pickle_by_value(sievewright)
+    try:
+        out = rows.groupBy("key").transformWithStateInPandas(ChunkScan(patterns.tables(), wait_ms), f"key {kind}, pattern_id int, start_pos int, end_pos int, told string", "append", "eventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(sievewright)
     return out.withColumnRenamed("key", key)
 
 
