@@ -22,9 +22,16 @@ an article (``article``, else ``main``) or not, and whether it is furniture
   twice ``min_tokens`` tokens or more go as well; all other text stays.
 
 A page is parsed once, and its blocks move once, to meet its host.  A host with
-more than ``chunk_bytes`` of html is dealt by page into chunks of that size, each
-a random part of its pages with a suffix array of its own, so a host with a
-third of all pages is no single task; shares are those of the chunk's pages.
+more than ``chunk_bytes`` of html is dealt by page into chunks of that size, so a
+host with a third of all pages is no single task.  What its chunks decide by are
+the counts and shares of the whole host, got in three reads of what was dealt:
+
+1. A chunk tells by its suffix array the substrings on at least half of
+   ``HINT_SHARE`` of its pages, and how many pages others may be on.  Those that can't
+   come to ``HINT_SHARE`` of the host's pages are left out: what stays has half of
+   that in told pages, so its number goes with the length of a page, not with the host.
+2. Each chunk counts its pages with what stayed, and the counts are added up.
+3. Texts are made with the counts and the number of pages of the host.
 
 Defined cases: null html is an empty page with empty text; a null or unusable
 url is the empty host; pages with equal streams count as one page; character
@@ -42,6 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievewright.shipping import ship
 
@@ -281,7 +289,9 @@ def split_page(page: str) -> tuple[str | None, list[tuple[bool, str]]]:
 
 
 BLOCKS = "array<struct<kind:int,text:string>>"
-STREAMS = f"page_id long, url string, host string, chunk int, page long, rule int, blocks {BLOCKS}"
+STREAMS = f"page_id long, url string, host string, chunks long, chunk int, page long, rule int, blocks {BLOCKS}"
+#: Substrings of a host (``hash``; null: all pages) with the pages of a chunk that they are on; ``hidden``: pages that what is not told may be on.
+COUNTS = "host string, chunks long, hash long, n long, hidden long"
 TEXTS = "page_id long, url string, text string, rule string, dropped_markup long, dropped_repeats long"
 RULES = ("host", "main", "article")
 
@@ -304,8 +314,8 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = ((page.view(U) >> U(8)) % chunks.astype(U)).astype(np.int32)
             blocks = [[{"kind": k, "text": t if k < DULL else ""} for k, t in s] for _, s in split]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(j) for j in range(3)), pa.array(chunk), pa.array(page), pa.array([r for r, _ in split], pa.int32()), pa.array(blocks, kind)],
-                ["page_id", "url", "host", "chunk", "page", "rule", "blocks"],
+                [*(b.column(j) for j in range(3)), pa.array(chunks), pa.array(chunk), pa.array(page), pa.array([r for r, _ in split], pa.int32()), pa.array(blocks, kind)],
+                ["page_id", "url", "host", "chunks", "chunk", "page", "rule", "blocks"],
             )
 
 
@@ -348,41 +358,132 @@ def _chunk(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[tuple[i
     return np.concatenate(ids) if ids else np.zeros(0, U), np.concatenate(owner) if owner else np.zeros(0, np.int64), where
 
 
-def repeated(ids: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
-    """For each token the largest number of pages that share a substring of k tokens over it."""
-    n = len(ids)
-    out = np.zeros(n, np.int64)
-    order, rank = suffix_array(ids, k)
-    inside = np.zeros(n, bool)
+def _inside(owner: np.ndarray, k: int) -> np.ndarray:
+    """Places from which k tokens are of one page, without its mark."""
+    n = len(owner)
+    out = np.zeros(n, bool)
     m = max(0, n - k)
-    inside[:m] = owner[:m] == owner[k : k + m]  # the next k tokens are of one page, without its mark
-    order = order[inside[order]]
+    out[:m] = owner[:m] == owner[k : k + m]
+    return out
+
+
+def _shared(ids: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, which substring of k tokens begins at each, pages of each substring)."""
+    order, rank = suffix_array(ids, k)
+    order = order[_inside(owner, k)[order]]
     if not len(order):
-        return out
+        return order, order, order
     r = rank[order]
     group = np.cumsum(np.append(0, r[1:] != r[:-1]))
     pair = np.unique(group * (owner[-1] + 1) + owner[order])  # distinct (substring, page)
-    pages = np.bincount(pair // (owner[-1] + 1))
-    begin = np.zeros(n, np.int64)
-    begin[order] = pages[group]
+    return order, group, np.bincount(pair // (owner[-1] + 1))
+
+
+def _spread(begin: np.ndarray, k: int) -> np.ndarray:
+    """For each token the largest number of the substrings of k tokens over it, from those that begin at each."""
     out = begin.copy()
-    for j in range(1, min(k, n)):
+    for j in range(1, min(k, len(begin))):
         np.maximum(out[j:], begin[:-j], out=out[j:])
     return out
 
 
-def _texts(table: pa.Table, k: int) -> pa.Table:
-    """All pages of a chunk of a host to their texts."""
+def repeated(ids: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    """For each token the largest number of pages that share a substring of k tokens over it."""
+    order, group, pages = _shared(ids, owner, k)
+    begin = np.zeros(len(ids), np.int64)
+    begin[order] = pages[group]
+    return _spread(begin, k)
+
+
+def _substrings(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k tokens from each place on: the same in all chunks."""
+    n = len(ids)
+    out = np.zeros(n, U)
+    m = max(0, n - k + 1)
+    for j in range(k):
+        out[:m] = out[:m] * U(0x9E3779B97F4A7C15) + ids[j : j + m]
+    return (out ^ (out >> U(29))).view(np.int64)
+
+
+def _found(ids: np.ndarray, owner: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, number in ``known``, which is sorted) of the substrings that are known."""
+    at = np.flatnonzero(_inside(owner, k))
+    h = _substrings(ids, k)[at]
+    which = np.searchsorted(known, h)
+    on = which < len(known)
+    on[on] = known[which[on]] == h[on]
+    return at[on], which[on]
+
+
+def _pages(table: pa.Table) -> tuple[list[dict], dict[int, int]]:
+    """The rows of a chunk, and the first row of each distinct page."""
     rows = table.select(["page", "rule", "blocks"]).to_pylist()
-    first = {}  # equal streams once
+    first: dict[int, int] = {}  # equal streams once
     for i, r in enumerate(rows):
         first.setdefault(r["page"], i)
+    return rows, first
+
+
+def _block_texts(rows: list[dict], first: dict[int, int]) -> list[list[str]]:
+    return [[b["text"] for b in rows[i]["blocks"]] for i in first.values()]
+
+
+def _counts(table: pa.Table, hashes: np.ndarray, n: np.ndarray, pages: int, hidden: int) -> pa.Table:
+    """Rows of COUNTS; the first has the pages of the chunk."""
+    m = len(hashes) + 1
+    h = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(hashes, pa.int64())])
+    return pa.table({"host": pa.array([table["host"][0].as_py()] * m, pa.string()), "chunks": pa.array([table["chunks"][0].as_py()] * m, pa.int64()), "hash": h, "n": pa.array([pages, *n.tolist()], pa.int64()), "hidden": pa.array([hidden] * m, pa.int64())})
+
+
+def _none(table: pa.Table) -> pa.Table:
+    return _counts(table, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0).slice(0, 0)
+
+
+def _local(table: pa.Table, k: int) -> pa.Table:
+    """Substrings on at least half of HINT_SHARE of a chunk's pages."""
+    if table["chunks"][0].as_py() < 2:
+        return _none(table)
+    rows, first = _pages(table)
+    ids, owner, _ = _chunk(_block_texts(rows, first))
+    order, group, pages = _shared(ids, owner, k)
+    least = max(1, int(np.ceil(HINT_SHARE / 2 * len(first))))
+    told = np.flatnonzero(pages >= least)
+    _, begin = np.unique(group, return_index=True)  # a place of each
+    return _counts(table, _substrings(ids, k)[order[begin[told]]], pages[told], len(first), least - 1)
+
+
+def _counted(table: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """On how many pages of a chunk each substring is that was asked for."""
+    if not table.num_rows or not asked.num_rows:
+        return _none(table) if table.num_rows else pa.schema([("host", pa.string()), ("chunks", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64())]).empty_table()
+    rows, first = _pages(table)
+    known = np.array(asked["hashes"][0].as_py(), np.int64)
+    if not len(known):
+        return _counts(table, known, known, len(first), 0)
+    ids, owner, _ = _chunk(_block_texts(rows, first))
+    at, which = _found(ids, owner, k, known)
+    pair = np.unique(which * (len(first) + 1) + owner[at])
+    n = np.bincount(pair // (len(first) + 1), minlength=len(known))
+    return _counts(table, known[n > 0], n[n > 0], len(first), 0)
+
+
+def _texts(table: pa.Table, told: pa.Table, k: int) -> pa.Table:
+    """All pages of a chunk of a host to their texts; ``told``: the counts of a host in more than one chunk."""
+    rows, first = _pages(table)
     place = {p: j for j, p in enumerate(first)}
-    pages = [[b["text"] for b in rows[i]["blocks"]] for i in first.values()]
+    pages = _block_texts(rows, first)
     ids, owner, where = _chunk(pages)
-    on = repeated(ids, owner, k)
-    most = on >= max(MIN_PAGES, PAGE_SHARE * len(pages))
-    some = on >= max(HINT_PAGES, HINT_SHARE * len(pages))
+    if told.num_rows:
+        n_pages = told["pages"][0].as_py()
+        counts = sorted((c["hash"], c["n"]) for c in told["counts"][0].as_py())
+        at, which = _found(ids, owner, k, np.array([h for h, _ in counts], np.int64))
+        begin = np.zeros(len(ids), np.int64)
+        begin[at] = np.array([n for _, n in counts], np.int64)[which]
+        on = _spread(begin, k)
+    else:
+        n_pages, on = len(pages), repeated(ids, owner, k)
+    most = on >= max(MIN_PAGES, PAGE_SHARE * n_pages)
+    some = on >= max(HINT_PAGES, HINT_SHARE * n_pages)
     texts, gone = [], []
     by_page = [[] for _ in pages]
     for p, i, a, z in where:
@@ -423,6 +524,11 @@ def _without_runs(text: str, on: np.ndarray, least: int) -> str:
     return " ".join(w for i, w in enumerate(re.findall(WORD, text)) if i not in gone) if gone else text
 
 
+def _each_chunk(hosts: DataFrame) -> DataFrame:
+    """A row of each host to each of its chunks."""
+    return hosts.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk")).drop("chunks")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = MIN_TOKENS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, rule (what
     held the text: article, main or, without either, host), dropped_markup and
@@ -435,5 +541,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     large = stash(large.withColumnRenamed("host", "l_host"), "page-hosts")
     few = large.count() <= BROADCAST_HOSTS
     dealt = rows.join(F.broadcast(large) if few else large, F.col("host") == F.col("l_host"), "left").select("page_id", "url", "host", F.coalesce("chunks", F.lit(1)).cast("long").alias("chunks"), "html")
-    texts = dealt.mapInArrow(_streams, STREAMS).groupBy("host", "chunk").applyInArrow(lambda t: _texts(t, min_tokens), TEXTS)
+    # dealt once, and read by all that follows
+    chunk = dealt.mapInArrow(_streams, STREAMS).repartition("host", "chunk").groupBy("host", "chunk")
+    local = chunk.applyInArrow(lambda t: _local(t, min_tokens), COUNTS)
+    local = local.groupBy("host", "hash").agg(F.max("chunks").alias("chunks"), F.sum("n").alias("n"), F.sum("hidden").alias("hidden"))
+    of_host = lambda c: F.max(F.when(F.col("hash").isNull(), F.col(c))).over(Window.partitionBy("host"))
+    local = local.select("host", "chunks", "hash", "n", "hidden", of_host("n").alias("pages"), of_host("hidden").alias("all_hidden"))
+    can = F.col("n") + F.col("all_hidden") - F.col("hidden") >= F.greatest(F.lit(float(HINT_PAGES)), F.lit(HINT_SHARE) * F.col("pages"))
+    asked = local.where(F.col("hash").isNull() | can).groupBy("host").agg(F.max("chunks").alias("chunks"), F.sort_array(F.collect_list("hash")).alias("hashes"))
+    n = chunk.cogroup(_each_chunk(asked).groupBy("host", "chunk")).applyInArrow(lambda t, a: _counted(t, a, min_tokens), COUNTS)
+    n = n.groupBy("host", "hash").agg(F.max("chunks").alias("chunks"), F.sum("n").alias("n"))
+    told = n.groupBy("host").agg(F.max("chunks").alias("chunks"), F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("counts"))
+    texts = chunk.cogroup(_each_chunk(told).groupBy("host", "chunk")).applyInArrow(lambda t, c: _texts(t, c, min_tokens), TEXTS)
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "rule", "dropped_markup", "dropped_repeats")

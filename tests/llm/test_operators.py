@@ -744,6 +744,28 @@ def test_host_decides_inside_articles(spark):
     assert all(own[j] in got[i] for i in range(5) for j in range(6)) and got[5] == own[9]
 
 
+def test_chunks_of_a_host_change_nothing(spark):
+    """Shares and pages are those of the host, in however many chunks it is dealt."""
+    rng = random.Random(3)
+    own = lambda i: " ".join(f"p{i}w{j}" for j in range(20))
+    parts = [" ".join(f"s{x}w{j}" for j in range(9)) for x in range(24)]
+    share = [rng.choice((0.04, 0.09, 0.11, 0.3, 0.48, 0.52, 0.7)) for _ in parts]
+
+    def page(i, n):
+        held = [x for x in range(24) if rng.random() < share[x]] if n > 5 else [0, 1] if i < 2 else [2]
+        blocks = [f"<div class=newsletter-wide-v{x}>{parts[x]}</div>" if x % 2 else f"<p>{parts[x]}</p>" for x in held]
+        return f"<article><p>{own(i)}</p>{''.join(blocks)}</article>" if i % 2 else f"<body><div>{own(i)}</div>{''.join(blocks)}"
+
+    rows = [(h * 1000 + i, f"http://h{h}.example.com/", page(i, n)) for h, n in enumerate((90, 5, 31)) for i in range(n)]
+    rows += [(5000 + i, *rows[0][1:]) for i in range(30)]  # copies of a page count once
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    show = lambda chunk: sorted(map(tuple, ht.extract_text(p, chunk_bytes=chunk).collect()))
+    want = show(1 << 30)
+    assert sum(r[-1] for r in want) > 100
+    for chunk in (20_000, 4000, 1):
+        assert show(chunk) == want
+
+
 def test_beyond_the_bounds_of_broadcasts(spark, monkeypatch):
     """Tables that are too large to broadcast are joined, with the same rows."""
     from sievewright.llm import common, exact_dedup as ed, mixing as mx
