@@ -92,6 +92,45 @@ def test_null_keys_are_equal(spark):
     assert [(r["doc_id"], r["a_pattern"], r["b_pattern"], r["b_contains_a"]) for r in got] == [(None, "y", "z", True)]
 
 
+def shuffled_nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_match_no_text_twice(spark):
+    """Each side is computed once, however often it is looked up in."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    rows = [(i % 5, "p", i, i + i % 7) for i in range(100)]
+    a = spark.createDataFrame(rows, M).mapInArrow(counted, M)
+    b = spark.createDataFrame(rows[::2], M).mapInArrow(counted, M)
+    assert compare.overlap_classes(a, b, ["doc_id"]).count() > 0
+    assert seen.value == 150
+
+
+def test_domination_leaves_tasks_reduced(spark, tmp_path):
+    """One row a key, or what no wider match holds, leaves a task; the same as the plain rules give."""
+    rng = random.Random(8)
+    rows = [(rng.choice((0, 1, 2, None)), rng.choice(("p", "q", None)), s, s + rng.choice((0, 1, 3, 40))) for s in (rng.randrange(300) for _ in range(3000))]
+    m = spark.createDataFrame(rows, M).repartition(5)
+    groups = {}
+    for d, p, s, e in rows:
+        groups.setdefault((d, p), set()).add((s, e))
+    got = {(r["doc_id"], r["pattern"]): (r["start_pos"], r["end_pos"]) for r in compare.dominating(m, ["doc_id"]).collect()}
+    assert got == {k: min(v, key=lambda x: (x[0] - x[1], x[0])) for k, v in groups.items()}
+    left = sorted(map(str, map(tuple, compare.undominated(m, ["doc_id"]).collect())))
+    assert left == sorted(str((*k, s, e)) for k, v in groups.items() for s, e in v if not any((x, y) != (s, e) and x <= s and e <= y for x, y in v))
+    wide = spark.range(60_000, numPartitions=3).selectExpr("id % 3 as doc_id", "'p' as pattern", "cast(id div 3 as int) as start_pos", "20000 as end_pos")
+    assert compare.undominated(wide, ["doc_id"]).count() == compare.dominating(wide, ["doc_id"]).count() == 3
+    # few rows are dealt out
+    assert "HashAggregate" in shuffled_nodes(compare.dominating(wide, ["doc_id"])).split("Exchange")[-1]
+    assert shuffled_nodes(compare.undominated(wide, ["doc_id"])).split("Exchange")[-1].count("MapInArrow") == 1
+
+
 def test_overlaps_of_any_length(spark):
     """Pairs and counts against all pairs, with spans of every level, equal ends, null and repeated keys."""
     rng = random.Random(6)
