@@ -21,16 +21,22 @@ candidate, and so do more than ``MOST_GRAMS`` grams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.patterns import PatternSet
 from sievewright.patterns.ast import CharSet, Lit, Pattern
 
+from sievewright.shipping import ship
+
+from .dfa_kernel import code_points, split_batches
 from .match import match_all
 
 #: Rows of a block and blocks of a row of postings; powers of two.
@@ -43,6 +49,8 @@ MOST_GRAMS = 500
 MOST_WAYS = 16
 #: Candidate blocks and files that are named in the plan; beyond, they are joined.
 MOST_NAMED = 10_000
+#: Pairs of gram and block that a task holds before it sends them on, about.
+MOST_HELD = 1 << 23
 #: Ranges of blocks in a pushed filter.
 MOST_RANGES = 100
 
@@ -166,6 +174,67 @@ def _ranges(numbers: list[int]) -> Column:
     return out
 
 
+#: Stands for a character that a gram of one or two doesn't have; no code point is as large.
+_NO = 0x1FFFFF
+
+
+def _pairs(texts: list[str], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (gram, block): a gram is three code points, 21 bits each."""
+    codes, begin = code_points(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(begin))
+    chars, x = np.unique(codes, return_inverse=True)
+    blocks, y = np.unique(block, return_inverse=True)
+    k, x, y = len(chars) + 1, x.astype(np.int64) + 1, y.astype(np.int64)[of]  # 0: no character
+    keys = []
+    for size in (1, 2, 3):
+        m = max(0, len(codes) - size + 1)
+        at = np.flatnonzero(of[:m] == of[size - 1 :][:m])
+        g = x[at] * (k * k)
+        for j in range(1, size):
+            g = g + x[at + j] * k ** (2 - j)
+        keys.append(g * len(blocks) + y[at])
+    got = np.unique(np.concatenate(keys))
+    g, y = np.divmod(got, max(1, len(blocks)))
+    c = np.append(_NO, chars.astype(np.int64))
+    return (c[g // (k * k)] << 42) | (c[g // k % k] << 21) | c[g % k], blocks[y]
+
+
+def packed_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text) to (gram, segment, blocks of it): a row for a gram in what a task holds at once."""
+    parts, held = [], 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        gram, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((block, gram))
+        gram, block = gram[order], block[order]
+        segment = block // SEGMENT
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (segment[1:] != segment[:-1])))
+        edges = np.append(first, len(gram))
+        g = gram[first]
+        body = np.stack([g >> 42, (g >> 21) & _NO, g & _NO], 1).ravel()
+        there = body != _NO
+        text = body[there].astype("<u4").tobytes().decode("utf-32-le")
+        cut = np.append(0, np.cumsum(there.reshape(-1, 3).sum(1))).tolist()
+        for i in range(0, len(first), 20_000):
+            e = edges[i : i + 20_001]
+            lists = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array((block[e[0] : e[-1]] % SEGMENT).astype(np.int32)))
+            grams = pa.array([text[a:z] for a, z in zip(cut[i : i + len(e) - 1], cut[i + 1 : i + len(e)], strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([grams, pa.array(segment[first[i : i + len(e) - 1]]), lists], ["gram", "segment", "blocks"])
+
+    for b in batches:
+        block = b.column(0).to_numpy(zero_copy_only=False)
+        for at, part in split_batches(b.column(1).to_pylist()):
+            got = _pairs(part, block[at : at + len(part)])
+            if len(got[0]):
+                parts.append(got)
+                held += len(got[0])
+            if held >= MOST_HELD:
+                yield from rows()
+                parts, held = [], 0
+    if parts:
+        yield from rows()
+
+
 def build_index(df: DataFrame, path: str, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> GramIndex:
     """Writes the index of ``df`` to a new folder."""
     spark = df.sparkSession
@@ -173,12 +242,12 @@ def build_index(df: DataFrame, path: str, text_col: str = "text", block_rows: in
     rows.write.option("parquet.block.size", 1 << 20).parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
     texts.select("block", F.input_file_name().alias("file")).distinct().write.parquet(f"{path}/files")
-    walk = F.regexp_extract_all(F.col("`" + text_col.replace("`", "``") + "`"), F.lit("(?s)(?=(.{1,3}))."), F.lit(1))
-    g = texts.select("block", F.explode(F.array_distinct(walk)).alias("g")).distinct()
-    g = g.select("block", F.explode(F.array_distinct(F.array(F.substring("g", 1, 1), F.substring("g", 1, 2), "g"))).alias("gram")).distinct()
-    p = g.groupBy("gram", F.floor(F.col("block") / SEGMENT).cast("long").alias("segment")).agg(F.sort_array(F.collect_list((F.col("block") % SEGMENT).cast("int"))).alias("blocks"))
+    ship(spark)
+    p = texts.select("block", F.col("`" + text_col.replace("`", "``") + "`")).mapInArrow(packed_postings, "gram string, segment long, blocks array<int>")
     p = p.withColumn("bucket", F.pmod(F.crc32("gram"), F.lit(BUCKETS)).cast("int"))
-    p.repartition("bucket").sortWithinPartitions("bucket", "gram", "segment").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # dealt once, packed; a block that two tasks or two parts of one have read comes twice
+    p = p.repartition("bucket").groupBy("bucket", "gram", "segment").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
+    p.select("gram", "segment", "blocks", "bucket").sortWithinPartitions("bucket", "gram", "segment").write.partitionBy("bucket").parquet(f"{path}/postings")
     return GramIndex(spark, path, text_col)
 
 
