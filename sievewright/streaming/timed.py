@@ -7,7 +7,8 @@ one row with a null pattern says what was missing.
 
 State is kept in RocksDB, each kind by itself: how far a text has been read, its
 open scans (few), and chunks that came before their turn, a key each - a chunk
-that waits is written once and read once, however many others come meanwhile.
+that waits is written once and read once, however many others come meanwhile, and
+one that comes in its turn is not written at all.
 A closed or complete text leaves a mark; what comes for it afterwards is told as
 late and not scanned.
 
@@ -60,23 +61,44 @@ class ChunkScan(StatefulProcessor):
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, want, closed = self.read.get() if self.read.exists() else (0, 0, False)
+        known = self.read.exists()
+        at, want, closed = self.read.get() if known else (0, 0, False)
+        waiting = known and not closed and self.held.exists()
         found, told, latest = [], [], None
+        here: dict[int, tuple[str, bool]] = {}
         for f in rows:
             for seq, body, last, time in zip(f["seq"], f["text"], f["is_last"], f["time"], strict=True):
-                if closed or seq < want or self.held.containsKey((int(seq),)):
-                    told.append((LATE, int(seq)))
+                seq = int(seq)
+                if closed or seq < want or seq in here or waiting and self.held.containsKey((seq,)):
+                    told.append((LATE, seq))
                     continue
-                self.held.updateValue((int(seq),), (body if isinstance(body, str) else "", bool(last)))
+                here[seq] = (body if isinstance(body, str) else "", bool(last))
                 if pd.notna(time):
                     latest = max(latest or 0, int(pd.Timestamp(time).timestamp() * 1000))
-        while not closed and self.held.containsKey((want,)):
-            body, last = self.held.getValue((want,))
-            self.held.removeKey((want,))
-            left, got = _feed(self.tables, list(self.scans.get()) if self.scans.exists() else [], body, at, last)
-            found += got
-            at, want, closed = at + len(body), want + 1, last
-            self.scans.put(left) if left else self.scans.clear()
+        # what follows on one another is scanned at once
+        bodies, last = [], closed
+        while not last:
+            if want in here:
+                body, last = here.pop(want)
+            elif waiting and self.held.containsKey((want,)):
+                body, last = self.held.getValue((want,))
+                self.held.removeKey((want,))
+            else:
+                break
+            bodies.append(body)
+            want += 1
+        if bodies:
+            had = known and self.scans.exists()
+            body, closed = "".join(bodies), last
+            left, found = _feed(self.tables, list(self.scans.get()) if had else [], body, at, last)
+            at += len(body)
+            if left:
+                self.scans.put(left)
+            elif had:
+                self.scans.clear()
+        if not closed:
+            for seq, chunk in here.items():
+                self.held.updateValue((seq,), chunk)
         if closed:
             self._close()
         elif latest is not None:
