@@ -63,14 +63,16 @@ def match_chunks(chunks: DataFrame, patterns: PatternSet, key: str = "doc_id", s
         for f in frames:
             for a, b, c in zip(f["seq"], f["text"], f["is_last"], strict=True):
                 held[int(a)] = (b or "", bool(c))
-        rows, over = [], False
-        while want in held:
+        # what follows on one another is scanned at once
+        rows, over, bodies = [], False, []
+        while not over and want in held:
             body, over = held.pop(want)
-            open_, found = _feed(tables, open_, body, at, over)
-            rows += found
-            at, want = at + len(body), want + 1
-            if over:
-                break
+            bodies.append(body)
+            want += 1
+        if bodies:
+            body = "".join(bodies)
+            open_, rows = _feed(tables, open_, body, at, over)
+            at += len(body)
         if over:
             group.remove()
         else:
