@@ -92,7 +92,7 @@ def test_null_keys_are_equal(spark):
     assert [(r["doc_id"], r["a_pattern"], r["b_pattern"], r["b_contains_a"]) for r in got] == [(None, "y", "z", True)]
 
 
-def shuffled_nodes(df):
+def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -127,8 +127,8 @@ def test_domination_leaves_tasks_reduced(spark, tmp_path):
     wide = spark.range(60_000, numPartitions=3).selectExpr("id % 3 as doc_id", "'p' as pattern", "cast(id div 3 as int) as start_pos", "20000 as end_pos")
     assert compare.undominated(wide, ["doc_id"]).count() == compare.dominating(wide, ["doc_id"]).count() == 3
     # few rows are dealt out
-    assert "HashAggregate" in shuffled_nodes(compare.dominating(wide, ["doc_id"])).split("Exchange")[-1]
-    assert shuffled_nodes(compare.undominated(wide, ["doc_id"])).split("Exchange")[-1].count("MapInArrow") == 1
+    assert "HashAggregate" in plan_of(compare.dominating(wide, ["doc_id"])).split("Exchange")[-1]
+    assert plan_of(compare.undominated(wide, ["doc_id"])).split("Exchange")[-1].count("MapInArrow") == 1
 
 
 def test_overlaps_of_any_length(spark):
@@ -169,3 +169,12 @@ def test_exact_medians_of_hot_groups(spark, most):
         want[g] = statistics.median(v) if v else None
     assert got == want
     assert stats.median_score(df.limit(0), ["g"]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_summary_compares_once(spark, monkeypatch):
+    calls, plain = [], compare.pair_summary
+    monkeypatch.setattr(compare, "pair_summary", lambda *a: calls.append(a) or plain(*a))
+    lines = [r[0] for r in QUERIES["summary_file"](spark, "/root/testdata/sf0.001").collect()]
+    assert sum(x.startswith("1700000000,") for x in lines) == sum(x.startswith("1700000001,") for x in lines) == 1
+    assert len(calls) == 1
