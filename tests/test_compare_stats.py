@@ -151,6 +151,16 @@ def test_overlaps_of_any_length(spark):
         assert sorted(map(str, map(tuple, n))) == sorted(map(str, want_n))
 
 
+def test_overlaps_broadcast_no_side(spark):
+    """Files far below the broadcast threshold hold many spans; neither side passes through the driver."""
+    span = lambda step, name: spark.range(0, 30_000, step, 2).selectExpr("id div 300 as doc_id", f"'{name}' as pattern", "cast(id % 300 as int) as start_pos", "cast(300 as int) as end_pos")
+    pairs = compare.overlap_classes(span(1, "p"), span(50, "q"), ["doc_id"])
+    assert "Broadcast" not in plan_of(pairs)
+    got = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    assert {tuple(r) for r in got.collect()} == {(i, 300 * 6) for i in range(100)}
+    assert "isFinalPlan=true" in plan_of(got) and "Broadcast" not in plan_of(got)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
 def test_overlap_classes_of_a_larger_table(spark):
     same(spark, QUERIES["compare_overlap_class"], ORACLES["compare_overlap_class"], "/root/testdata/sf0.01")
